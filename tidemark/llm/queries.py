@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, language_id, mixing, packing, sharding
+from tidemark.llm import exact_dedup, language_id, mixing, packing, sharding, toxicity
 from tidemark.llm.storage import table
 
 
@@ -26,9 +26,13 @@ def op6_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
     return language_id.op6(table(spark, sf_dir, "documents"))
 
 
+def op7_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_virtual_slots, op2_chunk_recipes, op3_pareto_mix, op6_hyperdimensional_language, op10_best_two_fit)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_virtual_slots, op2_chunk_recipes, op3_pareto_mix, op6_hyperdimensional_language, op7_kneser_ney_toxicity, op10_best_two_fit)}
 ORACLE_SQL: dict[str, str] = {"op2_chunk_recipes": exact_dedup.ORACLE_SQL, "op3_pareto_mix": mixing.oracle_sql()}
