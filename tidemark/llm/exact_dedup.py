@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.storage import stage
@@ -54,7 +54,7 @@ def cuts(marks: np.ndarray, length: int) -> list[int]:
 
 
 def recipes(docs: DataFrame, id_bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text_sha256 and the chunks (id, digest) of every text, in order."""
+    """id, _key, text_sha256 and the chunks (id, digest) of every text, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,10 +77,16 @@ def recipes(docs: DataFrame, id_bits: int = 64, id_col: str = "doc_id", text_col
                         at = end
                     n.append(len(ids))
             chunks = pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary())], ["id", "digest"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sha, pa.string()), pa.ListArray.from_arrays(pa.array(n, pa.int32()), chunks)], [id_col, "text_sha256", "chunks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sha, pa.string()), pa.ListArray.from_arrays(pa.array(n, pa.int32()), chunks)], [id_col, "_key", "text_sha256", "chunks"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, text_sha256 string, chunks array<struct<id:bigint,digest:binary>>")
+    rows = docs.select(id_col, text_col, row_key(id_col, text_col).alias("_key"))
+    return rows.mapInArrow(run, f"{id_col} {kind}, _key string, text_sha256 string, chunks array<struct<id:bigint,digest:binary>>")
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What tells rows apart that are not the same id and text."""
+    return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.xxhash64(text_col).cast("string"))
 
 
 def verified(made: DataFrame) -> DataFrame:
@@ -98,8 +104,8 @@ def verified(made: DataFrame) -> DataFrame:
     return made.drop("chunks").join(own, "_row", "left").withColumn("recipe", F.coalesce(named, F.array().cast("array<struct<id:bigint,variant:int>>"))).drop("_r")
 
 
-def dedup(docs: DataFrame, id_bits: int = 64) -> DataFrame:
-    """One row per document: doc_id, text_sha256, keep_id, group_size, kept.
+def decided(docs: DataFrame, id_bits: int = 64) -> DataFrame:
+    """One row per document: doc_id, _key, text_sha256, keep_id, group_size, kept.
 
     Groups are counted before they meet, so a text that a third of the rows share is one row from
     each task; the join back to the documents moves ids and recipes only.
@@ -107,13 +113,18 @@ def dedup(docs: DataFrame, id_bits: int = 64) -> DataFrame:
     made = stage(recipes(docs, id_bits).withColumn("_row", F.monotonically_increasing_id()), "recipes")
     rows = verified(made)
     groups = rows.groupBy("recipe").agg(F.max(F.struct("doc_id", "_row")).alias("_keep"), F.count("*").alias("group_size"))
-    return rows.join(groups, "recipe").select("doc_id", F.col("_keep.doc_id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_keep._row")).alias("kept"), "text_sha256")
+    return rows.join(groups, "recipe").select("doc_id", "_key", F.col("_keep.doc_id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_keep._row")).alias("kept"), "text_sha256")
+
+
+def dedup(docs: DataFrame, id_bits: int = 64) -> DataFrame:
+    return decided(docs, id_bits).drop("_key")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without the dropped ones, all columns; for tables whose ids are unique and not null."""
-    kept = dedup(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """The documents that stay, all columns; of rows that repeat one id and text, one."""
+    kept = decided(docs).where("kept").select("_key")
+    rows = docs.withColumn("_key", row_key()).join(kept, "_key", "left_semi")
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).where("_n = 1").select(docs.columns)
 
 
 ORACLE_SQL = """

@@ -170,5 +170,6 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that stay, all columns; for tables whose ids are unique and not null."""
-    return docs.join(dedup(docs).where("kept").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    """The documents that stay, all columns: one id of each component, and those without an id."""
+    dropped = dedup(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
