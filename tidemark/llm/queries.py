@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, language_id, minhash_dedup, mixing, packing, sharding, toxicity
+from tidemark.llm import embedding_dedup, exact_dedup, language_id, minhash_dedup, mixing, packing, sharding, toxicity
 from tidemark.llm.storage import table
 
 
@@ -30,6 +30,10 @@ def op7_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -38,5 +42,5 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_virtual_slots, op2_chunk_recipes, op3_pareto_mix, op6_hyperdimensional_language, op7_kneser_ney_toxicity, op9_circulant_minhash, op10_best_two_fit)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_virtual_slots, op2_chunk_recipes, op3_pareto_mix, op6_hyperdimensional_language, op7_kneser_ney_toxicity, op8_pca_tiles, op9_circulant_minhash, op10_best_two_fit)}
 ORACLE_SQL: dict[str, str] = {"op2_chunk_recipes": exact_dedup.ORACLE_SQL, "op3_pareto_mix": mixing.oracle_sql()}
