@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import embedding_dedup, exact_dedup, html_wrappers, language_id, minhash_dedup, mixing, packing, sharding, toxicity
+from tidemark.llm import embedding_dedup, exact_dedup, html_wrappers, language_id, minhash_dedup, mixing, packing, sharding, substring_dedup, toxicity
 from tidemark.llm.storage import table
 
 
@@ -26,6 +26,10 @@ def op4_union_free_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrappers.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.op5(table(spark, sf_dir, "documents"))
+
+
 def op6_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.op6(table(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_virtual_slots, op2_chunk_recipes, op3_pareto_mix, op4_union_free_wrappers, op6_hyperdimensional_language, op7_kneser_ney_toxicity, op8_pca_tiles, op9_circulant_minhash, op10_best_two_fit)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_virtual_slots, op2_chunk_recipes, op3_pareto_mix, op4_union_free_wrappers, op5_suffix_automata, op6_hyperdimensional_language, op7_kneser_ney_toxicity, op8_pca_tiles, op9_circulant_minhash, op10_best_two_fit)}
 ORACLE_SQL: dict[str, str] = {"op2_chunk_recipes": exact_dedup.ORACLE_SQL, "op3_pareto_mix": mixing.oracle_sql()}
