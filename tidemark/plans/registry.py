@@ -1,4 +1,5 @@
-"""Registered queries: name to (callable, DuckDB SQL)."""
+"""Registered queries: name to callable, and name to DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tidemark.plans.queries import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
