@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import canonical, refs, times
-from tidemark.operators import bindings, classify, ledger, population, score
+from tidemark.operators import bindings, classify, ledger, listings, population, score
 from tidemark.plans.adapters import DAY, HOUR, OBS_SQL, inline, observations, table, values_sql
+from tidemark.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -497,3 +500,51 @@ SELECT seq, concat_ws(', ', CASE WHEN bound AND ("from" IS NULL OR "to" IS NULL)
   CASE WHEN event = 'repo_redirected' AND redirect_location IS NULL THEN 'location missing' END, CASE WHEN event = 'correction' AND (corrects_seq IS NULL OR reason IS NULL) THEN 'correction without target or reason' END) AS problems FROM e""")
 def q43_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.problems(inline(spark, ENTRIES, ENTRY), ledger.entry_problems()).select("seq", F.array_join("problems", ", ").alias("problems"))
+
+
+LISTING_SQL = f"""WITH {OBS_SQL}, d AS (SELECT repo, ref, make_timestamp(us)::DATE AS day, arg_max(commit_no, (us, event_id)) AS c FROM obs WHERE outcome = 'ok' GROUP BY 1, 2, 3),
+ls AS (SELECT repo, day, epoch_us(day::TIMESTAMP) AS us, row_number() OVER (PARTITION BY repo ORDER BY day) AS n FROM (SELECT DISTINCT repo, day FROM d)),
+p AS (SELECT d.repo, d.ref, ls.n, ls.us, c, lag(n) OVER w AS pn, lag(us) OVER w AS pus, lag(c) OVER w AS pc, lead(n) OVER w AS nn FROM d JOIN ls ON d.repo = ls.repo AND d.day = ls.day WINDOW w AS (PARTITION BY d.repo, d.ref ORDER BY n)),
+mx AS (SELECT repo, max(n) AS last_n FROM ls GROUP BY 1),
+g AS (SELECT p.repo, p.ref, p.c, p.nn, ls.us FROM p JOIN mx ON mx.repo = p.repo JOIN ls ON ls.repo = p.repo AND ls.n = p.n + 1 WHERE p.n < last_n AND (nn IS NULL OR nn > p.n + 1))
+SELECT repo, us, 'move' AS event, ref, pc AS from_commit, c AS to_commit, ((us - pus) // 1000000)::BIGINT AS seconds FROM p WHERE pn = n - 1 AND pc <> c
+UNION ALL SELECT repo, us, 'deletion', ref, c, c, NULL FROM g
+UNION ALL SELECT g.repo, p.us, 'recreation', g.ref, g.c, p.c, ((p.us - g.us) // 1000000)::BIGINT FROM g JOIN p ON p.repo = g.repo AND p.ref = g.ref AND p.n = g.nn"""
+
+
+def daily_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One listing per repository and day: what its references were last bound to."""
+    last = ledger.latest(by_day(spark, sf_dir).select("repo", "ref", "day", "us", "event_id", "commit_no"), ["repo", "ref", "day"], ORDER)
+    pairs = F.array_sort(F.collect_list(F.struct("ref", "commit_no")))
+    rows = last.groupBy("repo", "day").agg(pairs.alias("r"))
+    return rows.select("repo", F.unix_micros(F.col("day").cast("timestamp")).alias("us"), F.col("r.ref").alias("names"), F.col("r.commit_no").alias("commits"))
+
+
+@query(LISTING_SQL)
+def q45_listing_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings.changes(daily_listings(spark, sf_dir))
+
+
+@query(LISTING_SQL)
+def q44_stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same changes from a stream with state, fed week by week."""
+    folder = shared_folder(spark)
+    rows = daily_listings(spark, sf_dir).withColumn("week", F.floor(F.col("us") / (7 * DAY)))
+    weeks = [r[0] for r in rows.select("week").distinct().orderBy("week").collect()]  # a few batches of a replay
+    for k in weeks:
+        rows.where(F.col("week") == k).drop("week").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema("repo long, us long, names array<string>, commits array<long>").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    return changes.replay(stream, folder)
+
+
+@query("""SELECT coalesce(event, '*') AS event, coalesce(form, '*') AS form, n FROM (SELECT event_type AS event, CASE WHEN user_id % 3 = 0 THEN 'exact' ELSE 'floating' END AS form, count(*) AS n FROM events GROUP BY CUBE (1, 2))""")
+def q46_event_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report over events and forms with all subtotals."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("event"), F.when(F.col("user_id") % 3 == 0, "exact").otherwise("floating").alias("form"))
+    return e.cube("event", "form").agg(F.count("*").alias("n")).select(F.coalesce("event", F.lit("*")).alias("event"), F.coalesce("form", F.lit("*")).alias("form"), "n")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: in spark.checkpoint.dir, or a temporary one where that is unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    return f"{base.rstrip('/')}/tidemark/{uuid.uuid4().hex}"
