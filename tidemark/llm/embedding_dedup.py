@@ -80,11 +80,11 @@ class Tiles:
         n = len(edges) + 1
         # neighbouring ranges share a tile until it is full
         self.first, self.split = np.zeros(n, np.int64), np.ones(n, np.int64)
-        low, high, at, held = [], [], -1, tile
+        low, high, at, held = [], [], -1, 0
         for r in range(n):
             k = rows.get(r, 0)
             a, b = (edges[r - 1] if r else -1.0), (edges[r] if r < n - 1 else 1.0)
-            if held + k > tile:
+            if at < 0 or held + k > tile:
                 self.split[r] = max(1, -(-k // tile))
                 at += 1
                 self.first[r] = at
