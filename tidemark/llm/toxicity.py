@@ -202,7 +202,7 @@ def learn(docs: DataFrame, labels: DataFrame, held: int = 1, folds: int = 3) ->
 
 
 def score(docs: DataFrame, learned: tuple[Model, np.ndarray] | None, keep: list[str]) -> DataFrame:
-    """The columns to keep and score of every text."""
+    """The columns to keep and _score of every text."""
     shared = docs.sparkSession.sparkContext.broadcast(learned)
     rows = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
 
@@ -215,17 +215,17 @@ def score(docs: DataFrame, learned: tuple[Model, np.ndarray] | None, keep: list[
                 else:
                     model, weights = shared.value
                     out.append(1 / (1 + np.exp(-np.clip(model.differences(data, off) @ weights, -50, 50))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(np.concatenate(out))], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(np.concatenate(out))], [*keep, "_score"])
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{kinds}, score double")
+    return rows.mapInArrow(run, f"{kinds}, _score double")
 
 
 def op7(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
-    return score(docs, learn(docs, labels), ["doc_id"]).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return score(docs, learn(docs, labels), ["doc_id"]).select("doc_id", held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score under the threshold, all columns."""
-    return score(docs, learn(docs, labels), docs.columns).where(F.col("score") < threshold).drop("score")
+    return score(docs, learn(docs, labels), docs.columns).where(F.col("_score") < threshold).drop("_score")
