@@ -42,15 +42,22 @@ FILTER_BITS = 1 << 24
 _BUCKET = 1 << 15
 
 
-def likely_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose key is in ``keys``, and a few others by chance.
+def with_likely(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows with _likely: true where their key is in ``keys``, and for a few others by chance.
 
     A bitmap of FILTER_BITS bits marks the hashes of the keys; it has 2 MB whatever the size of the
-    tables, so it is broadcast. It spares later joins the shuffle of most rows that match nothing;
-    those joins decide.
+    tables, so it is broadcast. It spares joins the shuffle of most rows that match nothing; those
+    joins decide.
     """
     place = F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS))
     marks = keys.select(place.alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
     rows = df.withColumn("_p", place).withColumns({"_bucket": F.bitmap_bucket_number("_p"), "_bit": F.bitmap_bit_position("_p")})
-    return rows.join(F.broadcast(marks), "_bucket").where(F.pmod(F.shiftright(byte, 0) / F.pow(F.lit(2), F.col("_bit") % 8), F.lit(2)) >= 1).select(df.columns)
+    marked = rows.join(F.broadcast(marks), "_bucket", "left")
+    set_ = F.pmod(F.floor(byte / F.pow(F.lit(2), F.col("_bit") % 8)), F.lit(2)) == 1
+    return marked.withColumn("_likely", F.coalesce(set_, F.lit(False))).select(*df.columns, "_likely")
+
+
+def likely_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key is in ``keys``, and a few others by chance."""
+    return with_likely(df, key, keys).where("_likely").drop("_likely")
