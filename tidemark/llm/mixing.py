@@ -97,7 +97,8 @@ def plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     out = out.withColumn("gap", F.abs(F.col("rest") - F.col("spent") - F.col("size"))).where("gap < rest - spent")
     closing = out.groupBy("source").agg(F.min(F.struct("gap", "q", "doc_id")).alias("c")).select("source", F.struct("c.q", "c.doc_id").alias("closing"))
     cut = cut.join(closing, same(cut, closing), "left").drop(closing["source"])
-    return by_source.join(cut, same(by_source, cut), "left").drop(cut["source"])
+    decided = by_source.join(cut, same(by_source, cut), "left").drop(cut["source"])
+    return stage(decided, "decided")  # a table of known size, which Spark broadcasts if it is small
 
 
 def pareto(u: Column, p: Column) -> Column:
@@ -127,11 +128,11 @@ def op3(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The documents as the mix takes them, repeated ones more than once; the texts are not shuffled."""
+    """The documents as the mix takes them, repeated ones more than once; texts are shuffled only if the sources are too many to broadcast."""
     sizes = stage(sized(docs), "sizes")
-    rows = docs.withColumns({"size": words(F.col("text")), "u": uniform(F.col("doc_id"))})
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "source", words(F.col("text")).alias("size"), uniform(F.col("doc_id")).alias("u"))
     taken = copies(rows, plan(sizes)).where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
 def oracle_sql(documents: str = "documents") -> str:
