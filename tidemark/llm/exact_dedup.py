@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import stage
+from tidemark.llm.storage import stage, with_likely
 from tidemark.llm.words import blocks, utf8
 
 WINDOW, LEAST, MOST, MASK_BITS = 32, 512, 16384, 11
@@ -121,10 +121,15 @@ def dedup(docs: DataFrame, id_bits: int = 64) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that stay, all columns; of rows that repeat one id and text, one."""
-    kept = decided(docs).where("kept").select("_key")
-    rows = docs.withColumn("_key", row_key()).join(kept, "_key", "left_semi")
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).where("_n = 1").select(docs.columns)
+    """The documents that stay, all columns; of rows that repeat one id and text, one.
+
+    Only documents that may have to go are shuffled.
+    """
+    rows = decided(docs).groupBy("_key").agg(F.count("*").alias("_n"), F.count_if("kept").alias("_stay")).where("_stay < _n").select("_key", "_stay")
+    rows = stage(rows, "dropped")
+    marked = with_likely(docs.withColumn("_key", row_key()), "_key", rows)
+    some = marked.where("_likely").join(rows, "_key", "left").withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
+    return marked.where("not _likely").select(docs.columns).unionByName(some.where("_stay is null or _n <= _stay").select(docs.columns))
 
 
 ORACLE_SQL = """

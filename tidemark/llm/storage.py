@@ -46,7 +46,8 @@ def with_likely(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """The rows with _likely: true where their key is in ``keys``, and for a few others by chance.
 
     A bitmap of FILTER_BITS bits marks the hashes of the keys; it has 2 MB whatever the size of the
-    tables, so it is broadcast. It spares joins the shuffle of most rows that match nothing; those
+    tables, so it is broadcast. It spares joins the shuffle of most rows that match nothing (fewer, the
+    more keys there are: it fills up with some tens of millions); those
     joins decide.
     """
     place = F.pmod(F.xxhash64(F.col(key)), F.lit(FILTER_BITS))
