@@ -1,8 +1,8 @@
 """Connected components of a graph given as links, by alternating large and small stars.
 
 Each round points every node's larger neighbours, and then its smaller ones, to the smallest node it
-knows; it ends when a round changes nothing, after a number of rounds that grows with the logarithm of
-the largest component. Links are never gathered by node: the smallest neighbour is an aggregate and
+knows; it ends when all that is left are stars around smallest nodes, after a number of rounds that
+grows with the logarithm of the largest component. Links are never gathered by node: the smallest neighbour is an aggregate and
 is joined back, and each half round is written to the shared folder, which cuts the lineage.
 """
 
@@ -20,13 +20,15 @@ def _stars(links: DataFrame, smaller: bool) -> DataFrame:
         ends = links
     else:
         ends = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    least = ends.groupBy("src").agg(F.min("dst").alias("least")).withColumn("least", F.least("src", "least"))
+    # a table of its own, so that the join deals out anew and Spark can split a node with very many links
+    least = stage(ends.groupBy("src").agg(F.min("dst").alias("least")).withColumn("least", F.least("src", "least")), "least")
     joined = ends.join(least, "src")
     if smaller:
         out = joined.where("dst <> least").select(F.col("dst").alias("src"), F.col("least").alias("dst")).unionByName(least.select("src", F.col("least").alias("dst")))
     else:
         out = joined.where("dst > src").select(F.col("dst").alias("src"), F.col("least").alias("dst"))
-    return out.where("src <> dst").distinct()
+    out = out.where("src <> dst")
+    return out.distinct() if smaller else out
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -35,12 +37,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Links of a node with itself and null ends are left out; without links the result is empty.
     """
     now = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("src"), F.least(a, b).alias("dst")).distinct()
-    mark = None
     while True:
         now = stage(_stars(now, smaller=False), "large-stars")
         now = stage(_stars(now, smaller=True), "small-stars")
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(20,0)"))).first()
-        if seen == mark:
+        ends = now.select(F.col("src").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("dst").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if ends.where("up > 1 or up = 1 and down = 1").isEmpty():
             break
-        mark = seen
     return now.select(F.col("src").alias("node"), F.col("dst").alias("component")).unionByName(now.select(F.col("dst").alias("node"), F.col("dst").alias("component")).distinct())
