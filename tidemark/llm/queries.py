@@ -51,4 +51,4 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_virtual_slots, op2_chunk_recipes, op3_pareto_mix, op4_union_free_wrappers, op5_suffix_automata, op6_hyperdimensional_language, op7_kneser_ney_toxicity, op8_pca_tiles, op9_circulant_minhash, op10_best_two_fit)}
-ORACLE_SQL: dict[str, str] = {"op2_chunk_recipes": exact_dedup.ORACLE_SQL, "op3_pareto_mix": mixing.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_chunk_recipes": exact_dedup.ORACLE_SQL, "op3_pareto_mix": mixing.oracle_sql(), "op5_suffix_automata": substring_dedup.ORACLE_SQL, "op8_pca_tiles": embedding_dedup.ORACLE_SQL, "op9_circulant_minhash": minhash_dedup.ORACLE_SQL}

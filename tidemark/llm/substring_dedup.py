@@ -315,3 +315,14 @@ def op5(docs: DataFrame) -> DataFrame:
     changed = changed.select("id", "print", "n_removed", "kept_sha256").distinct()
     rows = made.select("doc_id", "id", "print", "n_words", "sha").join(changed, ["id", "print"], "left")
     return rows.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS win FROM t, unnest(range(1, len(w) - 33)) AS u(i) WHERE len(w) >= 35),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY win) AS n FROM p) WHERE n > 1),
+c AS (SELECT DISTINCT doc_id, i + k AS pos FROM r, range(35) AS x(k)),
+v AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM t),
+k AS (SELECT v.doc_id, count(*) FILTER (c.pos IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY v.pos) FILTER (c.pos IS NULL) AS kept FROM v LEFT JOIN c ON c.doc_id = v.doc_id AND c.pos = v.pos GROUP BY 1)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN k ON k.doc_id = t.doc_id
+"""
