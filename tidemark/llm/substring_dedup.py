@@ -298,7 +298,8 @@ def removals(docs: DataFrame, span: int = SPAN, k: int = ANCHOR, crowd: int = CR
     key = ["id", "print"]
     made = stage(survey(docs, span, k), "survey")
     anchor = made.select(*key, F.posexplode("anchors").alias("run", "anchor"))
-    often = anchor.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # a table of its own, so that the join deals out anew and Spark can split an anchor with very many rows
+    often = stage(anchor.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "often")
     runs = anchor.join(often, "anchor", "left_semi").groupBy(key).agg(F.collect_set("run").alias("runs"))
     runs = stage(runs.withColumn("doc", F.xxhash64(*key)), "runs")
     rows = docs.select(*row_key(), "text").withColumn("doc", F.xxhash64(*key))
