@@ -113,6 +113,7 @@ def decided(docs: DataFrame, id_bits: int = 64) -> DataFrame:
     made = stage(recipes(docs, id_bits).withColumn("_row", F.monotonically_increasing_id()), "recipes")
     rows = verified(made)
     groups = rows.groupBy("recipe").agg(F.max(F.struct("doc_id", "_row")).alias("_keep"), F.count("*").alias("group_size"))
+    groups = stage(groups, "groups")  # a table of its own, so that Spark can split a recipe with very many rows in the join
     return rows.join(groups, "recipe").select("doc_id", "_key", F.col("_keep.doc_id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_keep._row")).alias("kept"), "text_sha256")
 
 
