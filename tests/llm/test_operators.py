@@ -210,6 +210,14 @@ def test_html_parser_survives_anything():
     assert sum(1 for _ in html_wrappers.slots(html_wrappers.parse("<div>" * 3000 + "x"))) == 3001
 
 
+def test_html_of_deep_pages_is_extracted(spark):
+    deep = "<body>" + "<div><blockquote>" * 1500 + "deep text"
+    got = {r.page_id: r.text for r in html_wrappers.extract(pages(spark, [deep, "<article><p>other</article>"])).collect()}
+    assert got == {0: "deep text", 1: "other"}
+    w = html_wrappers.wrappers(pages(spark, [deep]).withColumn("host", F.lit("h"))).first().wrapper
+    assert w.count("<blockquote>") == w.count("</blockquote>") == 1500 and "#text" in w
+
+
 # 5
 
 

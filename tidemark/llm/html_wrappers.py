@@ -311,13 +311,18 @@ def expression(nodes: pd.DataFrame) -> str:
         if r.node:
             kids.setdefault(r.parent, []).append(r)
 
-    def write(r) -> str:
-        inner = ("#text" if r.low != r.high or r.pages < 2 else "#fixed") * bool(r.size) + "".join(write(k) for k in kids.get(r.node, []))
-        out = f"<{r.label}>{inner}</{r.tag}>"
+    out: list[str] = []
+    todo: list = [by[0]] if 0 in by else []
+    while todo:
+        r = todo.pop()
+        if isinstance(r, str):
+            out.append(r)
+            continue
         mark = "+" * bool(r.repeated) + "?" * bool(r.node and r.pages < by[r.parent].pages)
-        return {"": out, "+": f"({out})+", "?": f"({out})?", "+?": f"({out})*"}[mark]
-
-    return write(by[0]) if 0 in by else ""
+        before, after = {"": ("", ""), "+": ("(", ")+"), "?": ("(", ")?"), "+?": ("(", ")*")}[mark]
+        out.append(f"{before}<{r.label}>" + ("#text" if r.low != r.high or r.pages < 2 else "#fixed") * bool(r.size))
+        todo += [f"</{r.tag}>{after}", *reversed(kids.get(r.node, []))]
+    return "".join(out)
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
