@@ -357,6 +357,16 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_every_length_are_compared(spark):
+    rng = np.random.default_rng(5)
+    long, short = rng.normal(size=(8, 24)), rng.normal(size=(3, 12))
+    v = [*long, long[0], short[0], short[0], short[1], short[1] * 1.01 + 0.001, short[2], [1.0] * 7, [1.0] * 7, [2.0] * 5]
+    df = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.dedup(df).collect()}
+    pairs = {8: 0, 10: 9, 12: 11, 15: 14}
+    assert got == {i: (int(i in pairs or i in pairs.values()), pairs.get(i, i)) for i in range(len(v))}
+
+
 # 9
 
 

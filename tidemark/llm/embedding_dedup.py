@@ -12,11 +12,12 @@ pair of tiles is one row, so any task holds two tiles. It returns a row for each
 links, with their number and one link to the root of its part, not the pairs themselves.
 
 The comparison is exact, so its work grows with the square of the number of different vectors, less
-what the first coordinate rules out; equal vectors are one from the start.
+what the first coordinate rules out; equal vectors are one from the start. Vectors of each length (of
+each embedding model) have axes and tiles of their own and are compared length by length.
 
-Defined cases: vectors that are null, zero, hold null or non-finite components, or have another number
-of components than most, link with nothing (n_links 0, their own component); equal vectors link with
-each other; rows that repeat an id count as vectors of their own; a null id makes no links; an empty
+Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing
+(n_links 0, their own component), and vectors of different lengths not with each other; equal vectors
+link with each other; rows that repeat an id count as vectors of their own; a null id makes no links; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -205,22 +206,27 @@ def compare(pairs: DataFrame, d: int, threshold: float) -> DataFrame:
     return pairs.mapInArrow(run, "rep long, root long, links long")
 
 
-def dedup(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every vector."""
-    every = stage(usable(vectors), "vectors")
-    good = every.where("digest is not null")
-    d = good.groupBy("d").count().orderBy(F.desc("count"), F.desc("d")).first()
-    if d is None:
-        return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    good = good.where(F.col("d") == d[0])
-    different = stage(good.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("raw").alias("raw")), "different")
+def links_of_length(different: DataFrame, d: int, threshold: float, tile: int) -> DataFrame:
+    """rep, root, links of different vectors that all have d components."""
     sample = different.select("raw").orderBy(F.xxhash64("digest")).limit(SAMPLE).toArrow()["raw"].to_pylist()
-    axes = Axes(np.frombuffer(b"".join(sample)).reshape(-1, d[0]))
-    tiles = stage(blocks(different, axes, d[0], tile, threshold), "tiles")
+    axes = Axes(np.frombuffer(b"".join(sample)).reshape(-1, d))
+    tiles = stage(blocks(different, axes, d, tile, threshold), "tiles")
     side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("reps", "counts", "x")]
     left = tiles.select(F.col("tile").alias("t"), F.explode(F.sequence("tile", "last")).alias("u"), *side("t"))
     right = tiles.select(F.explode(F.sequence("least", "tile")).alias("t"), F.col("tile").alias("u"), *side("u"))
-    found = stage(compare(left.join(right, ["t", "u"]), d[0], threshold), "tile-links")
+    return stage(compare(left.join(right, ["t", "u"]), d, threshold), "tile-links")
+
+
+def dedup(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every vector."""
+    every = stage(usable(vectors), "vectors")
+    good = every.where("digest is not null")
+    different = stage(good.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("d").alias("d"), F.first("raw").alias("raw")), "different")
+    # a vector that is the only one of its length has nothing to be compared with
+    lengths = [r[0] for r in different.groupBy("d").count().where("count > 1").orderBy("d").collect()]
+    found = every.sparkSession.createDataFrame([], "rep long, root long, links long")
+    for d in lengths:
+        found = found.unionByName(links_of_length(different.where(F.col("d") == d), d, threshold, tile))
     named = different.select("digest", "rep", "n")
     named = named.join(found.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(components(found, "rep", "root").withColumnRenamed("node", "rep"), "rep", "left")
     named = stage(named.select("digest", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "named")
