@@ -59,6 +59,48 @@ def test_tampering_names_the_first_bad_row(spark, change, seq, what):
     assert (v.bad_seq, v.failure) == (seq, what)
 
 
+DIGEST = {"date": "2026-10-01", "failed": 0, "files": [{"path": "a", "sha256": "x"}, {"path": "b", "sha256": "y"}], "not_modified": 0, "ok": 1, "repos_polled": 1, "skipped": 0}
+BOUND = {"commit_sha": "c", "first_observed": "2026-10-01T00:00:00.000Z", "last_observed": "2026-10-03T23:00:00.000Z", "observation_count": 2, "stable_days": 2}
+RIGHT = {
+    "observation_digest": {"observation_digest": DIGEST},
+    "population_change": {"repo": "o/r", "population_change": {"change": "added", "reason": {"type": "transitive", "via": "o/p@c"}}},
+    "correction": {"corrects_seq": 0, "reason": "r"},
+    "correlation": {"correlation": {"all_to_same_target": True, "batch_id": "b", "member_seqs": [1], "refs_moved_together": ["x"]}},
+    "move": {"classification": "content_change", "severity": "high", "observation_window_seconds": 5, "source_observations": ["x", "y"], "from": BOUND, "to": {**BOUND, "last_observed": None, "stable_days": 0}},
+}
+
+
+CASES = [
+    *((event, {}, []) for event in RIGHT),
+    ("observation_digest", {"observation_digest": None}, ["digest missing", "digest date not of 10 characters"]),
+    ("observation_digest", {"observation_digest": {**DIGEST, "files": DIGEST["files"][::-1]}}, ["digest files out of order"]),
+    ("observation_digest", {"observation_digest": {**DIGEST, "date": "2026-10-1"}}, ["digest date not of 10 characters"]),
+    ("population_change", {"repo": None}, ["population change without repository or payload"]),
+    ("population_change", {"population_change": None}, ["population change without repository or payload"]),
+    ("population_change", {"population_change": {"change": "added", "reason": {"type": "transitive", "via": "o/p"}}}, ["transitive reason without a source at a commit"]),
+    ("correction", {"diff": {"files_added": 1}}, ["correction with diff"]),
+    ("correlation", {"correlation": {"batch_id": "", "member_seqs": [1]}}, ["correlation without batch"]),
+    ("correlation", {"correlation": {"batch_id": "b", "member_seqs": [99]}}, ["correlation member not before its row"]),
+    ("move", {"from": {**BOUND, "stable_days": 3}}, ["stable days not those of the binding"]),
+    ("move", {"from": None}, ["binding missing"]),
+]
+
+
+def test_rules_of_events_hold_in_the_ledger(spark):
+    rows = [{"event": e, "format_version": 1, "prev_hash": "sha256:x", "recorded_at": AT.format(1, 1), "seq": 9 + k, **RIGHT[e], **change} for k, (e, change, _) in enumerate(CASES)]
+    loaded = load(spark, rows)
+    want = {9 + k: names for k, (_, _, names) in enumerate(CASES)}
+    assert {r.seq: r.problems for r in ledger.problems(loaded, ledger.ledger_problems()).select("seq", "problems").collect()} == want
+    found = [(r.seq, r.what) for r in ledger.violations(loaded).collect() if r.what not in ("hash mismatch", "broken link")]
+    assert sorted(found) == sorted((k, x) for k, names in want.items() for x in names)
+
+
+def test_limited_poll_needs_its_limit_event(spark):
+    lines = [json.dumps({"outcome": {"type": t, "http_status": n}, "secondary_limit_observed": s}) for t, n, s in (("failed", 403, None), ("failed", 429, {"status": 429}), ("failed", 500, None), ("ok", 200, None))]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string").select(F.from_json("line", schemas.OBSERVATION).alias("r")).select("r.*")
+    assert [r.problems for r in ledger.problems(rows, ledger.observation_problems()).collect()] == [["limit event missing"], [], [], []]
+
+
 def test_day_files_round_trip(spark, tmp_path):
     for r in chain():
         p = tmp_path / r["recorded_at"][:10].replace("-", "/")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.canonical import entry_hash
+from tidemark.functions.times import micros, strict
 
 GENESIS = "sha256:" + "0" * 64
 
@@ -57,20 +58,20 @@ def link(rows: DataFrame, order: list[str], start: str = GENESIS) -> DataFrame:
 
 
 def violations(ledger: DataFrame) -> DataFrame:
-    """seq, rank and what of every row that breaks a rule: number, version, member, hash or link.
+    """seq, rank and what of every row that breaks a rule: version, those of its event, number, hash or link.
 
     A row's hash needs only the row, and its link only the row before, so nothing is folded.
     """
     checked = with_row_before(ledger.withColumn("_own", entry_hash(ledger)), "seq", ["seq", "entry_hash"])
     first = F.col("prev_seq").isNull()
-    members = F.exists(F.coalesce(F.col("correlation.member_seqs"), F.array().cast("array<bigint>")), lambda m: m >= F.col("seq"))
     rules = [
-        (1, F.col("format_version") != 1, F.lit("format version")),
-        (2, (F.col("event") == "correlation") & members, F.lit("correlation member not before its row")),
-        (3, ~first & (F.col("seq") != F.col("prev_seq") + 1), F.concat(F.lit("sequence gap at seq "), (F.col("prev_seq") + 1).cast("string"))),
-        (4, F.col("entry_hash").isNull() | (F.col("entry_hash") != F.col("_own")), F.lit("hash mismatch")),
-        (5, F.when(first, (F.col("seq") == 0) & (F.col("prev_hash") != GENESIS)).otherwise(F.col("prev_hash") != F.col("prev_entry_hash")), F.lit("broken link")),
+        (F.col("format_version") != 1, F.lit("format version")),
+        *((bad, F.lit(name)) for name, bad in ledger_problems().items()),
+        (~first & (F.col("seq") != F.col("prev_seq") + 1), F.concat(F.lit("sequence gap at seq "), (F.col("prev_seq") + 1).cast("string"))),
+        (F.col("entry_hash").isNull() | (F.col("entry_hash") != F.col("_own")), F.lit("hash mismatch")),
+        (F.when(first, (F.col("seq") == 0) & (F.col("prev_hash") != GENESIS)).otherwise(F.col("prev_hash") != F.col("prev_entry_hash")), F.lit("broken link")),
     ]
+    rules = [(rank, *rule) for rank, rule in enumerate(rules, 1)]
     found = F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(rank).alias("rank"), what.alias("what"))) for rank, bad, what in rules]), lambda x: x.isNotNull())
     return checked.select("seq", F.explode(found).alias("v")).select("seq", "v.rank", "v.what")
 
@@ -119,8 +120,8 @@ def stable_days(first: Column, last: Column) -> Column:
     return F.coalesce(F.greatest(F.floor((last - first) / 86_400_000_000), F.lit(0)), F.lit(0)).cast("long")
 
 
-def entry_problems() -> dict[str, Column]:
-    """Rules for the rows of a ledger by event, as names and violated conditions."""
+def entry_problems(members: str = "member_seqs") -> dict[str, Column]:
+    """Rules for rows of a ledger's plain columns by event, as names and violated conditions."""
     c = F.col
     bound = c("event").isin("move", "deletion", "recreation")
     return {
@@ -129,14 +130,42 @@ def entry_problems() -> dict[str, Column]:
         "window not positive": bound & ~F.coalesce(c("observation_window_seconds") > 0, F.lit(False)),
         "fewer than two sources": bound & (F.coalesce(F.size("source_observations"), F.lit(0)) < 2),
         "gap missing": (c("event") == "recreation") & c("gap_seconds").isNull(),
-        "correlation empty": (c("event") == "correlation") & (F.coalesce(F.size(c("member_seqs")), F.lit(0)) < 1),
-        "correlation member not before its row": (c("event") == "correlation") & F.exists(F.coalesce("member_seqs", F.array().cast("array<bigint>")), lambda m: m >= c("seq")),
+        "correlation empty": (c("event") == "correlation") & (F.coalesce(F.size(c(members)), F.lit(0)) < 1),
+        "correlation member not before its row": (c("event") == "correlation") & F.exists(F.coalesce(members, F.array().cast("array<bigint>")), lambda m: m >= c("seq")),
         "status missing": c("event").isin("repo_unavailable", "repo_redirected") & c("http_status").isNull(),
         "location missing": (c("event") == "repo_redirected") & c("redirect_location").isNull(),
         "correction without target or reason": (c("event") == "correction") & (c("corrects_seq").isNull() | c("reason").isNull()),
     }
 
 
+def ledger_problems() -> dict[str, Column]:
+    """All rules for rows of the schema ENTRY, those of payloads and bindings included."""
+    c = F.col
+    digest, change = c("event") == "observation_digest", c("event") == "population_change"
+    paths = c("observation_digest.files.path")
+
+    def unstable(side: str) -> Column:
+        days = stable_days(micros(strict(c(f"{side}.first_observed"))), micros(strict(c(f"{side}.last_observed"))))
+        return c(side).isNotNull() & ~c(f"{side}.stable_days").eqNullSafe(days)
+
+    return entry_problems("correlation.member_seqs") | {
+        "correlation without batch": (c("event") == "correlation") & (F.coalesce(F.length("correlation.batch_id"), F.lit(0)) < 1),
+        "digest missing": digest & (c("observation_digest").isNull() | paths.isNull()),
+        "digest files out of order": digest & ~paths.eqNullSafe(F.array_sort(paths)),
+        "digest date not of 10 characters": digest & ~F.coalesce(F.octet_length("observation_digest.date") == 10, F.lit(False)),
+        "population change without repository or payload": change & (c("repo").isNull() | c("population_change").isNull()),
+        "transitive reason without a source at a commit": change & (c("population_change.reason.type") == "transitive") & ~F.coalesce(F.contains(c("population_change.reason.via"), F.lit("@")), F.lit(False)),
+        "correction with diff": (c("event") == "correction") & c("diff").isNotNull(),
+        "stable days not those of the binding": unstable("from") | unstable("to"),
+    }
+
+
+def observation_problems() -> dict[str, Column]:
+    """Rules for rows of the schema OBSERVATION."""
+    limited = (F.col("outcome.type") == "failed") & F.col("outcome.http_status").isin(403, 429)
+    return {"limit event missing": limited & F.col("secondary_limit_observed").isNull()}
+
+
 def problems(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Rows with problems, the names of the rules that they break."""
     names = F.filter(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in rules.items()]), lambda x: x.isNotNull())
