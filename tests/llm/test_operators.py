@@ -218,6 +218,22 @@ def test_html_of_deep_pages_is_extracted(spark):
     assert w.count("<blockquote>") == w.count("</blockquote>") == 1500 and "#text" in w
 
 
+def test_html_of_rare_templates_keeps_its_main_part(spark):
+    def page(i):
+        words = " ".join(f"w{i}x{k}" for k in range(20))
+        if i == 7:  # an article of another class
+            return f"<body><article class='post gallery'><p>{words}</article><div>Boiler {i}</div></body>"
+        if i == 8:  # the same beside a card of the common class
+            return f"<body><article class=post><p>card {i}</article><article class='post gallery'><p>{words}</article><div>Boiler {i}</div></body>"
+        if i == 9:  # no article at all
+            return f"<body><main><p>{words}</main><div>Boiler {i}</div></body>"
+        return f"<body><article class=post><p>{words * 4}</article><div>Boiler {i}</div></body>"
+
+    got = {r.page_id: r.text for r in html_wrappers.extract(pages(spark, [page(i) for i in range(30)])).collect()}
+    words = {i: " ".join(f"w{i}x{k}" for k in range(20)) for i in range(30)}
+    assert got[7] == words[7] and got[8] == f"card 8 {words[8]}" and got[9] == words[9] and got[10] == words[10] * 4
+
+
 # 5
 
 

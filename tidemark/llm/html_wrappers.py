@@ -11,7 +11,9 @@ part however many there are, and a host with a third of all pages is as many row
 In the wrapper, elements that are menus, headers, footers and so on by tag, role or class are set
 aside with all below them. The main part is the article or main element if there is one, and else the
 smallest element that holds most of the host's text that varies. A page's main text is then read off
-the slots of that part; on a page without any, off all slots that are not set aside.
+the slots of that part. A page of a rarer template, whose own article or main element holds more text
+than its share of that part, has the text of that element as well. On a page without any, the text is
+read off all slots that are not set aside.
 
 Defined cases: a null or empty html gives an empty text; a null url, or one without a host, belongs to
 a host of its own kind (""); unclosed and stray tags are tolerated; rows that repeat a page give a row
@@ -235,7 +237,7 @@ def elements(pages: DataFrame) -> DataFrame:
 
 
 def wrapper(nodes: pd.DataFrame) -> dict[str, set[int]]:
-    """Of a host's elements: those of the main part, and all that are not set aside."""
+    """Of a host's elements: those of the main part, all that are not set aside, and of these those of fixed text."""
     by = {r.node: r for r in nodes.itertuples()}
     kids: dict[int, list[int]] = {}
     for r in by.values():
@@ -248,9 +250,11 @@ def wrapper(nodes: pd.DataFrame) -> dict[str, set[int]]:
         todo += kids.get(n, [])
     all_pages = by[0].pages if 0 in by else 0
 
+    def fixed(r) -> bool:
+        return all_pages >= 3 and r.pages >= 3 and r.low == r.high and not r.repeated
+
     def weight(r) -> float:  # text that varies; what every page has alike is the template's
-        fixed = all_pages >= 3 and r.pages >= 3 and r.low == r.high and not r.repeated
-        return 0.0 if fixed else float(r.size - r.links)
+        return 0.0 if fixed(r) else float(r.size - r.links)
 
     def below(off: set[int]) -> dict[int, float]:
         held = {n: 0.0 if n in off else weight(by[n]) for n in order}
@@ -300,7 +304,8 @@ def wrapper(nodes: pd.DataFrame) -> dict[str, set[int]]:
     for n in order:
         if n not in off and (n in roots or n and by[n].parent in main):
             main.add(n)
-    return {"main": main, "plain": {n for n in order if n not in off}}
+    plain = {n for n in order if n not in off}
+    return {"main": main, "plain": plain, "fixed": {n for n in plain if fixed(by[n]) and by[n].size}}
 
 
 def expression(nodes: pd.DataFrame) -> str:
@@ -326,18 +331,55 @@ def expression(nodes: pd.DataFrame) -> str:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, main and plain (numbers of the elements), wrapper (the expression)."""
+    """host, main, plain and fixed (numbers of the elements), wrapper (the expression)."""
 
     def infer(nodes: pd.DataFrame) -> pd.DataFrame:
         w = wrapper(nodes)
-        return pd.DataFrame({"host": [nodes.host.iloc[0]], "main": [sorted(w["main"])], "plain": [sorted(w["plain"])], "wrapper": [expression(nodes)]})
+        return pd.DataFrame({"host": [nodes.host.iloc[0]], "main": [sorted(w["main"])], "plain": [sorted(w["plain"])], "fixed": [sorted(w["fixed"])], "wrapper": [expression(nodes)]})
 
-    return elements(pages).groupBy("host").applyInPandas(infer, "host string, main array<long>, plain array<long>, wrapper string")
+    return elements(pages).groupBy("host").applyInPandas(infer, "host string, main array<long>, plain array<long>, fixed array<long>, wrapper string")
 
 
-def read_off(root: Element, main: frozenset[int], plain: frozenset[int]) -> str:
+def own_main(root: Element, main: frozenset[int], plain: frozenset[int], fixed: frozenset[int]) -> set[int]:
+    """The elements of a page's own article or main element, if it holds more text than what the page has of main."""
+    found: list = []  # element, its number, place of its parent
+    todo: list = [(root, 0, -1)]
+    while todo:
+        e, number, up = todo.pop()
+        if number in plain:
+            found.append((e, number, up))
+            todo += [(k, child_id(number, k.label()), len(found) - 1) for k in e.kids if isinstance(k, Element)]
+    flagged = [k for k, (e, _, _) in enumerate(found) if e.main]
+    if all(found[k][1] in main for k in flagged):
+        return set()
+    held, known = [0] * len(found), 0
+    for k in range(len(found) - 1, -1, -1):
+        e, number, up = found[k]
+        own = 0 if number in fixed else sum(len(x[0].strip()) for x in e.kids if not isinstance(x, Element) and not x[1])
+        known += own * (number in main)
+        held[k] += own
+        if k:
+            held[up] += held[k]
+    for tags in (("article",), ("main",), ()):
+        share: dict[int, int] = {}
+        for k in flagged:
+            if not tags or found[k][0].tag in tags:
+                share[found[k][1]] = share.get(found[k][1], 0) + held[k]
+        top = max(share.values(), default=0)
+        if top and top >= 0.2 * held[0]:
+            if top <= known:
+                return set()
+            roots = {n for n, x in share.items() if x >= 0.2 * top}
+            inside = [False] * len(found)
+            for k, (_, number, up) in enumerate(found):
+                inside[k] = number in roots or k > 0 and inside[up]
+            return {number for k, (_, number, _) in enumerate(found) if inside[k]}
+    return set()
+
+
+def read_off(root: Element, main: frozenset[int], plain: frozenset[int], fixed: frozenset[int] = frozenset()) -> str:
     """The text in the main elements, block by block; in all plain ones where that is empty."""
-    for wanted in (main, plain):
+    for wanted in (main | own_main(root, main, plain, fixed), plain):
         parts: list[str] = []
         todo: list = [(root, 0)]
         while todo:
@@ -367,16 +409,16 @@ def extract(pages: DataFrame) -> DataFrame:
     allows and else joins by host, splitting hosts that are too large.
     """
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    known = stage(wrappers(rows).select("host", "main", "plain"), "wrappers")
-    joined = rows.join(known, "host").select("page_id", "url", "html", "main", "plain")
+    known = stage(wrappers(rows).select("host", "main", "plain", "fixed"), "wrappers")
+    joined = rows.join(known, "host").select("page_id", "url", "html", "main", "plain", "fixed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, sets = [], {}
-            for html, main, plain in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
-                key = (main.values.to_numpy().tobytes(), plain.values.to_numpy().tobytes())
+            for html, *own in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), batch.column(5), strict=True):
+                key = tuple(x.values.to_numpy().tobytes() for x in own)
                 if key not in sets:
-                    sets[key] = (frozenset(main.as_py()), frozenset(plain.as_py()))
+                    sets[key] = tuple(frozenset(x.as_py()) for x in own)
                 texts.append(read_off(parse(html or ""), *sets[key]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
