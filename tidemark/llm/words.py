@@ -6,14 +6,16 @@ random 64-bit byte values, followed by a mixing step; they depend only on the wo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -44,7 +46,9 @@ def powers(n: int, root: int = _ROOT) -> tuple[np.ndarray, np.ndarray]:
             p = np.ones(size, np.uint64)
             p[1:] = b
             both.append(np.multiply.accumulate(p))
-        have = _powers[root] = (both[0], both[1])
+        have = (both[0], both[1])
+        if n <= BLOCK_BYTES:  # those of a longer text go with it
+            _powers[root] = have
     return have
 
 
@@ -113,3 +117,23 @@ def parts(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[int, int,
     data, off = utf8(batch.column(batch.schema.get_field_index(text)))
     for a, b in blocks(off):
         yield a, b, data[off[a] : off[b]], off[a : b + 1] - off[a]
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow over batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes; a longer row is alone.
+
+    Sets the session's Arrow batch sizes, so that what a worker holds depends on its longest text and
+    not on how many rows Spark would hand it at once. Memory that a partition no longer needs goes
+    back to the system at its end, as workers are used again.
+    """
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(bounded, schema)
