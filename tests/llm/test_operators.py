@@ -472,7 +472,6 @@ def test_packing(spark, docs, rows):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     ids = {i: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for i, t in rows.items()}
     got = packing.op10(docs).collect()
     parts, bins = collections.defaultdict(list), collections.defaultdict(list)
@@ -500,10 +499,9 @@ def test_ids_equal_those_of_the_tokenizers_file():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     rng = random.Random(1)
     letters = "aA1 \n\té'.,!<>|中\U0001f600́​\xa0\x85 sdt"
-    for text in ["<|endoftext|> x", "it's  \n\n x", *["".join(rng.choice(letters) for _ in range(50)) for _ in range(500)]]:
+    for text in ["<|endoftext|> x", "a <|endoftext|> b<|endoftext|>", "a<|endoftext|>\n\n b", "it's  \n\n x", *["".join(rng.choice(letters) for _ in range(50)) for _ in range(500)]]:
         assert packing.token_ids(text)[:-1].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.storage import stage
+from tidemark.llm.words import map_batches
 
 THRESHOLD, TILE, RANGES, SAMPLE, LEADS, ROWS_AT_ONCE, SLACK = 0.95, 4096, 256, 4096, (8, 16, 32), 256, 1e-5
 
@@ -53,7 +54,7 @@ def usable(vectors: DataFrame) -> DataFrame:
                 digest.append(hashlib.blake2b(raw[-1], digest_size=16).digest() if good else None)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(d, pa.int32()), pa.array(digest, pa.binary()), pa.array(raw, pa.binary())], ["vec_id", "d", "digest", "raw"])
 
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "vec_id long, d int, digest binary, raw binary")
+    return map_batches(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"), run, "vec_id long, d int, digest binary, raw binary")
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -114,7 +115,7 @@ def blocks(rows: DataFrame, axes: Axes, d: int, tile: int, threshold: float) ->
             x = x @ shared.value.turn
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(r.astype(np.int32)), pa.array([v.tobytes() for v in x], pa.binary())], ["rep", "n", "range", "x"])
 
-    turned = stage(rows.select("rep", "n", "raw").mapInArrow(turn, "rep long, n long, range int, x binary"), "turned")
+    turned = stage(map_batches(rows.select("rep", "n", "raw"), turn, "rep long, n long, range int, x binary"), "turned")
     tiles = Tiles({r[0]: r[1] for r in turned.groupBy("range").count().collect()}, axes.edges, tile, threshold)
     pick = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("range") + 1)
     turned = turned.withColumn("tile", (pick(tiles.first) + F.pmod(F.xxhash64("rep"), pick(tiles.split))).cast("int"))
@@ -203,7 +204,7 @@ def compare(pairs: DataFrame, d: int, threshold: float) -> DataFrame:
                 has = links > 0
                 yield pa.RecordBatch.from_arrays([pa.array(reps[has]), pa.array(reps[roots.find()][has]), pa.array(links[has])], ["rep", "root", "links"])
 
-    return pairs.mapInArrow(run, "rep long, root long, links long")
+    return map_batches(pairs, run, "rep long, root long, links long")
 
 
 def links_of_length(different: DataFrame, d: int, threshold: float, tile: int) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.storage import stage, with_likely
-from tidemark.llm.words import blocks, utf8
+from tidemark.llm.words import blocks, map_batches, utf8
 
 WINDOW, LEAST, MOST, MASK_BITS = 32, 512, 16384, 11
 _GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -81,7 +81,7 @@ def recipes(docs: DataFrame, id_bits: int = 64, id_col: str = "doc_id", text_col
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(id_col, text_col, row_key(id_col, text_col).alias("_key"))
-    return rows.mapInArrow(run, f"{id_col} {kind}, _key string, text_sha256 string, chunks array<struct<id:bigint,digest:binary>>")
+    return map_batches(rows, run, f"{id_col} {kind}, _key string, text_sha256 string, chunks array<struct<id:bigint,digest:binary>>")
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:

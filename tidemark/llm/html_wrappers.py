@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.storage import stage
+from tidemark.llm.words import map_batches
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^<>]*)>", re.S)
 NAMES = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -230,7 +231,7 @@ def elements(pages: DataFrame) -> DataFrame:
         columns = list(zip(*((*k, *v) for k, v in seen.items()), strict=True)) or [()] * len(kinds)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in NODES.split(", ")])
 
-    made = pages.select("host", "html").mapInArrow(run, NODES)
+    made = map_batches(pages.select("host", "html"), run, NODES)
     first = [F.first(c).alias(c) for c in ("parent", "label", "tag", "aside", "main")]
     sums = [F.sum("pages").alias("pages"), F.bool_or("repeated").alias("repeated"), F.sum("size").alias("size"), F.sum("links").alias("links"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("place").alias("place")]
     return made.groupBy("host", "node").agg(*first, *sums)
@@ -423,4 +424,4 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return map_batches(joined, run, f"page_id {kind}, url string, text string, n_chars long")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import parts
+from tidemark.llm.words import map_batches, parts
 
 SYMBOLS, DIMENSIONS, SEED = 64, 1024, 11
 _tables: dict = {}
@@ -100,7 +100,7 @@ def counts(rows: DataFrame) -> DataFrame:
             t = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(t), pa.string()), pa.array(t.astype(np.int32)), pa.array(n[t])], ["lang", "trigram", "n"])
 
-    made = rows.select("lang", "text").mapInArrow(run, "lang string, trigram int, n long")
+    made = map_batches(rows.select("lang", "text"), run, "lang string, trigram int, n long")
     return made.groupBy("lang", "trigram").agg(F.sum("n").alias("n"))
 
 
@@ -155,7 +155,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64())], [id_col, "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, "text").mapInArrow(run, f"{id_col} {kind}, lang_pred string, score double")
+    return map_batches(docs.select(id_col, "text"), run, f"{id_col} {kind}, lang_pred string, score double")
 
 
 def op6(docs: DataFrame) -> DataFrame:

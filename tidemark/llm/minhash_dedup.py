@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.storage import likely_in, stage, with_likely
-from tidemark.llm.words import Words, grams, mix, parts
+from tidemark.llm.words import Words, grams, map_batches, mix, parts
 
 SHINGLE, LEAST_HUNDREDTHS = 5, 75
 PLACES, BANDS, BAND_ROWS, SIGNATURE, LEAST_EQUAL = 1 << 20, 32, 4, 512, 349
@@ -108,7 +108,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sa, pa.int64()), pa.array(sb, pa.int64()), *lists], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "bits"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
                 at = np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets).view(np.int64)))], ["rep", "set"])
 
-    return docs.select("rep", "text").mapInArrow(run, f"rep {docs.schema['rep'].dataType.simpleString()}, set array<long>")
+    return map_batches(docs.select("rep", "text"), run, f"rep {docs.schema['rep'].dataType.simpleString()}, set array<long>")
 
 
 def similar(na: Column, nb: Column, both: Column) -> Column:

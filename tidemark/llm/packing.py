@@ -10,8 +10,9 @@ is what packing bin after bin would do. Spark numbers the pieces of each length,
 its bin and place in the plan by its number. Pieces of one length are numbered in SALTS parts, as one
 length may hold a third of all rows.
 
-Token ids are those of the byte-level BPE of ``byte_bpe_50k.json`` with no special tokens (their
-strings in a text are ordinary text), computed from the same vocabulary as ranks.
+Token ids are those that tokenizers gives with ``byte_bpe_50k.json`` and add_special_tokens=False: no
+token is added, and the string of the file's special token in a text is that token. They are computed
+from the same vocabulary as ranks.
 
 Defined cases: a null or empty text is the single id 0; rows that repeat an id are packed each; an
 empty table gives an empty result; other columns are ignored.
@@ -29,9 +30,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.storage import stage
-from tidemark.llm.words import utf8
+from tidemark.llm.words import map_batches, utf8
 
 MOST, SALTS, END = 2048, 256, 0
+SPECIAL = {"<|endoftext|>": 50256}
 _encoders: dict = {}
 
 
@@ -42,13 +44,13 @@ def encoder(ranks: str | None = None):
         import tiktoken
 
         lines = (x.split() for x in open(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))
-        _encoders[ranks] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in lines}, special_tokens={})
+        _encoders[ranks] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in lines}, special_tokens=SPECIAL)
     return _encoders[ranks]
 
 
 def token_ids(text: str, ranks: str | None = None) -> np.ndarray:
     """Little-endian unsigned 32-bit ids of a document, the end id included."""
-    return np.append(encoder(ranks).encode_to_numpy(text, disallowed_special=()), END).astype("<u4")
+    return np.append(encoder(ranks).encode_to_numpy(text, allowed_special="all"), END).astype("<u4")
 
 
 def piece_starts(n: int, most: int = MOST) -> list[int]:
@@ -62,10 +64,9 @@ def pieces(docs: DataFrame, most: int = MOST, ranks: str | None = None, ids: boo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = utf8(batch.column(1))
-            raw = data.tobytes()
             rows: list[list] = [[], [], [], [], [], []]
             for i in range(len(batch)):
-                t = token_ids(raw[off[i] : off[i + 1]].decode(), ranks)
+                t = token_ids(data[off[i] : off[i + 1]].tobytes().decode(), ranks)
                 for k, a in enumerate(starts := piece_starts(len(t), most)):
                     p = t[a : starts[k + 1] if k + 1 < len(starts) else len(t)]
                     for column, x in zip(rows, (i, k, a, len(p), zlib.crc32(p.tobytes()), p if ids else None), strict=True):
@@ -74,7 +75,7 @@ def pieces(docs: DataFrame, most: int = MOST, ranks: str | None = None, ids: boo
             yield pa.RecordBatch.from_arrays([*out, pa.array(rows[5], pa.list_(pa.int32()))][: 5 + ids], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + ids])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids)
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids)
 
 
 class Stock:
@@ -187,7 +188,7 @@ def pack(made: DataFrame, most: int = MOST) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sequence), pa.array(offset)], [*batch.schema.names, "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{kinds}, sequence_id long, offset long").drop("_rank")
+    return map_batches(rows, run, f"{kinds}, sequence_id long, offset long").drop("_rank")
 
 
 def op10(docs: DataFrame) -> DataFrame:

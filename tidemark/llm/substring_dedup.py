@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.storage import likely_in, stage
-from tidemark.llm.words import Words, grams, parts
+from tidemark.llm.words import Words, grams, map_batches, parts
 
 SPAN, ANCHOR, CROWD, SHARD_ROWS = 35, 12, 2000, 4000
 
@@ -99,7 +99,7 @@ def survey(docs: DataFrame, span: int, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(sha, pa.string()), lists], ["doc_id", "id", "print", "n_words", "sha", "anchors"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", *row_key(), "text").mapInArrow(run, f"doc_id {kind}, id string, print long, n_words long, sha string, anchors array<long>")
+    return map_batches(docs.select("doc_id", *row_key(), "text"), run, f"doc_id {kind}, id string, print long, n_words long, sha string, anchors array<long>")
 
 
 STRETCH = "id string, print long, run int, route long, digest binary"
@@ -127,7 +127,7 @@ def stretches(texts: DataFrame, span: int, k: int, words: bool) -> DataFrame:
                 out = [*head, pa.array(route, pa.int64()), pa.array(digest, pa.binary()), *([pa.array(raw, pa.binary())] if words else [])]
                 yield pa.RecordBatch.from_arrays(out, ["route", "digest", "words"] if words else ["id", "print", "run", "route", "digest"])
 
-    return texts.select("id", "print", "text", "runs").mapInArrow(run, "route long, digest binary, words binary" if words else STRETCH)
+    return map_batches(texts.select("id", "print", "text", "runs"), run, "route long, digest binary, words binary" if words else STRETCH)
 
 
 class Automaton:
@@ -247,7 +247,7 @@ def single_windows(rows: DataFrame, span: int) -> DataFrame:
             kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["from_route", "from_digest", "at", "route", "digest", "words", "n"])
 
-    return rows.select("route", "digest", "words", "n").mapInArrow(run, "from_route long, from_digest binary, at int, route long, digest binary, words binary, n long")
+    return map_batches(rows.select("route", "digest", "words", "n"), run, "from_route long, from_digest binary, at int, route long, digest binary, words binary, n long")
 
 
 def repeated_windows(distinct: DataFrame, span: int, crowd: int, shard_rows: int) -> DataFrame:
@@ -290,7 +290,7 @@ def cut(texts: DataFrame, span: int, k: int) -> DataFrame:
                     kept.append(text.decode())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], ["id", "print", "n_removed", "kept_sha256", "kept"])
 
-    return texts.select("id", "print", "text", "found").mapInArrow(run, "id string, print long, n_removed long, kept_sha256 string, kept string")
+    return map_batches(texts.select("id", "print", "text", "found"), run, "id string, print long, n_removed long, kept_sha256 string, kept string")
 
 
 def removals(docs: DataFrame, span: int = SPAN, k: int = ANCHOR, crowd: int = CROWD, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame]:

@@ -36,7 +36,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.language_id import fold
-from tidemark.llm.words import Words, mix, parts
+from tidemark.llm.storage import stage
+from tidemark.llm.words import Words, map_batches, mix, parts
 
 ROWS, WORDS, DISCOUNT, RARE, RARE_PAIR, SPANS, THRESHOLD = 6000, 2_000_000, 0.75, 8, 200, (1, 4), 0.7
 _START = np.uint64(0x51A7)
@@ -88,12 +89,16 @@ def pair_counts(rows: DataFrame) -> DataFrame:
                     own = np.flatnonzero(toxic == c)[k]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), c, np.int32)), pa.array(before[own].view(np.int64)), pa.array(h[own].view(np.int64)), pa.array(n.astype(np.int64))], ["toxic", "before", "word", "n"])
 
-    made = rows.select("toxic", "text").mapInArrow(run, "toxic int, before long, word long, n long")
+    made = map_batches(rows.select("toxic", "text"), run, "toxic int, before long, word long, n long")
     return made.groupBy("toxic", "before", "word").agg(F.sum("n").alias("n"))
 
 
 def sample(docs: DataFrame, labels: DataFrame, held: int = 1, folds: int = 3, rows: int = ROWS, words: int = WORDS) -> DataFrame:
-    """toxic, part (0 counts, 1 calibration) and text of the bounded sample."""
+    """toxic, part (0 calibration, else counts) and text of the bounded sample.
+
+    Each 16 bytes count as a word at least, so the bound holds for texts without white space too; a text that
+    is over the whole bound alone is not learned from. Which documents are in is decided on ids and sizes.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id"), folds) != held)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     order = F.xxhash64(F.col("doc_id"), F.lit("toxicity"))
     chosen = None
@@ -102,10 +107,12 @@ def sample(docs: DataFrame, labels: DataFrame, held: int = 1, folds: int = 3, ro
         chosen = own if chosen is None else chosen.unionByName(own)
     # at most 2 x rows ids
     found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
-    n = F.length(F.regexp_replace("text", r"[^\x20\x09-\x0D]+", "x"))
-    before = Window.partitionBy("toxic").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumn("_n", n).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    return found.where(F.col("_before") < words).select("toxic", F.pmod(F.col("_order"), F.lit(4)).cast("int").alias("part"), "text")
+    n = F.greatest(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), F.ceil(F.octet_length("text") / 16))
+    sizes = found.groupBy("toxic", "_order", "doc_id").agg(F.sum(n).alias("_n")).where(F.col("_n") <= words)
+    through = F.sum("_n").over(Window.partitionBy("toxic").orderBy("_order", "doc_id"))
+    taken = stage(sizes.withColumn("_through", through).where(F.col("_through") <= words).select("toxic", "_order", "doc_id"), "sample-ids")
+    part = F.pmod(F.col("_order"), F.lit(4)).cast("int")
+    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(taken), "doc_id").select("toxic", part.alias("part"), "text")
 
 
 class Model:
@@ -180,25 +187,25 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 
 def learn(docs: DataFrame, labels: DataFrame, held: int = 1, folds: int = 3) -> tuple[Model, np.ndarray] | None:
     """The model and the logistic's weights; None if a class has no document to learn from."""
-    rows = sample(docs, labels, held, folds).persist()
-    try:
-        t = pair_counts(rows.where("part <> 0")).toArrow()
-        rest = rows.where("part = 0").select("toxic", "text").toArrow()
-    finally:
-        rows.unpersist()
+    rows = stage(sample(docs, labels, held, folds), "sample")
+    t = pair_counts(rows.where("part <> 0")).toArrow()
     toxic = t["toxic"].to_numpy()
     if len(np.unique(toxic)) < 2:
         return None
     model = Model(toxic, *(t[c].to_numpy() for c in ("before", "word", "n")))
-    x, y = [], []
-    for batch in rest.to_batches():
-        y.append(batch.column(0).to_numpy(zero_copy_only=False).astype(float))
-        for _, _, data, off in parts(batch):
-            x.append(model.differences(data, off))
-    y_ = np.concatenate([np.zeros(0), *y])
-    if len(np.unique(y_)) < 2:
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.concatenate([np.zeros((0, 2 + len(SPANS))), *(shared.value.differences(data, off) for _, _, data, off in parts(batch))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["toxic", "x"])
+
+    rest = map_batches(rows.where("part = 0").select("toxic", "text"), features, "toxic int, x array<double>").orderBy("toxic", "x").collect()
+    shared.destroy()
+    y = np.array([r.toxic for r in rest], float)
+    if len(np.unique(y)) < 2:
         return None
-    return model, logistic(np.concatenate(x), y_)
+    return model, logistic(np.array([r.x for r in rest]), y)
 
 
 def score(docs: DataFrame, learned: tuple[Model, np.ndarray] | None, keep: list[str]) -> DataFrame:
@@ -218,7 +225,7 @@ def score(docs: DataFrame, learned: tuple[Model, np.ndarray] | None, keep: list[
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(np.concatenate(out))], [*keep, "_score"])
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{kinds}, _score double")
+    return map_batches(rows, run, f"{kinds}, _score double")
 
 
 def op7(docs: DataFrame, labels: DataFrame) -> DataFrame:
