@@ -293,11 +293,47 @@ def test_language_of_odd_texts(spark, docs):
 def test_profiles_are_sums_of_their_trigrams():
     data = np.frombuffer(b"abc abd", np.uint8)
     t, _ = language_id.trigrams(*language_id.padded(data, np.array([0, 7])))
-    whole = sum(language_id.vectors(np.array([x]))[0] for x in t)
+    whole = sum(language_id.vectors(np.array([x], np.uint64))[0] for x in t)
     one = (whole / np.linalg.norm(whole)).astype(np.float32)[None]
     assert abs(language_id.cosines(data, np.array([0, 7]), one)[0][0, 0] - 1) < 1e-5
 
 
+def test_languages_equal_brute_force(spark):
+    """Prototypes and cosines summed letter by letter, over scripts that share no letter."""
+    rng = random.Random(4)
+    sets = {"aa": "abcdef", "bb": "дежзий", "cc": "αβγδεζ", "dd": "漢字仮名交文"}
+    rows = [(i, lang, " ".join("".join(rng.choice(sets[lang]) for _ in range(rng.randint(1, 7))) for _ in range(9))) for i in range(80) for lang in [rng.choice(sorted(sets))]]
+    letter = {c: language_id.letter_vectors(np.array([ord(c) if c != " " else 0]))[0].astype(int) for c in {*"".join(sets.values()), " "}}
+
+    def total(text):
+        s = f" {text} "
+        return sum(np.roll(letter[a], 2) * np.roll(letter[b], 1) * letter[c] for a, b, c in zip(s, s[1:], s[2:]))
+
+    held = {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2}
+    sums = {x: sum(total(t) for i, lang, t in rows if lang == x and i not in held) for x in sets}
+    got = {r.doc_id: r for r in language_id.op6(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()}
+    for i, lang, t in rows:
+        v = total(t)
+        want = {x: v @ s / np.linalg.norm(v) / np.linalg.norm(s) for x, s in sums.items()}
+        best = max(sorted(want), key=want.get)
+        assert got[i].lang_pred == best == lang and abs(got[i].score - want[best]) < 1e-5
+
+
+def test_languages_of_many_short_rows_need_little_memory():
+    import tracemalloc
+
+    rng = random.Random(5)
+    text = [" ".join("".join(chr(rng.choice((0x61, 0x430, 0x3B1, 0x4E00)) + rng.randrange(20)) for _ in range(6)) for _ in range(10)) for _ in range(2000)]
+    data = np.frombuffer("".join(text).encode(), np.uint8)
+    off = np.append(0, np.cumsum([len(x.encode()) for x in text]))
+    language_id.letters()
+    tracemalloc.start()
+    c, letters = language_id.cosines(data, off, np.eye(2, language_id.DIMENSIONS, dtype=np.float32))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert letters.all() and c.shape == (2000, 2) and peak < 200e6
+
+
 # 7
 
 

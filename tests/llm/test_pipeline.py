@@ -4,6 +4,7 @@ import collections
 import hashlib
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from tests.conftest import SMALL
 from tests.llm.test_operators import lower
 from tidemark.llm import mixing, toxicity
@@ -66,3 +67,22 @@ def test_stages(spark, duck):
             at += length
         assert at <= 2048
     assert len(bins) <= 1.02 * sum(r.length for r in rows) / 2048 + 1
+
+
+def test_stages_with_clashing_names_odd_rows_and_long_texts(spark):
+    """Rows keep their own columns whatever these are called; null ids and texts, empty and long ones pass."""
+    names = ["_key", "_p", "_likely", "_bucket", "_bit", "_score", "_row", "_n", "_stay", "_copy", "row", "score"]
+    long = " ".join(f"w{k % 5003}x{k % 7919}" for k in range(400_000))
+    rows = [(1, long), (2, long), (3, None), (4, ""), (None, "a b c d e f g"), (5, "one two three"), (6, "one two three"), (6, "one two three")]
+    docs = spark.createDataFrame([(i, "s", "en", t) for i, t in rows], "doc_id long, source string, lang string, text string")
+    docs = docs.withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for n in names})
+    for empty in (False, True):
+        now = docs.limit(0) if empty else docs
+        for name, f in corpus_pipeline.STAGES[:-1]:
+            now = stage(f(spark, now, SMALL), "clash")
+            assert sorted(now.columns) == sorted(docs.columns), name
+            for r in now.drop("text").collect():
+                assert all(r[n] == n + ("none" if r.doc_id is None else str(r.doc_id)) for n in names), name
+        ids = {r.doc_id for r in now.select("doc_id").collect()}
+        assert ids <= {None, 2, 4, 5, 6} and (not empty or not ids)
+        assert corpus_pipeline.pack(spark, now, SMALL).count() >= len(ids)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import stage, with_likely
+from tidemark.llm.storage import stage, with_likely, with_row
 from tidemark.llm.words import blocks, map_batches, utf8
 
 WINDOW, LEAST, MOST, MASK_BITS = 32, 512, 16384, 11
@@ -128,9 +128,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     rows = decided(docs).groupBy("_key").agg(F.count("*").alias("_n"), F.count_if("kept").alias("_stay")).where("_stay < _n").select("_key", "_stay")
     rows = stage(rows, "dropped")
-    marked = with_likely(docs.withColumn("_key", row_key()), "_key", rows)
+    marked = with_likely(with_row(docs, _key=row_key()), "_key", rows)
     some = marked.where("_likely").join(rows, "_key", "left").withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
-    return marked.where("not _likely").select(docs.columns).unionByName(some.where("_stay is null or _n <= _stay").select(docs.columns))
+    return marked.where("not _likely").select("row.*").unionByName(some.where("_stay is null or _n <= _stay").select("row.*"))
 
 
 ORACLE_SQL = """

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.storage import likely_in, stage, with_likely
+from tidemark.llm.storage import likely_in, stage, with_likely, with_row
 from tidemark.llm.words import Words, grams, map_batches, mix, parts
 
 SHINGLE, LEAST_HUNDREDTHS = 5, 75
@@ -197,9 +197,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Only documents that may have to go are shuffled.
     """
     dropped = stage(dedup(docs).where("not kept").select("doc_id").distinct(), "dropped")
-    marked = with_likely(docs, "doc_id", dropped)
+    marked = with_likely(with_row(docs, doc_id=F.col("doc_id")), "doc_id", dropped)
     some = marked.where("_likely").join(dropped, "doc_id", "left_anti")
-    return marked.where("not _likely").select(docs.columns).unionByName(some.select(docs.columns))
+    return marked.where("not _likely").select("row.*").unionByName(some.select("row.*"))
 
 
 ORACLE_SQL = r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -59,6 +59,11 @@ def with_likely(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return marked.withColumn("_likely", F.coalesce(set_, F.lit(False))).select(*df.columns, "_likely")
 
 
+def with_row(docs: DataFrame, **more: Column) -> DataFrame:
+    """Each row as the one struct ``row`` beside the columns of ``more``, which so clash with none of its own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in more.items()])
+
+
 def likely_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """The rows whose key is in ``keys``, and a few others by chance."""
     return with_likely(df, key, keys).where("_likely").drop("_likely")

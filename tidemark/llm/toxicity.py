@@ -208,8 +208,8 @@ def learn(docs: DataFrame, labels: DataFrame, held: int = 1, folds: int = 3) ->
     return model, logistic(np.array([r.x for r in rest]), y)
 
 
-def score(docs: DataFrame, learned: tuple[Model, np.ndarray] | None, keep: list[str]) -> DataFrame:
-    """The columns to keep and _score of every text."""
+def score(docs: DataFrame, learned: tuple[Model, np.ndarray] | None, keep: list[str], name: str = "_score") -> DataFrame:
+    """The columns to keep and the score of every text, under a name that is none of theirs."""
     shared = docs.sparkSession.sparkContext.broadcast(learned)
     rows = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
 
@@ -222,10 +222,10 @@ def score(docs: DataFrame, learned: tuple[Model, np.ndarray] | None, keep: list[
                 else:
                     model, weights = shared.value
                     out.append(1 / (1 + np.exp(-np.clip(model.differences(data, off) @ weights, -50, 50))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(np.concatenate(out))], [*keep, "_score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(np.concatenate(out))], [*keep, name])
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return map_batches(rows, run, f"{kinds}, _score double")
+    return map_batches(rows, run, f"{kinds}, `{name}` double")
 
 
 def op7(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -235,4 +235,5 @@ def op7(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score under the threshold, all columns."""
-    return score(docs, learn(docs, labels), docs.columns).where(F.col("_score") < threshold).drop("_score")
+    name = "_score" + "_" * max(map(len, docs.columns))
+    return score(docs, learn(docs, labels), docs.columns, name).where(F.col(name) < threshold).drop(name)
