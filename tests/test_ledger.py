@@ -35,6 +35,19 @@ def test_right_ledger_verifies(spark):
     assert v.valid and v.entries == 12 and v.first_seq == 0 and v.last_seq == 11
 
 
+def test_linked_rows_verify(spark):
+    """link() makes the hashes of a ledger written by hand, in one append or two, and violations() finds none."""
+    want = [(r["seq"], r["prev_hash"], r["entry_hash"]) for r in chain()]
+    rows = load(spark, chain()).withColumns({c: F.lit(None).cast("string") for c in ("prev_hash", "entry_hash")})
+    first = ledger.link(rows.where("seq < 7"), ["recorded_at"])
+    last = first.orderBy(F.desc("seq")).first()
+    both = first.unionByName(ledger.link(rows.where("seq >= 7"), ["recorded_at"], (last.seq, last.entry_hash)))
+    assert [tuple(r) for r in both.select("seq", "prev_hash", "entry_hash").orderBy("seq").collect()] == want
+    assert ledger.violations(both).count() == 0
+    bad = ledger.violations(both.withColumn("reason", F.when(F.col("seq") == 3, "x").otherwise(F.col("reason")))).collect()
+    assert [(r.seq, r.what) for r in bad] == [(3, "hash mismatch")]
+
+
 @pytest.mark.parametrize("part", [3, 1 << 20])
 def test_row_before_crosses_parts(spark, part):
     rows = spark.createDataFrame([(x, f"v{x}") for x in (0, 1, 2, 7, 8, 20, 21)], "seq long, v string")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.canonical import entry_hash
+from tidemark.functions.canonical import canonical_json, entry_hash
 from tidemark.functions.times import micros, strict
 
 GENESIS = "sha256:" + "0" * 64
@@ -35,26 +35,31 @@ def gaps(rows: DataFrame, seq: str) -> DataFrame:
     return out.where(F.col(seq) != F.col(f"prev_{seq}") + 1).select(F.col(f"prev_{seq}").alias("last_seq"), F.col(seq).alias("next_seq"), (F.col(seq) - F.col(f"prev_{seq}") - 1).alias("missing"))
 
 
-def link(rows: DataFrame, order: list[str], start: str = GENESIS) -> DataFrame:
-    """seq, prev_hash and entry_hash of new rows, which depend on each other in order.
+def link(rows: DataFrame, order: list[str], tip: tuple[int, str] = (-1, GENESIS)) -> DataFrame:
+    """seq, prev_hash and entry_hash of new rows after a tip (its number and hash), as violations() checks them.
 
-    Only for the rows of one append: each hash needs the one before, so this is one task by nature.
-    Checking a ledger needs none of it (see violations).
+    The hash is over the canonical row with seq and prev_hash inside, so each needs the one before: for
+    the rows of one append this is one task by nature. Checking a ledger needs none of it.
     """
+    rows = rows.drop("seq", "prev_hash", "entry_hash")
     names = list(rows.columns)
-    text = F.to_json(F.struct(*[F.col(c) for c in sorted(names)]))
+    rows = rows.withColumn("seq", F.row_number().over(Window.orderBy(*order)) + F.lit(tip[0]).cast("long"))
+    inner = lambda columns: F.expr("substring(_t, 2, length(_t) - 2)") if columns else F.lit("")
+    for name, some in (("_head", [c for c in names if c < "prev_hash"]), ("_tail", [c for c in [*names, "seq"] if c > "prev_hash"])):
+        rows = rows.withColumn("_t", canonical_json(rows, some)).withColumn(name, inner(some)).drop("_t")
 
     def fold(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(order, kind="stable").reset_index(drop=True)
-        now, before, own = start, [], []
-        for x in t["_text"]:
+        t = t.sort_values("seq").reset_index(drop=True)
+        now, before, own = tip[1], [], []
+        for head, tail in zip(t["_head"], t["_tail"], strict=True):
             before.append(now)
-            now = "sha256:" + hashlib.sha256((now + x).encode()).hexdigest()
+            text = ",".join(x for x in (head, f'"prev_hash":"{now}"', tail) if x)
+            now = "sha256:" + hashlib.sha256(f"{{{text}}}".encode()).hexdigest()
             own.append(now)
-        return t[names].assign(seq=range(len(t)), prev_hash=before, entry_hash=own)
+        return pd.DataFrame({"seq": t["seq"], "prev_hash": before, "entry_hash": own})
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.withColumns({"_text": text, "_all": F.lit(1)}).groupBy("_all").applyInPandas(fold, f"{kinds}, seq long, prev_hash string, entry_hash string")
+    hashes = rows.select("seq", "_head", "_tail", F.lit(1).alias("_all")).groupBy("_all").applyInPandas(fold, "seq long, prev_hash string, entry_hash string")
+    return rows.select(*names, "seq").join(hashes, "seq").select(*names, "seq", "prev_hash", "entry_hash")
 
 
 def violations(ledger: DataFrame) -> DataFrame:

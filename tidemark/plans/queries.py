@@ -239,9 +239,9 @@ def q18_chain_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH RECURSIVE n AS (SELECT *, row_number() OVER (ORDER BY n_nationkey) - 1 AS seq,
-  '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey::VARCHAR || ',"n_regionkey":' || n_regionkey::VARCHAR || '}' AS txt FROM nation),
-r AS (SELECT seq, n_nationkey, 'sha256:' || repeat('0', 64) AS prev_hash, 'sha256:' || sha256('sha256:' || repeat('0', 64) || txt) AS entry_hash FROM n WHERE seq = 0
-  UNION ALL SELECT n.seq, n.n_nationkey, r.entry_hash, 'sha256:' || sha256(r.entry_hash || n.txt) FROM r JOIN n ON n.seq = r.seq + 1)
+  '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey::VARCHAR || ',"n_regionkey":' || n_regionkey::VARCHAR || ',"prev_hash":"' AS head FROM nation),
+r AS (SELECT seq, n_nationkey, 'sha256:' || repeat('0', 64) AS prev_hash, 'sha256:' || sha256(head || 'sha256:' || repeat('0', 64) || '","seq":0}') AS entry_hash FROM n WHERE seq = 0
+  UNION ALL SELECT n.seq, n.n_nationkey, r.entry_hash, 'sha256:' || sha256(n.head || r.entry_hash || '","seq":' || n.seq::VARCHAR || '}') FROM r JOIN n ON n.seq = r.seq + 1)
 SELECT seq, n_nationkey, prev_hash, entry_hash FROM r""")
 def q19_hash_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
