@@ -8,7 +8,7 @@ size of the table; this bounds what the driver holds and what is broadcast.
 Law: ``bytes``. Slots are placed by their summed bytes, largest first on the lightest shard.
 
 Defined cases: a null text has size 16 (its overhead) and checksum 0, as the empty text; rows with a
-null id are placed by their text; identical rows share a slot and get different places in it; an
+null id are dealt over the slots by their place in the input; identical rows share a slot and get different places in it; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -118,7 +118,7 @@ def text_size(text: Column) -> Column:
 def in_slots(docs: DataFrame, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, size, text_crc32 and virtual_slot of every record."""
     crc = F.crc32(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))
-    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("crc"), crc.cast("string"))))
+    key = F.when(F.col(id_col).isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64(F.col(id_col).cast("string")))
     return docs.select(F.col(id_col), text_size(F.col(text_col)).alias("size"), crc.alias("text_crc32"), F.pmod(key, F.lit(n_slots)).cast("int").alias("virtual_slot"))
 
 
