@@ -1,15 +1,18 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame functions alone.
 
-A source's target divided by its size gives the expected copies of each of its documents. The whole
-part of that is allocated for certain. For the fraction p that remains, documents are ranked by the
-odds of a random number over the odds of inclusion, q = (u / (1 - u)) / (p / (1 - p)), and taken in
-that order until the source's words are spent: a sample of fixed size in words, with inclusion
-probabilities that differ by source. What is left of the target is then filled by the one document
-that comes closest to it, if that helps.
+A source's target divided by its size gives the expected copies of each of its words. The whole part
+of that is allocated to every document for certain. What remains of the target goes by unequal
+inclusion probabilities: a document's is proportional to its words, odds * size, where odds makes the
+expected words of the sample equal to what remains; documents for which that is 1 or more are in for
+certain and the factor is that of the others. These are ranked by the odds of a random number over the
+odds of inclusion, q = (u / (1 - u)) / (pi / (1 - pi)), and taken in that order until the remaining
+words are spent: a sample of fixed size in words. What is then left of the target is filled by the one
+document that comes closest to it, if that helps.
 
 u comes from the md5 of the seed and the id, so reruns agree. Ranks are found without sorting a
 source in one task: words are summed by source and slice of q, the slice in which the target is
-reached is found from these sums, and only that slice is sorted.
+reached is found from these sums, and only that slice is sorted. The factor is found from counts by source and size. The sources themselves
+are one row each and are put in order in one task: a table of thousands, not of documents.
 
 Defined cases: a null or empty text has size 0 and takes 0; a null source is a source of its own,
 last in order; rows that repeat an id share one decision; an empty table gives an empty result;
@@ -69,20 +72,37 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     )
 
 
+def factors(sizes: DataFrame, open_: DataFrame) -> DataFrame:
+    """source, odds and sure: a document of size s is in for certain if s > sure, else with odds * s.
+
+    With the sizes from the largest down, the factor of those not yet certain follows from the words
+    of the larger ones; the largest size at which it gives less than 1 is the first that isn't certain.
+    """
+    counts = sizes.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
+    counts = counts.join(open_, counts["source"].eqNullSafe(open_["source"])).drop(open_["source"])
+    larger = Window.partitionBy("source").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    others = Window.partitionBy("source").orderBy("size")
+    squares = F.sum(F.col("n").cast("double") * F.col("size").cast("double") * F.col("size").cast("double")).over(others)
+    above = F.coalesce(F.sum(F.col("n") * F.col("size")).over(larger), F.lit(0)).cast("double")
+    found = counts.withColumn("odds", (F.col("rest") - above) / squares).where("odds * size < 1")
+    return found.groupBy("source").agg(F.max_by("odds", "size").alias("odds"), F.max("size").alias("sure"))
+
+
 def plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
     """What decides every document's copies, one row per source."""
+    same = lambda a, b: a["source"].eqNullSafe(b["source"])
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    by_source = stage(
+    shares = stage(
         targets(sizes, weights, share)
         .withColumn("whole", F.floor(ratio).cast("long"))
-        .withColumn("rest", F.col("target") - (F.col("whole") * F.col("source_size")).cast("double"))
-        .withColumn("p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(F.lit(0.0))),
-        "sources",
+        .withColumn("rest", F.col("target") - (F.col("whole") * F.col("source_size")).cast("double")),
+        "shares",
     )
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    open_ = by_source.where("rest > 0")
-    ranked = sizes.where("size > 0").join(open_, same(sizes, open_)).drop(open_["source"])
-    ranked = stage(ranked.withColumn("q", pareto(F.col("u"), F.col("p"))).withColumn("slice", slice_of(F.col("q"))).select("source", "doc_id", "size", "rest", "q", "slice"), "ranked")
+    factor = factors(sizes, shares.where("rest > 0").select("source", "rest"))
+    by_source = stage(shares.join(factor, same(shares, factor), "left").drop(factor["source"]), "sources")
+    open_ = by_source.where("rest > 0").select("source", "rest", "odds", "sure")
+    ranked = with_rank(sizes.join(open_, same(sizes, open_)).drop(open_["source"])).where("q is not null")
+    ranked = stage(ranked.select("source", "doc_id", "size", "rest", "q", "slice"), "ranked")
     sums = ranked.groupBy("source", "slice").agg(F.sum("size").alias("n"), F.first("rest").alias("rest"))
     sums = sums.withColumn("through", F.sum("n").over(Window.partitionBy("source").orderBy("slice")))
     edge = sums.where("through > rest").groupBy("source").agg(F.min(F.struct("slice", (F.col("through") - F.col("n")).alias("before"))).alias("e")).select("source", F.col("e.slice").alias("edge"), F.col("e.before").alias("before"))
@@ -101,12 +121,16 @@ def plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     return stage(decided, "decided")  # a table of known size, which Spark broadcasts if it is small
 
 
-def pareto(u: Column, p: Column) -> Column:
-    return (u / (1 - u)) / (p / (1 - p))
+def pareto(u: Column, pi: Column) -> Column:
+    return (u / (1 - u)) / (pi / (1 - pi))
 
 
-def slice_of(q: Column) -> Column:
-    return F.floor(q / (1 + q) * SLICES).cast("int")
+def with_rank(rows: DataFrame) -> DataFrame:
+    """q and its slice for rows of sources with words to spend; those in for certain come before all others."""
+    open_ = (F.col("rest") > 0) & (F.col("size") > 0)
+    sure, pi = F.col("size") > F.col("sure"), F.col("odds") * F.col("size")
+    rows = rows.withColumn("q", F.when(open_ & sure, F.lit(0.0)).when(open_ & (pi > 0), pareto(F.col("u"), pi)))
+    return rows.withColumn("slice", F.when(open_ & sure, F.lit(-1)).otherwise(F.floor(F.col("q") / (1 + F.col("q")) * SLICES).cast("int")))
 
 
 def inside_cut() -> Column:
@@ -117,9 +141,9 @@ def inside_cut() -> Column:
 def copies(rows: DataFrame, decided: DataFrame) -> DataFrame:
     """rows (source, doc_id, size, u) with source_size, target and the copies taken of each."""
     joined = rows.join(decided, rows["source"].eqNullSafe(decided["source"]), "left").drop(decided["source"])
-    joined = joined.withColumn("q", F.when(F.col("p") > 0, pareto(F.col("u"), F.col("p")))).withColumn("slice", slice_of(F.col("q")))
-    extra = F.when((F.col("size") == 0) | F.col("q").isNull(), F.lit(False)).when(F.col("edge").isNull(), F.lit(True)).otherwise(inside_cut() | F.coalesce(F.struct("q", "doc_id") == F.col("closing"), F.lit(False)))
-    return joined.withColumn("copies", F.coalesce(F.col("whole"), F.lit(0)) + extra.cast("long")).drop("whole", "rest", "p", "edge", "last", "spent", "closing", "q", "slice")
+    joined = with_rank(joined)
+    extra = F.when(F.col("q").isNull(), F.lit(False)).when(F.col("edge").isNull(), F.lit(True)).otherwise(inside_cut() | F.coalesce(F.struct("q", "doc_id") == F.col("closing"), F.lit(False)))
+    return joined.withColumn("copies", F.coalesce(F.col("whole"), F.lit(0)) + extra.cast("long")).drop("whole", "rest", "odds", "sure", "edge", "last", "spent", "closing", "q", "slice")
 
 
 def op3(docs: DataFrame) -> DataFrame:
@@ -149,8 +173,13 @@ s2 AS (SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(su
 lv AS (SELECT arg_min(lv, (lim::DOUBLE / w::DOUBLE, source IS NULL, source)) AS lv FROM s2 WHERE lim::DOUBLE > lv * w::DOUBLE),
 s3 AS (SELECT source, source_size, least(lim::DOUBLE, coalesce(lv.lv * w::DOUBLE, lim::DOUBLE)) AS target FROM s2, lv),
 s4 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size::DOUBLE)::BIGINT ELSE 0 END AS whole FROM s3),
-s5 AS (SELECT *, target - (whole * source_size)::DOUBLE AS rest, CASE WHEN source_size > 0 THEN (target - (whole * source_size)::DOUBLE) / source_size::DOUBLE ELSE 0 END AS p FROM s4),
-r0 AS (SELECT t.*, s5.* EXCLUDE (source), CASE WHEN rest > 0 AND size > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM t JOIN s5 ON t.source IS NOT DISTINCT FROM s5.source),
+s5 AS (SELECT *, target - (whole * source_size)::DOUBLE AS rest FROM s4),
+h0 AS (SELECT source, size, count(*) AS n FROM t WHERE size > 0 GROUP BY source, size),
+h1 AS (SELECT h0.*, (rest - coalesce(sum(n * size) OVER (PARTITION BY h0.source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / sum(n::DOUBLE * size::DOUBLE * size::DOUBLE) OVER (PARTITION BY h0.source ORDER BY size) AS odds FROM h0 JOIN s5 ON h0.source IS NOT DISTINCT FROM s5.source WHERE rest > 0),
+h2 AS (SELECT source, arg_max(odds, size) AS odds, max(size) AS sure FROM h1 WHERE odds * size < 1 GROUP BY source),
+r0 AS (SELECT t.*, s5.* EXCLUDE (source), CASE WHEN NOT (rest > 0 AND t.size > 0) THEN NULL WHEN t.size > sure THEN 0 WHEN odds * t.size > 0 THEN (u / (1 - u)) / (odds * t.size / (1 - odds * t.size)) END AS q
+  FROM t JOIN s5 ON t.source IS NOT DISTINCT FROM s5.source LEFT JOIN h2 ON t.source IS NOT DISTINCT FROM h2.source),
 r1 AS (SELECT *, q IS NOT NULL AND sum(CASE WHEN q IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id NULLS FIRST) <= rest AS picked FROM r0),
 r2 AS (SELECT *, rest - coalesce(sum(CASE WHEN picked THEN size END) OVER (PARTITION BY source), 0)::DOUBLE AS gap FROM r1),
 r3 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN q IS NOT NULL AND NOT picked THEN 0 ELSE 1 END, abs(gap - size::DOUBLE), q, doc_id) AS nearest FROM r2)
