@@ -90,6 +90,12 @@ def test_sharding(spark, docs, rows):
     assert all(sorted(p) == list(range(len(p))) for p in places.values())
 
 
+def test_shards_stay_equal_where_half_the_ids_are_null(spark):
+    n = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.lit("the same text").alias("text"))
+    loads = [r[1] for r in sharding.op1(n).groupBy("shard").agg(F.sum("size")).collect()]
+    assert len(loads) == 40 and max(loads) <= 1.01 * sum(loads) / 40 and min(loads) >= 0.99 * sum(loads) / 40
+
+
 def test_rebalancing_and_growing_move_few_slots(spark, tmp_path):
     rng = random.Random(3)
     loads = {v: (rng.randint(1, 1000), 1) for v in range(512)}
@@ -166,6 +172,23 @@ def test_mixing_targets(spark):
     assert all(abs(got[s].target - target[s]) < 1e-6 for s in weight)
 
 
+def test_inclusion_odds_are_proportional_to_size_up_to_certainty(spark):
+    rng = random.Random(5)
+    own = {"a": ([rng.randint(1, 40) for _ in range(300)] + [4000, 3000, 0], 5000.5), "b": ([7] * 50, 100.0), "c": ([9, 1, 1], 9.0)}
+    sizes = spark.createDataFrame([(s, x) for s, (xs, _) in own.items() for x in xs], "source string, size long")
+    got = {r.source: r for r in mixing.factors(sizes, spark.createDataFrame([(s, t) for s, (_, t) in own.items()], "source string, rest double")).collect()}
+    for s, (xs, rest) in own.items():
+        sure = set()
+        while True:  # those that would be over 1 are in for certain, and the others share what is left
+            odds = (rest - sum(x for x in xs if x in sure)) / sum(x * x for x in xs if x not in sure)
+            over = {x for x in xs if odds * x >= 1} - sure
+            if not over:
+                break
+            sure |= over
+        assert abs(got[s].odds - odds) < 1e-12 and {x for x in xs if x > got[s].sure} == sure
+        assert abs(sum(x * (1 if x > got[s].sure else got[s].odds * x) for x in xs) - rest) < 1e-6
+
+
 def test_mixing_equals_its_sql_and_reruns_agree(spark, duck, docs):
     pdf = docs.select("doc_id", "source", "text").toPandas()  # noqa: F841  read by DuckDB
     duck.register("own_documents", pdf)
