@@ -6,6 +6,7 @@ random 64-bit byte values, followed by a mixing step; they depend only on the wo
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -119,6 +120,14 @@ def parts(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[int, int,
         yield a, b, data[off[a] : off[b]], off[a : b + 1] - off[a]
 
 
+def give_back() -> None:
+    """Return freed memory to the system, numpy's too where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow over batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes; a longer row is alone.
 
@@ -134,6 +143,6 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return df.mapInArrow(bounded, schema)
