@@ -40,14 +40,16 @@ def is_floating(form: Column) -> Column:
     return form.isin(*FLOATING)
 
 
-def version_numbers(version: Column, width: int = 8) -> Column:
-    """Dotted parts as numbers, by their leading digits; missing ones are 0."""
-    numbers = F.transform(F.split(version, "[.]"), lambda x: F.coalesce(F.regexp_extract(x, "^[0-9]*", 0).try_cast("bigint"), F.lit(0)))
-    return F.slice(F.concat(numbers, F.array_repeat(F.lit(0).cast("bigint"), width)), 1, width)
+def version_numbers(version: Column) -> Column:
+    """Dotted parts as numbers, by their leading digits."""
+    return F.transform(F.split(version, "[.]"), lambda x: F.coalesce(F.regexp_extract(x, "^[0-9]*", 0).try_cast("bigint"), F.lit(0)))
 
 
 def version_at_least(version: Column, minimum: Column) -> Column:
-    return version_numbers(version) >= version_numbers(minimum)
+    """Whether a version is not before another, part by part; parts that only one of them has are 0 in the other."""
+    a, b = version_numbers(version), version_numbers(minimum)
+    filled = lambda x, y: F.concat(x, F.array_repeat(F.lit(0).cast("bigint"), F.greatest(F.size(y) - F.size(x), F.lit(0))))
+    return filled(a, b) >= filled(b, a)
 
 
 def is_sha(value: Column) -> Column:
@@ -79,7 +81,7 @@ def uses_references(text: Column) -> Column:
     def parsed(v: Column) -> Column:
         left, rev = F.regexp_extract(v, "^(.*)@[^@]+$", 1), F.regexp_extract(v, "@([^@]+)$", 1)
         parts = F.split(left, "/")
-        path = F.when(F.size(parts) > 2, F.array_join(F.slice(parts, 3, 1000), "/"))
+        path = F.when(F.size(parts) > 2, F.array_join(F.slice(parts, F.lit(3), F.greatest(F.size(parts) - 2, F.lit(0))), "/"))
         return F.struct(F.concat_ws("/", parts[0], parts[1]).alias("repo"), path.alias("path"), rev.alias("rev"))
 
     return F.transform(outside, parsed)
