@@ -126,8 +126,11 @@ def test_day_files_round_trip(spark, tmp_path):
     assert ledger.verdict(read).first().valid
     assert files.ignored(spark, str(tmp_path)).count() == 2
     files.write_ledger(read, str(tmp_path / "out"))
-    again = spark.read.text(str(tmp_path / "out")).select(F.from_json("value", schemas.ENTRY).alias("r")).select("r.*")
-    assert ledger.verdict(again).first().valid
+    again = files.ledger(spark, str(tmp_path / "out"))
+    assert again.count() == read.count() and ledger.verdict(again).first().valid
+    (tmp_path / "2026/10/02.jsonl").write_text('{"seq": 1, "ev')
+    with pytest.raises(Exception, match="corrupt line in"):
+        files.ledger(spark, str(tmp_path)).count()
 
 
 def test_quarantine_and_closed_schema(spark, tmp_path):
@@ -145,6 +148,17 @@ def test_journal_keeps_the_last_record(spark, tmp_path):
     assert {r.sha: r.tree_sha for r in got.collect()} == {"a": "3", "b": "2"}
 
 
+def test_journal_in_many_splits(spark, tmp_path):
+    (tmp_path / "j.jsonl").write_text("".join(json.dumps({"sha": f"s{k * k % 97}", "tree_sha": str(k)}) + "\n" for k in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = files.journal(spark, str(tmp_path / "j.jsonl"), schemas.OBJECT, ["sha"]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r.sha: r.tree_sha for r in got} == {f"s{k * k % 97}": str(k) for k in range(3000)}
+
+
 def test_canonical_text_has_lower_escapes_and_sorted_keys(spark):
     df = spark.createDataFrame([("\u001f\\u001F", 1, None, [])], "b string, a int, c string, d array<int>")
     assert df.select(canonical.canonical_json(df, df.columns)).first()[0] == '{"a":1,"b":"\\u001f\\\\u001F","d":[]}'

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import canonical
+from tidemark.functions import canonical, refs
 from tidemark.sources import schemas
 
-DAY_FILE = r"/\d{4}/\d{2}/\d{2}\.jsonl$"
-DAY_AND_REPO = r"/(\d{4})/(\d{2})/(\d{2})/([^/]+)\.jsonl$"
+DAY_FILE = r"/(\d{4}/\d{2}/\d{2}\.jsonl|day=\d{4}-\d{2}-\d{2}/part-[^/]+)$"
+DAY_AND_REPO = r"/(?:obs_date=)?(\d{4})[/-](\d{2})[/-](\d{2})/(?:slug=)?([^/]+?)(?:\.jsonl|/part-[^/]+)$"
 
 
 def lines(spark: SparkSession, path: str, only: str | None = None) -> DataFrame:
     """Every line below a folder that isn't blank, with its file; only files that match a pattern."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "{*.jsonl,part-*}").text(path)
     raw = raw.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file")).where(F.trim("line") != "")
     return raw.where(F.col("file").rlike(only)) if only else raw
 
@@ -27,8 +27,20 @@ def parsed(raw: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
 
 
 def ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of a ledger's day files, in any order; use ignored() for what else is there."""
-    return parsed(lines(spark, path, DAY_FILE), schemas.ENTRY)[0].drop("file", "line")
+    """The rows of a ledger's day files, in any order; use ignored() for what else is there.
+
+    A line that doesn't parse ends the query with its file's name: a ledger with a torn or corrupt line
+    is read with parsed(), which sets such lines aside.
+    """
+    return whole(lines(spark, path, DAY_FILE), schemas.ENTRY).drop("file", "line")
+
+
+def whole(raw: DataFrame, schema: str) -> DataFrame:
+    """Rows of lines with file and line; an error if one doesn't parse."""
+    rows = raw.withColumn("_row", F.from_json("line", f"{schema}, _corrupt STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    bad = F.col("_row").isNull() | F.col("_row._corrupt").isNotNull()
+    refused = F.raise_error(F.concat(F.lit("corrupt line in "), F.col("file"))).cast("boolean")
+    return rows.where(F.when(bad, refused).otherwise(F.lit(True))).select("_row.*", "file", "line").drop("_corrupt")
 
 
 def ignored(spark: SparkSession, path: str) -> DataFrame:
@@ -54,12 +66,22 @@ def observations(spark: SparkSession, path: str, repo: str | None = None, day_fr
         raw = raw.where(F.col("obs_date") >= day_from)
     if day_to:
         raw = raw.where(F.col("obs_date") <= day_to)
-    return raw.withColumn("_row", F.from_json("line", schemas.OBSERVATION)).select("_row.*", "obs_date")
+    return whole(raw.select("line", "file", "obs_date"), schemas.OBSERVATION).withColumn("obs_date", F.to_date(F.concat_ws("-", *[F.regexp_extract("file", DAY_AND_REPO, k) for k in (1, 2, 3)]))).drop("file", "line")
+
+
+def ok_observations(rows: DataFrame, repo: str) -> DataFrame:
+    """The ok observations of one repository, oldest first."""
+    return rows.where((F.col("repo") == repo) & (F.col("outcome.type") == "ok")).orderBy("observed_at", "observation_id")
 
 
 def journal(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataFrame:
-    """The last record of each key of a journal file, by its place in it."""
-    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("place", "line"), F.col("_metadata.file_path").alias("file"))
+    """The last record of each key of a journal file, by its place in it.
+
+    Files are read in splits. A split is read by one task from its first line to its last, so a line's
+    place is the split's start and, within it, the number that rows of a task get in order.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+    raw = spark.read.text(path).select(F.col("value").alias("line"), place.alias("place"), F.col("_metadata.file_path").alias("file"))
     rows = raw.where(F.trim("line") != "").withColumn("_row", F.from_json("line", schema, {"mode": "FAILFAST"})).select("file", "place", "_row.*")
     rest = [c for c in rows.columns if c not in (*keys, "file", "place")]
     best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("file", "place")).alias("_r"))
@@ -72,7 +94,11 @@ def conflicts(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def watched(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.WATCHED).json(path)
+    """The watched population; an error if a repository isn't owner/name."""
+    rows = spark.read.schema(schemas.WATCHED).json(path)
+    bad = ~F.coalesce(refs.is_slug(F.col("repo")), F.lit(False))
+    refused = F.raise_error(F.concat(F.lit("not owner/name: "), F.coalesce("repo", F.lit("null")))).cast("boolean")
+    return rows.where(F.when(bad, refused).otherwise(F.lit(True)))
 
 
 def actions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -116,7 +142,7 @@ def write_observations(rows: DataFrame, path: str) -> None:
 def not_appended(old: DataFrame, new: DataFrame) -> DataFrame:
     """Published files (path, content) whose bytes aren't the beginning of the new ones."""
     both = old.select("path", F.col("content").alias("_old")).join(new.select("path", F.col("content").alias("_new")), "path", "left")
-    kept = F.coalesce(F.substring(F.hex("_new"), 1, 1 << 30).startswith(F.hex("_old")), F.lit(False))
+    kept = F.coalesce(F.substring("_new", F.lit(1), F.octet_length("_old")) == F.col("_old"), F.lit(False))
     return both.where(~kept).select("path")
 
 
