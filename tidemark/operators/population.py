@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import stage
+
 
 def poll_groups(watched: DataFrame, repo: str, path: str) -> DataFrame:
     """Sorted different paths of each repository; no path counts as one, first in order."""
@@ -15,15 +17,16 @@ def poll_groups(watched: DataFrame, repo: str, path: str) -> DataFrame:
 def closure(seeds: DataFrame, edges: DataFrame, depth: int, node: str = "node", src: str = "src", dst: str = "dst") -> DataFrame:
     """Nodes reached from the seeds in at most so many steps, with the least number of steps.
 
-    One join per step, so the plan is as long as the depth, which is small by definition; a visited
-    node is not followed again.
+    One join per step, whose rows are written to the shared folder: each step reads the edges and the
+    steps before once. A visited node is not followed again, and it ends early if nothing new is found.
     """
-    steps = edges.select(src, dst).distinct()
-    seen = seeds.select(node).distinct().withColumn("depth", F.lit(0))
-    front = seen
+    steps = stage(edges.select(src, dst).distinct(), "edges")
+    seen = front = stage(seeds.select(node).distinct().withColumn("depth", F.lit(0)), "seeds")
     for k in range(1, depth + 1):
         found = front.join(steps, front[node] == steps[src]).select(F.col(dst).alias(node)).distinct()
-        front = found.join(seen.select(node), node, "left_anti").withColumn("depth", F.lit(k))
+        front = stage(found.join(seen.select(node), node, "left_anti").withColumn("depth", F.lit(k)), "step")
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 
