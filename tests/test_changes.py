@@ -123,7 +123,35 @@ def test_observations_by_day_and_repository(spark, tmp_path):
     assert files.observations(spark, str(tmp_path), repo="a/b").first().observation_id == "1"
     assert files.observations(spark, str(tmp_path), day_from="2026-01-03").first().observation_id == "2"
     files.write_observations(rows, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).select("slug").distinct().count() == 2
+    again = files.observations(spark, str(tmp_path / "out"))
+    assert {(r.observation_id, r.repo, str(r.obs_date)) for r in again.collect()} == {("1", "a/b", "2026-01-02"), ("2", "c/d", "2026-01-03")}
+    assert files.observations(spark, str(tmp_path / "out"), repo="a/b").first().observation_id == "1"
+    ok = spark.createDataFrame([("1", "a/b", "2026-01-03", ("ok",)), ("2", "a/b", "2026-01-02", ("ok",)), ("3", "a/b", "2026-01-01", ("failed",)), ("4", "c/d", "2026-01-01", ("ok",))], "observation_id string, repo string, observed_at string, outcome struct<type:string>")
+    assert [r.observation_id for r in files.ok_observations(ok, "a/b").collect()] == ["2", "1"]
+
+
+def test_watched_must_be_slugs(spark, tmp_path):
+    (tmp_path / "w.jsonl").write_text('{"repo": "a/b"}\n{"repo": "c/d", "path": "x"}\n')
+    assert files.watched(spark, str(tmp_path / "w.jsonl")).count() == 2
+    (tmp_path / "w.jsonl").write_text('{"repo": "a/b"}\n{"repo": "c"}\n')
+    with pytest.raises(Exception, match="not owner/name: c"):
+        files.watched(spark, str(tmp_path / "w.jsonl")).count()
+
+
+def test_first_event_after_an_action_over_cells(spark):
+    rng = random.Random(2)
+    actions = [(i, rng.choice("ab"), rng.randint(0, 200)) for i in range(60)] + [(60, "a", 500), (61, None, 1)]
+    events = [(rng.choice("abc"), rng.randint(0, 220), n) for n in range(80)] + [("a", 70, 900), ("a", 70, 901)]
+    a = spark.createDataFrame(actions, "id long, key string, at long")
+    e = spark.createDataFrame(events, "key string, event_at long, n long")
+    want = {}
+    for i, k, t in actions:
+        later = sorted((x, n) for key, x, n in events if key == k and x >= t)
+        if later:
+            want[i] = later[0]
+    for span in (7, 1000):
+        got = {r.id: (r.event_at, r.n) for r in score.first_after(a, e, ["key"], "at", "event_at", ["n"], ["n"], span).collect()}
+        assert got == want
 
 
 def test_open_rows_older_than_two_days(spark):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import stage
+
 EXPECTED = ("floating_major_forward", "exact_content_change", "commit_metadata_only", "lightweight_to_annotated", "annotated_to_lightweight", "delete", "recreate", "batch_exact_to_one")
 RETIRED = ("lightweight_annotated_roundtrip", "delete_recreate")
 CREATION = ("bootstrap", "creation", "create")
@@ -36,14 +38,29 @@ def first_covering(actions: DataFrame, gaps: DataFrame, keys: list[str], at: str
     return actions.join(chosen, action_id, "left")
 
 
-def first_after(actions: DataFrame, events: DataFrame, on: list[str], at: str, event_at: str, action_id: str, columns: list[str], tie: list[str]) -> DataFrame:
+def first_after(actions: DataFrame, events: DataFrame, on: list[str], at: str, event_at: str, columns: list[str], tie: list[str], span: int = 86_400_000_000) -> DataFrame:
     """Each action with the first event of its keys that isn't earlier; actions without one drop out.
 
-    An equality join and an aggregate: no window holds the events of a key.
+    Both are put in one order, backwards, in which the event last passed is the next one in time. A key
+    is cut into cells of the span (microseconds), and an action after its cell's last event takes the
+    first of the next cell that has one: no key is in one task, and no event meets every action.
     """
-    both = actions.join(events, on).where(F.col(event_at) >= F.col(at))
-    best = both.groupBy(action_id).agg(F.min(F.struct(event_at, *tie, *[c for c in columns if c not in tie])).alias("_e"))
-    return actions.join(best, action_id).select(*actions.columns, F.col(f"_e.{event_at}").alias(event_at), *[F.col(f"_e.{c}").alias(c) for c in columns])
+    cell = lambda c: F.floor(F.col(c) / span).alias("_cell")
+    some = F.lit(True)
+    for k in on:
+        some = some & F.col(k).isNotNull()
+    event = F.struct(event_at, *tie, *[c for c in columns if c not in tie])
+    ends = stage(events.where(some & F.col(event_at).isNotNull()).select(*on, cell(event_at), F.col(event_at).alias("_at"), event.alias("_e")), "events")
+    acts = actions.where(some & F.col(at).isNotNull()).select(*on, cell(at), F.col(at).alias("_at"), F.struct(*actions.columns).alias("_a"))
+    both = acts.unionByName(ends, allowMissingColumns=True)
+    back = Window.partitionBy(*on, "_cell").orderBy(F.col("_at").desc(), F.col("_a").isNotNull(), F.col("_e").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("_own", F.last("_e", ignorenulls=True).over(back)).where("_a is not null")
+    cells = ends.groupBy(*on, "_cell").agg(F.min("_e").alias("_f")).unionByName(acts.select(*on, "_cell").distinct(), allowMissingColumns=True)
+    cells = cells.groupBy(*on, "_cell").agg(F.min("_f").alias("_f"))
+    after = Window.partitionBy(*on).orderBy(F.col("_cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_next", F.last("_f", ignorenulls=True).over(after)).select(*on, "_cell", "_next")
+    found = inside.join(cells, [*on, "_cell"]).withColumn("_e", F.coalesce("_own", "_next")).where("_e is not null")
+    return found.select("_a.*", F.col(f"_e.{event_at}").alias(event_at), *[F.col(f"_e.{c}").alias(c) for c in columns])
 
 
 def latency_seconds(performed: Column, observed: Column) -> Column:
