@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 def digest(observations: DataFrame, at: str = "ts", late: str = "1 hour", length: str = "1 day") -> DataFrame:
     """Counts by outcome of each closed window; rows later than the watermark are left out.
 
-    Repositories are counted approximately, which keeps the state of a window small.
+    The state of a window holds the set of its repositories, which are as many as are watched.
     """
     return (
         observations.withWatermark(at, late)
         .groupBy(F.window(at, length))
-        .agg(F.approx_count_distinct("repo").alias("repos_polled"), *[F.count_if(F.col("outcome") == x).alias(x) for x in ("ok", "not_modified", "failed", "skipped")])
+        .agg(F.size(F.collect_set("repo")).cast("long").alias("repos_polled"), *[F.count_if(F.col("outcome") == x).alias(x) for x in ("ok", "not_modified", "failed", "skipped")])
         .select(F.col("window.start").alias("start"), "repos_polled", "ok", "not_modified", "failed", "skipped")
     )
