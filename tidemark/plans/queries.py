@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import canonical, refs, times
 from tidemark.operators import bindings, classify, ledger, listings, population, score
 from tidemark.plans.adapters import DAY, HOUR, OBS_SQL, inline, observations, table, values_sql
+from tidemark.sources import schemas, shared
 from tidemark.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,8 +67,8 @@ def q02_severity_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select("form", "kind", "ancestry", "correlated", classify.severity(F.col("form"), F.col("kind"), F.col("ancestry"), F.col("correlated")).alias("severity"))
 
 
-VERSIONS = [("0.1.1", "0.1.1"), ("0.1.0", "0.1.1"), ("0.1.1-dev", "0.1.1"), ("0.10.0", "0.9.9"), ("1", "0.9.9"), ("1.0", "1.0.0"), ("", "0.0.1"), ("x.2", "0.2"), ("2.0.0.1", "2"), ("1.2.3", "1.2.4"), ("0.1.1", "0.1"), ("10", "9.9.9.9")]
-NUMBERS_SQL = "list_transform(range(1, 9), lambda i: coalesce(try_cast(regexp_extract(coalesce(string_split({v}, '.')[i], ''), '^[0-9]*') AS BIGINT), 0))"
+VERSIONS = [("0.1.1", "0.1.1"), ("0.1.0", "0.1.1"), ("0.1.1-dev", "0.1.1"), ("0.10.0", "0.9.9"), ("1", "0.9.9"), ("1.0", "1.0.0"), ("", "0.0.1"), ("x.2", "0.2"), ("2.0.0.1", "2"), ("1.2.3", "1.2.4"), ("0.1.1", "0.1"), ("10", "9.9.9.9"), ("1.0.0.0.0.0.0.0.0.1", "1.0.0.0.0.0.0.0.0.2"), ("1.0.0.0.0.0.0.0.0.0.3", "1")]
+NUMBERS_SQL = "list_transform(range(1, 1 + greatest(len(string_split(version, '.')), len(string_split(minimum, '.')))), lambda i: coalesce(try_cast(regexp_extract(coalesce(string_split({v}, '.')[i], ''), '^[0-9]*') AS BIGINT), 0))"
 
 
 @query(f"SELECT version, minimum, {NUMBERS_SQL.format(v='version')} >= {NUMBERS_SQL.format(v='minimum')} AS at_least FROM ({values_sql(VERSIONS)}) t(version, minimum)")
@@ -258,6 +257,21 @@ def q20_first_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.first_failure(holes.unionByName(wrong))
 
 
+@query("""SELECT n_nationkey::BIGINT AS seq, 5 + n.rank AS rank, n.what FROM nation, (VALUES (0, 'hash mismatch'), (1, 'broken link'), (-1, 'sequence gap at seq 20')) n(rank, what)
+WHERE CASE n.what WHEN 'hash mismatch' THEN n_nationkey % 7 = 3 WHEN 'broken link' THEN n_nationkey = 21 ELSE n_nationkey = 21 END""")
+def q47_tampered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What verification finds where rows of a linked ledger were changed and one was taken out."""
+    none = spark.createDataFrame([], schemas.ENTRY).drop("seq", "prev_hash", "entry_hash")
+    own = {"event": F.lit("correction"), "format_version": F.lit(1), "corrects_seq": F.lit(0).cast("long"), "reason": F.col("n_name"), "recorded_at": F.lit("2026-01-01T00:00:00.000Z")}
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", *[own.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in none.schema])
+    linked = ledger.link(rows.withColumn("detection_latency_note", F.lpad(F.col("n_nationkey").cast("string"), 9, "0")).drop("n_nationkey"), ["detection_latency_note"])
+    changed = linked.withColumn("reason", F.when(F.col("seq") % 7 == 3, F.concat("reason", F.lit("!"))).otherwise(F.col("reason"))).where("seq <> 20")
+    found = ledger.violations(changed)
+    kinds = {"sequence gap": 4, "hash mismatch": 5, "broken link": 6}
+    rank = F.coalesce(*[F.when(F.startswith("what", F.lit(k)), F.lit(v)) for k, v in kinds.items()])
+    return found.select("seq", rank.alias("rank"), "what")
+
+
 @query("SELECT user_id, event_id, event_type, epoch_us(ts) AS us FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def q21_latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", times.micros(F.col("ts")).alias("us"))
@@ -313,7 +327,7 @@ AFTER_SQL = """WITH j AS (SELECT o_orderkey, epoch_us(o_orderdate) AS ordered_us
 def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", times.micros(F.col("o_orderdate")).alias("ordered_us"))
     line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), times.micros(F.col("l_shipdate")).alias("shipped_us"), "l_linenumber")
-    return score.first_after(o, line, ["o_orderkey"], "ordered_us", "shipped_us", "o_orderkey", ["l_linenumber"], ["l_linenumber"])
+    return score.first_after(o, line, ["o_orderkey"], "ordered_us", "shipped_us", ["l_linenumber"], ["l_linenumber"])
 
 
 @query(AFTER_SQL + " SELECT * FROM j")
@@ -528,11 +542,11 @@ def q45_listing_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(LISTING_SQL)
 def q44_stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same changes from a stream with state, fed week by week."""
-    folder = shared_folder(spark)
+    folder = shared.folder(spark, "replay")
     rows = daily_listings(spark, sf_dir).withColumn("week", F.floor(F.col("us") / (7 * DAY)))
-    weeks = [r[0] for r in rows.select("week").distinct().orderBy("week").collect()]  # a few batches of a replay
-    for k in weeks:
-        rows.where(F.col("week") == k).drop("week").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    rows.repartition("week").write.partitionBy("week").parquet(f"{folder}/all")
+    for k in sorted(r[0] for r in spark.read.parquet(f"{folder}/all").select("week").distinct().collect()):  # a few batches of a replay, one file each
+        spark.read.parquet(f"{folder}/all/week={k}").coalesce(1).write.mode("append").parquet(f"{folder}/in")
     stream = spark.readStream.schema("repo long, us long, names array<string>, commits array<long>").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     return changes.replay(stream, folder)
 
@@ -542,9 +556,3 @@ def q46_event_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report over events and forms with all subtotals."""
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("event"), F.when(F.col("user_id") % 3 == 0, "exact").otherwise("floating").alias("form"))
     return e.cube("event", "form").agg(F.count("*").alias("n")).select(F.coalesce("event", F.lit("*")).alias("event"), F.coalesce("form", F.lit("*")).alias("form"), "n")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: in spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return f"{base.rstrip('/')}/tidemark/{uuid.uuid4().hex}"
