@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import canonical, refs, times
-from tidemark.operators import bindings, classify, ledger, listings, population, score
+from tidemark.operators import bindings, classify, entries, ledger, listings, population, score
 from tidemark.plans.adapters import DAY, HOUR, OBS_SQL, inline, observations, table, values_sql
 from tidemark.sources import schemas, shared
 from tidemark.streaming import changes
@@ -556,3 +556,35 @@ def q46_event_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report over events and forms with all subtotals."""
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("event"), F.when(F.col("user_id") % 3 == 0, "exact").otherwise("floating").alias("form"))
     return e.cube("event", "form").agg(F.count("*").alias("n")).select(F.coalesce("event", F.lit("*")).alias("event"), F.coalesce("form", F.lit("*")).alias("form"), "n")
+
+
+@query(f"""WITH ev AS ({LISTING_SQL}), nm AS (SELECT *, regexp_replace(ref, '^refs/tags/', '') AS b, CASE WHEN from_commit = to_commit THEN 'release_level_only' WHEN from_commit // 2 = to_commit // 2 THEN 'commit_metadata_only' ELSE 'content_change' END AS kind FROM ev),
+f AS (SELECT *, {FORM_SQL} AS form, NULL AS ancestry, false AS correlated FROM nm)
+SELECT repo::VARCHAR AS repo, ref, event, strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S.000Z') AS recorded_at, form AS ref_form,
+  CASE event WHEN 'move' THEN kind WHEN 'recreation' THEN CASE WHEN from_commit = to_commit THEN 'release_level_only' ELSE 'content_change' END ELSE 'content_change' END AS classification,
+  CASE event WHEN 'deletion' THEN 'info' WHEN 'recreation' THEN CASE WHEN from_commit = to_commit THEN 'info' ELSE 'medium' END ELSE {SEVERITY_SQL} END AS severity,
+  CASE event WHEN 'recreation' THEN seconds END AS gap_seconds, CASE event WHEN 'move' THEN seconds END AS observation_window_seconds, from_commit::VARCHAR AS from_target, to_commit::VARCHAR AS to_target,
+  CASE WHEN event = 'move' AND from_commit < to_commit THEN to_commit - from_commit END AS files_added
+FROM f""")
+def q48_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledger rows of the changes between listings, with the diffs that are known."""
+    c = F.col
+    bound = lambda side: F.struct(c(f"{side}_commit").cast("string").alias("commit_sha"), c(f"{side}_commit").cast("string").alias("target_sha"))
+    e = listings.changes(daily_listings(spark, sf_dir)).withColumn("ref_form", refs.ref_form(c("ref")))
+    e = e.withColumn("kind", classify.move_kind(c("from_commit"), c("to_commit"), F.floor(c("from_commit") / 2), F.floor(c("to_commit") / 2)))
+    moved = classify.severity(c("ref_form"), c("kind"), F.lit(None).cast("string"), F.lit(False))
+    severity = F.when(c("event") == "deletion", "info").when(c("event") == "recreation", listings.severity_of_recreation(c("from_commit"), c("to_commit"))).otherwise(moved)
+    e = e.select(c("repo").cast("string").alias("repo"), "ref", "event", "kind", "ref_form", severity.alias("severity"), times.wire(F.timestamp_micros("us")).alias("recorded_at"), F.when(c("event") == "recreation", c("seconds")).alias("gap_seconds"), F.when(c("event") == "move", c("seconds")).alias("observation_window_seconds"), bound("from").alias("from"), bound("to").alias("to"))
+    pairs = inline(spark, [(a, b) for a in range(4) for b in range(a + 1, 4)], "a long, b long")
+    empty = spark.createDataFrame([], schemas.ENTRY).schema["diff"].dataType
+    known = {"diff_possibly_truncated": F.lit(False), "files_added": c("b") - c("a")}
+    diffs = pairs.select(c("a").cast("string").alias("old_sha"), c("b").cast("string").alias("new_sha"), F.struct(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in empty]).alias("diff"))
+    made = entries.entries(e.withColumns({s: padded(e, s) for s in ("from", "to")}), diffs)
+    return made.select("repo", "ref", "event", "recorded_at", "ref_form", "classification", "severity", "gap_seconds", "observation_window_seconds", c("from.target_sha").alias("from_target"), c("to.target_sha").alias("to_target"), c("diff.files_added").alias("files_added"))
+
+
+def padded(rows: DataFrame, side: str) -> Column:
+    """A binding with all fields of its schema, those that it lacks null."""
+    whole = rows.sparkSession.createDataFrame([], schemas.ENTRY).schema[side].dataType
+    have = rows.schema[side].dataType.names
+    return F.struct(*[(F.col(f"{side}.{f.name}") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in whole])
