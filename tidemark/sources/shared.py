@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """The path of a new table in spark.checkpoint.dir, which the session must name; nothing is deleted there."""
+    """The path of a new table in spark.checkpoint.dir; nothing is deleted there.
+
+    A session on one machine may leave that unset and gets a temporary folder; on a cluster it must be
+    set, as executors would each write to a disk of their own.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.split("[")[0] == "local":
+        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", base)
     if not base:
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
