@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import embedding_dedup, exact_dedup, html_wrappers, language_id, minhash_dedup, mixing, packing, sharding, substring_dedup, toxicity
+from tidemark.llm import alignment, embedding_dedup, exact_dedup, html_wrappers, importance, language_id, minhash_dedup, mixing, packing, sharding, substring_dedup, toxicity, url_rules
 from tidemark.llm.storage import table
 
 
@@ -50,5 +50,17 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_virtual_slots, op2_chunk_recipes, op3_pareto_mix, op4_union_free_wrappers, op5_suffix_automata, op6_hyperdimensional_language, op7_kneser_ney_toxicity, op8_pca_tiles, op9_circulant_minhash, op10_best_two_fit)}
-ORACLE_SQL: dict[str, str] = {"op2_chunk_recipes": exact_dedup.ORACLE_SQL, "op3_pareto_mix": mixing.oracle_sql(), "op5_suffix_automata": substring_dedup.ORACLE_SQL, "op8_pca_tiles": embedding_dedup.ORACLE_SQL, "op9_circulant_minhash": minhash_dedup.ORACLE_SQL}
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.verdicts(table(spark, sf_dir, "pages"))
+
+
+def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.op12(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_virtual_slots, op2_chunk_recipes, op3_pareto_mix, op4_union_free_wrappers, op5_suffix_automata, op6_hyperdimensional_language, op7_kneser_ney_toxicity, op8_pca_tiles, op9_circulant_minhash, op10_best_two_fit, op11_url_rules, op12_cross_tokenizer, op13_importance_resampling)}
+ORACLE_SQL: dict[str, str] = {"op2_chunk_recipes": exact_dedup.ORACLE_SQL, "op3_pareto_mix": mixing.oracle_sql(), "op5_suffix_automata": substring_dedup.ORACLE_SQL, "op8_pca_tiles": embedding_dedup.ORACLE_SQL, "op9_circulant_minhash": minhash_dedup.ORACLE_SQL, "op11_url_rules": url_rules.oracle_sql(), "op13_importance_resampling": importance.ORACLE_SQL}
