@@ -77,14 +77,16 @@ def word_weights(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, hot
     total = words.agg(F.sum("n")).first()[0] or 0
     often = F.col("n") * hot >= total
     frequent = words.where(often).select(F.col("word").alias("_often"), F.col("gain").alias("_gain"))
-    each = by_row(docs).select("_row", "doc_id", F.explode_outer(spelled(F.col("text"))).alias("word"))
+    # each document has one null word more, for its row of frequent words, which alone carries the id
+    each = by_row(docs).select("_row", "doc_id", F.explode(F.concat(spelled(F.col("text")), F.array(F.lit(None).cast("string")))).alias("word"))
     each = each.join(F.broadcast(frequent), F.col("word") == F.col("_often"), "left")  # at most `hot` rows
     seldom = F.when(F.col("_often").isNull(), F.col("word"))
-    parts = each.groupBy("_row", "doc_id", seldom.alias("_word")).agg(F.count("word").alias("n"), F.sum("_gain").alias("_sum"))
+    parts = each.groupBy("_row", seldom.alias("_word")).agg(F.count("word").alias("n"), F.sum("_gain").alias("_sum"), F.max(F.when(F.col("word").isNull(), F.col("doc_id"))).alias("doc_id"))
     parts = stage(parts, "word-parts")
     known = parts.where("_word is null").select("_row", "doc_id", "n", F.coalesce("_sum", F.lit(0)).alias("weight"))
-    rest = parts.where("_word is not null").join(words.where(~often).select(F.col("word").alias("_word"), "gain"), "_word").select("_row", "doc_id", "n", (F.col("n") * F.col("gain")).alias("weight"))
-    return known.unionByName(rest).groupBy("_row", "doc_id").agg(F.sum("n").alias("n_words"), F.sum("weight").alias("weight")).withColumn("n_features", F.col("n_words"))
+    rest = parts.where("_word is not null").select("_row", "_word", "n").join(words.where(~often).select(F.col("word").alias("_word"), "gain"), "_word").groupBy("_row").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("gain")).alias("weight"))
+    whole = known.unionByName(rest, allowMissingColumns=True).groupBy("_row").agg(F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_words"), F.sum("weight").alias("weight"))
+    return whole.withColumn("n_features", F.col("n_words"))
 
 
 def tuples(rows: DataFrame, least: int, most: int) -> DataFrame:
