@@ -157,22 +157,26 @@ ALIGNED = ["a  b", " a", "a ", "a\n b\t c", "ﬁ é é Ａ", "<s> x </s> <0x41>
 
 def test_alignment_equals_brute_force(spark):
     texts = odd_texts() + ALIGNED + ["unbroken" * 4000, "word " * 20000, ALIGNED[0]]
-    for block in (1, alignment.BLOCK):
-        got = sorted(tuple(r) for r in alignment.op12(frame(spark, texts), block=block).collect())
+    for block, most, hot in ((1, 1, 1), (alignment.BLOCK, alignment.PAIRS, 50)):
+        got = sorted(tuple(r) for r in alignment.op12(frame(spark, texts), block=block, most=most, hot=hot).collect())
         assert got == [(i, *x) for i, x in enumerate(plain_alignment(texts))]
 
 
-def test_long_groups_link_by_cells(spark):
+@pytest.mark.parametrize("cell", [1, 7, 1000])
+def test_links_of_long_groups_by_cells(spark, cell):
     rng = random.Random(5)
 
     def side(n):
         ends = sorted(rng.sample(range(1, 900), n)) + [900]
-        return [(0, 0, k, a, b) for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True))]
+        return [(k, a, b) for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True))]
 
     a, b = side(60), side(90)
-    schema = "uid long, grp long, id int, start long, end long"
-    got = rows_of(alignment.linked(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), cell=7))
-    assert got == sorted(((0, x[2], y[2]) for x in a for y in b if max(x[3], y[3]) < min(x[4], y[4])), key=repr)
+    token = "array<struct<id:int,start:long,end:long>>"
+    groups = spark.createDataFrame([(0, 0, a, b), (0, 1, a[:1], b[:2]), (1, 0, b, a)], f"uid long, grp long, a {token}, b {token}")
+    want = [(u, x[0], y[0]) for u, p, q in ((0, a, b), (0, a[:1], b[:2]), (1, b, a)) for x in p for y in q if max(x[1], y[1]) < min(x[2], y[2])]
+    assert rows_of(alignment.links_by_cells(groups, cell)) == sorted(want, key=repr)
+    within = groups.select("uid", F.explode(alignment.links_within(F.col("a"), F.col("b"))).alias("l")).select("uid", "l.a", "l.b")
+    assert rows_of(within) == sorted(want, key=repr)
 
 
 def test_alignment_of_repeated_and_null_ids_and_of_nothing(spark):

@@ -4,7 +4,7 @@ A is a byte-level BPE over the text with a space before it, B a piece BPE that a
 give tokens that are runs of the same bytes. Where an A and a B token end at one byte, a group ends; the tokens
 of a group are linked where their bytes overlap. The tokens are exploded with their places, their ends are
 windowed running lengths, the cuts an equality join on ends, the groups a running count of cuts, and
-the links a range join within groups (by cells of bytes, so that a long group doesn't join all with all).
+the links the overlaps within groups (of a long group by a range join in cells of bytes, so that it doesn't join all with all).
 
 Stretches instead of documents. Neither tokenizer has a token that crosses a single space between two other
 characters: A's pattern has a space only before what it belongs to, and no piece of B has its space sign
@@ -25,7 +25,9 @@ strings are plain text. An empty table gives an empty result; other columns are
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
+import itertools
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -33,13 +35,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.storage import stage
 from tidemark.llm.words import give_back, map_batches
 
-BLOCK, CELL, MARK = 16 << 20, 32, "▁"
+BLOCK, CELL, PAIRS, HOT, MARK = 16 << 20, 32, 1024, 1 << 17, "▁"
 COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 _single = re.compile(r"(?<=\S) (?=\S)")
 _other = re.compile(r"\A\s|\s\s|\s\Z")
@@ -62,6 +64,10 @@ class Pair:
         n = self.b.get_piece_size()
         names = [self.b.id_to_piece(i) for i in range(n)]
         self.b_bytes = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace(MARK, " ").encode() for i, x in enumerate(names)]
+        a_sizes = np.zeros(max(self.a_bytes) + 1, np.int32)
+        for i, x in self.a_bytes.items():
+            a_sizes[i] = len(x)
+        self.sizes = a_sizes, np.array([len(x) for x in self.b_bytes], np.int32)
         #: whether no piece holds the space sign after another character, so that texts fall into stretches
         self.separable = not any(MARK in x.lstrip(MARK) for x in names)
 
@@ -138,83 +144,135 @@ def blocks(docs: DataFrame, ranks: str | None = None, pieces: str | None = None,
 
 
 def tokenized(stretches: DataFrame, ranks: str | None = None, pieces: str | None = None) -> DataFrame:
-    """stretch, n, and arrays a and b of the tokens' id and size in bytes."""
+    """stretch, n, how many tokens of A and B it has, and tokens: id and size in bytes of A's and then of B's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair(ranks, pieces)
-        token = pa.struct([("id", pa.int32()), ("size", pa.int32())])
+        kinds = [pa.field("id", pa.int32()), pa.field("size", pa.int32())]
         for batch in batches:
-            found = both.encode(batch.column(0).to_pylist())
-            made = []
-            for rows, size in zip(found, (lambda i: len(both.a_bytes[i]), lambda i: len(both.b_bytes[i])), strict=True):
-                ids = [i for r in rows for i in r]
-                off = np.append(0, np.cumsum([len(r) for r in rows])).astype(np.int32)
-                values = pa.StructArray.from_arrays([pa.array(ids, pa.int32()), pa.array([size(i) for i in ids], pa.int32())], fields=list(token))
-                made.append(pa.ListArray.from_arrays(pa.array(off), values))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], ["stretch", "n", "a", "b"])
-
-    return map_batches(stretches.select("stretch", "n"), run, "stretch string, n long, a array<struct<id:int,size:int>>, b array<struct<id:int,size:int>>")
-
-
-def placed(texts: DataFrame, side: str) -> DataFrame:
-    """uid, pos, id, start and end of the tokens of one side."""
-    w = Window.partitionBy("uid").orderBy("pos")
-    rows = texts.select("uid", F.posexplode(side).alias("pos", "_t")).select("uid", "pos", "_t.id", "_t.size")
+            n, flat = [], []
+            for rows in both.encode(batch.column(0).to_pylist()):
+                n.append(np.fromiter(map(len, rows), np.int64, len(rows)))
+                flat.append(np.fromiter(itertools.chain.from_iterable(rows), np.int32, int(n[-1].sum())))
+            before = [np.cumsum(x) - x for x in n]
+            place = [np.arange(len(flat[0])) + np.repeat(before[1], n[0]), np.arange(len(flat[1])) + np.repeat(before[0] + n[0], n[1])]
+            ids, sizes = np.empty((2, len(flat[0]) + len(flat[1])), np.int32)
+            for side in (0, 1):
+                ids[place[side]], sizes[place[side]] = flat[side], both.sizes[side][flat[side]]
+            off = np.append(0, np.cumsum(n[0] + n[1])).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(off), pa.StructArray.from_arrays([pa.array(ids), pa.array(sizes)], fields=kinds))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x.astype(np.int32)) for x in n), tokens], ["stretch", "n", "n_a", "n_b", "tokens"])
+
+    return map_batches(stretches.select("stretch", "n"), run, "stretch string, n long, n_a int, n_b int, tokens array<struct<id:int,size:int>>")
+
+
+def placed(texts: DataFrame) -> DataFrame:
+    """uid, side (0 for A, 1 for B), pos, id, start and end of the tokens of texts of uid, n_a and tokens."""
+    rows = texts.select("uid", "n_a", F.posexplode("tokens").alias("pos", "_t")).select("uid", (F.col("pos") >= F.col("n_a")).cast("int").alias("side"), "pos", "_t.id", "_t.size")
+    w = Window.partitionBy("uid", "side").orderBy("pos")
     return rows.withColumn("end", F.sum("size").over(w)).withColumn("start", F.col("end") - F.col("size")).drop("size")
 
 
-def grouped(tokens: DataFrame, cuts: DataFrame) -> DataFrame:
+def grouped(tokens: DataFrame) -> DataFrame:
     """The tokens with grp, the number of cuts before their end."""
-    w = Window.partitionBy("uid").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    marked = tokens.join(cuts.withColumn("_cut", F.lit(1)), ["uid", "end"], "left")
-    return marked.withColumn("grp", F.coalesce(F.sum("_cut").over(w), F.lit(0))).drop("_cut")
+    ends = [tokens.where(F.col("side") == side).select("uid", "end") for side in (0, 1)]
+    cuts = ends[0].join(ends[1], ["uid", "end"]).withColumn("_cut", F.lit(1))
+    w = Window.partitionBy("uid", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return tokens.join(cuts, ["uid", "end"], "left").withColumn("grp", F.coalesce(F.sum("_cut").over(w), F.lit(0))).drop("_cut")
 
 
-def linked(a: DataFrame, b: DataFrame, cell: int = CELL) -> DataFrame:
-    """uid, a, b of every two tokens of a group that overlap, from tokens with grp.
+def of_groups(tokens: DataFrame) -> DataFrame:
+    """uid, grp, and arrays a and b of the group's tokens (id, start, end) in order; tokens have grp."""
+    own = lambda side: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("pos", "id", "start", "end")))), lambda x: F.struct(x["id"].alias("id"), x["start"].alias("start"), x["end"].alias("end")))
+    return tokens.groupBy("uid", "grp").agg(own(0).alias("a"), own(1).alias("b"))
+
+
+def links_within(a: Column, b: Column) -> Column:
+    """a and b of every two tokens of two lists that overlap."""
+    meet = lambda x, y: F.greatest(x["start"], y["start"]) < F.least(x["end"], y["end"])
+    return F.flatten(F.transform(a, lambda x: F.transform(F.filter(b, lambda y: meet(x, y)), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
+
+
+def links_by_cells(groups: DataFrame, cell: int = CELL) -> DataFrame:
+    """uid, a and b of every two tokens of a group that overlap, by a range join.
 
     Tokens are listed in the cells of bytes that they touch; a link is found in the cell where its bytes begin.
     """
-    cells = lambda t, side: t.select("uid", "grp", F.col("id").alias(side), F.col("start").alias(f"_{side}0"), F.col("end").alias(f"_{side}1"), F.explode(F.sequence(F.floor(F.col("start") / cell), F.floor((F.col("end") - 1) / cell))).alias("_cell"))
-    met = cells(a, "a").join(cells(b, "b"), ["uid", "grp", "_cell"])
-    first = F.greatest("_a0", "_b0")
-    return met.where((first < F.least("_a1", "_b1")) & (F.floor(first / cell) == F.col("_cell"))).select("uid", "a", "b")
 
+    def cells(side: str) -> DataFrame:
+        t = groups.select("uid", "grp", F.explode(side).alias("_t"))
+        return t.select("uid", "grp", F.col("_t").alias(side), F.explode(F.sequence(F.floor(F.col("_t.start") / cell), F.floor((F.col("_t.end") - 1) / cell))).alias("_cell"))
+
+    met = cells("a").join(cells("b"), ["uid", "grp", "_cell"])
+    first = F.greatest("a.start", "b.start")
+    return met.where((first < F.least("a.end", "b.end")) & (F.floor(first / cell) == F.col("_cell"))).select("uid", F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+
+
+@contextlib.contextmanager
+def dealt_by_some(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, rows that are dealt out by some of a join's keys aren't dealt out anew by all of them."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
-def listed(tokens: DataFrame, name: str) -> DataFrame:
-    """uid, grp and the ids of a group in order, by commas."""
-    ids = F.array_sort(F.collect_list(F.struct("pos", "id")))
-    return tokens.groupBy("uid", "grp").agg(F.array_join(F.transform(ids, lambda x: x["id"].cast("string")), ",").alias(name), F.count("*").alias(f"n_{name}"))
 
+def aligned(texts: DataFrame, most: int = PAIRS) -> tuple[DataFrame, DataFrame]:
+    """Of texts (uid, n_a, n_b, tokens): uid, n_groups and groups; and uid, a, b and k of all links.
 
-def aligned(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of texts (uid, a, b): uid, n_a, n_b, n_groups, groups; and uid, a, b of every link."""
-    a, b = (stage(placed(texts, side), f"tokens-{side}") for side in ("a", "b"))
-    cuts = stage(a.select("uid", "end").join(b.select("uid", "end"), ["uid", "end"]), "cuts")
-    a, b = (stage(grouped(t, cuts), f"groups-{side}") for t, side in ((a, "a"), (b, "b")))
-    groups = listed(a, "a").join(listed(b, "b"), ["uid", "grp"])
-    each = F.array_sort(F.collect_list(F.struct("grp", F.concat("a", F.lit("|"), "b").alias("g"))))
-    sums = groups.groupBy("uid").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.array_join(F.transform(each, lambda x: x["g"]), ";").alias("groups"))
-    return sums, linked(a, b)
+    The texts are dealt out by uid once, and all joins and windows up to the groups are within a uid: no other
+    exchange. A group of more than ``most`` possible pairs is linked by cells, the others as they are.
+    """
+    spread = texts.select("uid", "n_a", "tokens").repartition("uid")
+    ids = lambda side: F.array_join(F.transform(side, lambda x: x["id"].cast("string")), ",")
+    large = F.size("a").cast("long") * F.size("b") > most
+    groups = of_groups(grouped(placed(spread)))
+    groups = groups.select("uid", "grp", F.concat(ids("a"), F.lit("|"), ids("b")).alias("g"), F.when(~large, links_within(F.col("a"), F.col("b"))).alias("links"), *[F.when(large, F.col(x)).alias(x) for x in ("a", "b")])
+    none = "array<struct<grp:long,a:array<struct<id:int,start:long,end:long>>,b:array<struct<id:int,start:long,end:long>>>>"
+    each = F.array_sort(F.collect_list(F.struct("grp", "g")))
+    rest = F.collect_list(F.when(F.col("a").isNotNull(), F.struct("grp", "a", "b"))).cast(none)
+    whole = groups.groupBy("uid").agg(F.count("*").alias("n_groups"), F.array_join(F.transform(each, lambda x: x["g"]), ";").alias("groups"), F.flatten(F.collect_list("links")).alias("links"), rest.alias("rest"))
+    with dealt_by_some(texts.sparkSession):
+        found = stage(whole, "groups")
+    own = found.select("uid", F.explode("links").alias("_l")).select("uid", "_l.a", "_l.b")
+    long_ = found.select("uid", F.explode("rest").alias("_g")).select("uid", "_g.grp", "_g.a", "_g.b")
+    links = own.unionByName(links_by_cells(long_)).groupBy("uid", "a", "b").agg(F.count("*").alias("k"))
+    return found.drop("links", "rest"), links
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
-    """a, b, count, best (whether it is the highest of its b) from links with n, the times that each is there."""
+    """a, b, count, best (1 if it is the highest of its b) from links with n, the times that each is there."""
     counts = stage(links.groupBy("a", "b").agg(F.sum("n").alias("count")), "pair-counts")
     top = counts.groupBy("b").agg(F.max("count").alias("_top"))
-    return counts.join(top, "b").select("a", "b", "count", (F.col("count") == F.col("_top")).cast("long").alias("best"))
+    return stage(counts.join(top, "b").select("a", "b", "count", (F.col("count") == F.col("_top")).cast("long").alias("best")), "best-pairs")
+
 
+def link_sums(links: DataFrame, counted: DataFrame, hot: int = HOT) -> DataFrame:
+    """uid, n_links, n_best, count_sum of links of uid, a, b, k.
 
-def op12(docs: DataFrame, ranks: str | None = None, pieces: str | None = None, block: int = BLOCK) -> DataFrame:
+    Pairs with at least one in ``hot`` of all occurrences are at most so many and are broadcast; the others are joined by a shuffle.
+    """
+    total = counted.agg(F.sum("count")).first()[0] or 0
+    often = F.col("count") * hot >= total
+    frequent = counted.where(often)
+    k = F.col("k")
+    sums = [F.sum("k").alias("n_links"), F.sum(k * F.col("best")).alias("n_best"), F.sum(k * F.col("count")).alias("count_sum")]
+    known = links.join(F.broadcast(frequent), ["a", "b"]).groupBy("uid").agg(*sums)
+    rest = links.join(F.broadcast(frequent.select("a", "b")), ["a", "b"], "left_anti").join(counted.where(~often), ["a", "b"]).groupBy("uid").agg(*sums)
+    return known.unionByName(rest).groupBy("uid").agg(*[F.sum(c).alias(c) for c in ("n_links", "n_best", "count_sum")])
+
+
+def op12(docs: DataFrame, ranks: str | None = None, pieces: str | None = None, block: int = BLOCK, most: int = PAIRS, hot: int = HOT) -> DataFrame:
     cut = stage(blocks(docs, ranks, pieces, block), "blocks")
     every = cut.where("stretch is not null and n > 0")
     texts = stage(tokenized(every.groupBy("stretch").agg(F.sum("n").alias("n")), ranks, pieces).withColumn("uid", F.monotonically_increasing_id()), "stretches")
-    sums, links = aligned(texts)
-    links = stage(links.groupBy("uid", "a", "b").agg(F.count("*").alias("k")), "links")
+    groups, links = aligned(texts, most)
+    links = stage(links, "links")
     counted = pair_counts(links.join(texts.select("uid", "n"), "uid").select("a", "b", (F.col("k") * F.col("n")).alias("n")))
-    k = F.col("k")
-    by_text = links.join(counted, ["a", "b"]).groupBy("uid").agg(F.sum("k").alias("n_links"), F.sum(k * F.col("best")).alias("n_best"), F.sum(k * F.col("count")).alias("count_sum"))
-    found = stage(texts.select("uid", "stretch").join(sums, "uid").join(by_text, "uid").select("stretch", *COUNTS, "groups"), "aligned")
+    found = texts.select("uid", "stretch", "n_a", "n_b").join(groups, "uid").join(link_sums(links, counted, hot), "uid").select("stretch", *COUNTS, "groups")
     back = every.select(F.col("block").alias("_block"), "k", "stretch").join(found, "stretch").select("_block", "k", *COUNTS, "groups")
     return by_document(cut.where("stretch is null").select("block", "doc_id", "ks"), back)
 
