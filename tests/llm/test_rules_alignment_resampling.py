@@ -152,7 +152,7 @@ def plain_alignment(texts):
     return [(0, 0, 0, 0, 0, 0, "") if f is None else (*f[:3], len(f[3]), sum(count[x] == top[x[1]] for x in f[3]), sum(count[x] for x in f[3]), f[4]) for f in found]
 
 
-ALIGNED = ["a  b", " a", "a ", "a\n b\t c", "ﬁ é é Ａ", "<s> x </s> <0x41> <|endoftext|> y", "▁x", "ok ▁ no", " ", "   ", "\x00a", "日本 語 日本語テキスト", "\xa0x \u2003 y", "it's we'll DON'T", "😀 👩‍👩‍👧 x", "\r\n", "tab\tin word", "a\x1c b \x1dc"]
+ALIGNED = ["a  b", " a", "a ", "a\n b\t c", "ﬁ é é Ａ", "<s> x </s> <0x41> <|endoftext|> y", "▁x", "ok ▁ no", " ", "   ", "\x00a", "日本 語 日本語テキスト", "\xa0x \u2003 y", "it's we'll DON'T", "😀 👩‍👩‍👧 x", "\r\n", "tab\tin word", "a\x1c b \x1dc", "one\ntwo\nthree\n\nfour \nfive\n six", "\nx\ny", "\x00\nx y \x00z", "\x00x \x00y\n\x00z\n", "a\r\nb\nc \x00"]
 
 
 def test_alignment_equals_brute_force(spark):
@@ -172,10 +172,10 @@ def test_links_of_long_groups_by_cells(spark, cell):
 
     a, b = side(60), side(90)
     token = "array<struct<id:int,start:long,end:long>>"
-    groups = spark.createDataFrame([(0, 0, a, b), (0, 1, a[:1], b[:2]), (1, 0, b, a)], f"uid long, grp long, a {token}, b {token}")
-    want = [(u, x[0], y[0]) for u, p, q in ((0, a, b), (0, a[:1], b[:2]), (1, b, a)) for x in p for y in q if max(x[1], y[1]) < min(x[2], y[2])]
+    groups = spark.createDataFrame([("s", 5, 0, a, b), ("s", 5, 1, a[:1], b[:2]), ("t", 6, 0, b, a)], f"stretch string, n long, grp long, a {token}, b {token}")
+    want = [(u, n, x[0], y[0]) for u, n, p, q in (("s", 5, a, b), ("s", 5, a[:1], b[:2]), ("t", 6, b, a)) for x in p for y in q if max(x[1], y[1]) < min(x[2], y[2])]
     assert rows_of(alignment.links_by_cells(groups, cell)) == sorted(want, key=repr)
-    within = groups.select("uid", F.explode(alignment.links_within(F.col("a"), F.col("b"))).alias("l")).select("uid", "l.a", "l.b")
+    within = groups.select("stretch", "n", F.explode(alignment.links_within(F.col("a"), F.col("b"))).alias("l")).select("stretch", "n", "l.a", "l.b")
     assert rows_of(within) == sorted(want, key=repr)
 
 

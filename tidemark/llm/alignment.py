@@ -6,10 +6,10 @@ of a group are linked where their bytes overlap. The tokens are exploded with th
 windowed running lengths, the cuts an equality join on ends, the groups a running count of cuts, and
 the links the overlaps within groups (of a long group by a range join in cells of bytes, so that it doesn't join all with all).
 
-Stretches instead of documents. Neither tokenizer has a token that crosses a single space between two other
-characters: A's pattern has a space only before what it belongs to, and no piece of B has its space sign
-after another character (``separable`` looks). So a text is a row of stretches, each a space and what
-follows, that are tokenized and aligned alike wherever they occur. Documents are read in blocks of some
+Stretches instead of documents. In both tokenizers a token ends before a single space, or a single line's end,
+between two other characters: A's pattern has white space only before what it belongs to, and no piece of B has its
+space sign after another character, or a line's end at all (``separable`` looks). So a text is a row of stretches,
+each such a sign and what follows, that are tokenized and aligned alike wherever they occur. Documents are read in blocks of some
 megabytes; a block has each different stretch once and each document as numbers of stretches. The joins run
 over the different stretches of the corpus, with their counts, and their results come back to the blocks, where
 each document adds them up and hashes its groups in order. A text without such spaces is one stretch.
@@ -43,8 +43,8 @@ from tidemark.llm.words import give_back, map_batches
 
 BLOCK, CELL, PAIRS, HOT, MARK = 16 << 20, 32, 1024, 1 << 17, "▁"
 COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-_single = re.compile(r"(?<=\S) (?=\S)")
-_other = re.compile(r"\A\s|\s\s|\s\Z")
+_single = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
+_other = re.compile(r"\A\s|\s\s|\s\Z|\0")
 _pairs: dict = {}
 
 
@@ -68,21 +68,42 @@ class Pair:
         for i, x in self.a_bytes.items():
             a_sizes[i] = len(x)
         self.sizes = a_sizes, np.array([len(x) for x in self.b_bytes], np.int32)
-        #: whether no piece holds the space sign after another character, so that texts fall into stretches
-        self.separable = not any(MARK in x.lstrip(MARK) for x in names)
+        #: whether no piece holds the space sign after another character, or a line's end, so that texts fall into stretches
+        self.separable = not any(MARK in x.lstrip(MARK) or "\n" in x for x in names)
+
+    def encode_b(self, stretches: list[str]) -> list[list[int]]:
+        """Ids of B; the space that it adds before a line's end is left out again."""
+        found = self.b.encode([x[1:] if x[0] == "\0" else x for x in stretches], num_threads=1)
+        return [ids[1:] if x[0] == "\n" else ids for x, ids in zip(stretches, found, strict=True)]
 
     def encode(self, stretches: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of A for a space and each stretch, and of B for each stretch."""
-        return self.a.encode_ordinary_batch([" " + x for x in stretches], num_threads=1), self.b.encode(stretches, num_threads=1)
+        """Ids of A and B for each stretch."""
+        return [self.a.encode_ordinary(spaced(x)) for x in stretches], self.encode_b(stretches)
 
     def whole(self, stretch: str, b: list[int]) -> bool:
-        """Whether B's tokens are the bytes of a space and the stretch; A's always are."""
-        return b"".join(map(self.b_bytes.__getitem__, b)) == b" " + stretch.encode()
+        """Whether B's tokens are the stretch's bytes; A's always are."""
+        return b"".join(map(self.b_bytes.__getitem__, b)) == spaced(stretch).encode()
 
     def cut(self, text: str) -> list[str]:
+        """The stretches of a space and a text, named as ``spaced`` says."""
         if not self.separable:
-            return [text]
-        return _single.split(text) if _other.search(text) else text.split(" ")
+            return [escaped(text)]
+        if not _other.search(text):  # all white space is single and inside
+            return text.replace("\n", " \n").split(" ")
+        first, *rest = _single.split(text)
+        return [escaped(first), *("\0" + x if x[0] == "\0" else x for x in rest)]
+
+
+def spaced(stretch: str) -> str:
+    """The characters of a stretch by its name: those of a line's end and what follows are themselves, others follow a space.
+
+    A name that would begin otherwise with a line's end or a zero has one more zero before it.
+    """
+    return stretch if stretch[0] == "\n" else " " + stretch[stretch[0] == "\0" :]
+
+
+def escaped(text: str) -> str:
+    return "\0" + text if text[0] in "\n\0" else text
 
 
 def pair(ranks: str | None = None, pieces: str | None = None) -> Pair:
@@ -119,7 +140,7 @@ def blocks(docs: DataFrame, ranks: str | None = None, pieces: str | None = None,
         numbers.default_factory = numbers.__len__
         cut = [[np.array([numbers[x] for x in both.cut(t)], np.int32) if t else None for t in texts] for _, texts in held]
         names = list(numbers)
-        good = np.array([both.whole(x, b) for x, b in zip(names, both.b.encode(names, num_threads=1), strict=True)], bool)
+        good = np.array([both.whole(x, b) for x, b in zip(names, both.encode_b(names), strict=True)], bool)
         count = np.zeros(len(names), np.int64)
         for (ids, _), rows in zip(held, cut, strict=True):
             valid = [r if r is not None and good[r].all() else None for r in rows]
@@ -144,11 +165,10 @@ def blocks(docs: DataFrame, ranks: str | None = None, pieces: str | None = None,
 
 
 def tokenized(stretches: DataFrame, ranks: str | None = None, pieces: str | None = None) -> DataFrame:
-    """stretch, n, how many tokens of A and B it has, and tokens: id and size in bytes of A's and then of B's."""
+    """stretch, n, the number n_a of A's tokens, and ids and sizes in bytes of A's tokens and then B's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair(ranks, pieces)
-        kinds = [pa.field("id", pa.int32()), pa.field("size", pa.int32())]
         for batch in batches:
             n, flat = [], []
             for rows in both.encode(batch.column(0).to_pylist()):
@@ -160,31 +180,43 @@ def tokenized(stretches: DataFrame, ranks: str | None = None, pieces: str | None
             for side in (0, 1):
                 ids[place[side]], sizes[place[side]] = flat[side], both.sizes[side][flat[side]]
             off = np.append(0, np.cumsum(n[0] + n[1])).astype(np.int32)
-            tokens = pa.ListArray.from_arrays(pa.array(off), pa.StructArray.from_arrays([pa.array(ids), pa.array(sizes)], fields=kinds))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x.astype(np.int32)) for x in n), tokens], ["stretch", "n", "n_a", "n_b", "tokens"])
+            lists = (pa.ListArray.from_arrays(pa.array(off), pa.array(x)) for x in (ids, sizes))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n[0].astype(np.int32)), *lists], ["stretch", "n", "n_a", "ids", "sizes"])
 
-    return map_batches(stretches.select("stretch", "n"), run, "stretch string, n long, n_a int, n_b int, tokens array<struct<id:int,size:int>>")
+    return map_batches(stretches.select("stretch", "n"), run, "stretch string, n long, n_a int, ids array<int>, sizes array<int>")
 
 
-def placed(texts: DataFrame) -> DataFrame:
-    """uid, side (0 for A, 1 for B), pos, id, start and end of the tokens of texts of uid, n_a and tokens."""
-    rows = texts.select("uid", "n_a", F.posexplode("tokens").alias("pos", "_t")).select("uid", (F.col("pos") >= F.col("n_a")).cast("int").alias("side"), "pos", "_t.id", "_t.size")
-    w = Window.partitionBy("uid", "side").orderBy("pos")
+def placed(texts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """uid, side (0 for A, 1 for B), pos, id, start and end of the tokens, and what is kept, on a text's first token."""
+    once = [F.when(F.col("pos") == 0, F.col(c)).alias(c) for c in keep]
+    rows = texts.select("uid", "n_a", *keep, F.posexplode(F.arrays_zip("ids", "sizes")).alias("pos", "_t"))
+    return ended(rows.select("uid", (F.col("pos") >= F.col("n_a")).cast("int").alias("side"), "pos", F.col("_t.ids").alias("id"), F.col("_t.sizes").alias("size"), *once))
+
+
+def ended(rows: DataFrame) -> DataFrame:
+    """start and end of tokens of uid, side, pos and size."""
+    w = Window.partitionBy("uid", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("end", F.sum("size").over(w)).withColumn("start", F.col("end") - F.col("size")).drop("size")
 
 
-def grouped(tokens: DataFrame) -> DataFrame:
+def cuts(texts: DataFrame) -> DataFrame:
+    """uid and end wherever tokens of both sides end."""
+    rows = ended(texts.select("uid", "n_a", F.posexplode("sizes").alias("pos", "size")).select("uid", (F.col("pos") >= F.col("n_a")).cast("int").alias("side"), "pos", "size"))
+    a, b = (rows.where(F.col("side") == side).select("uid", "end") for side in (0, 1))
+    return a.join(b, ["uid", "end"])
+
+
+def grouped(tokens: DataFrame, cuts: DataFrame) -> DataFrame:
     """The tokens with grp, the number of cuts before their end."""
-    ends = [tokens.where(F.col("side") == side).select("uid", "end") for side in (0, 1)]
-    cuts = ends[0].join(ends[1], ["uid", "end"]).withColumn("_cut", F.lit(1))
     w = Window.partitionBy("uid", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return tokens.join(cuts, ["uid", "end"], "left").withColumn("grp", F.coalesce(F.sum("_cut").over(w), F.lit(0))).drop("_cut")
+    marked = tokens.join(cuts.withColumn("_cut", F.lit(1)), ["uid", "end"], "left")
+    return marked.withColumn("grp", F.coalesce(F.sum("_cut").over(w), F.lit(0))).drop("_cut")
 
 
-def of_groups(tokens: DataFrame) -> DataFrame:
-    """uid, grp, and arrays a and b of the group's tokens (id, start, end) in order; tokens have grp."""
+def of_groups(tokens: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """uid, grp, arrays a and b of the group's tokens (id, start, end) in order, and what is kept; tokens have grp."""
     own = lambda side: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("pos", "id", "start", "end")))), lambda x: F.struct(x["id"].alias("id"), x["start"].alias("start"), x["end"].alias("end")))
-    return tokens.groupBy("uid", "grp").agg(own(0).alias("a"), own(1).alias("b"))
+    return tokens.groupBy("uid", "grp").agg(own(0).alias("a"), own(1).alias("b"), *[F.max(c).alias(c) for c in keep])
 
 
 def links_within(a: Column, b: Column) -> Column:
@@ -194,18 +226,18 @@ def links_within(a: Column, b: Column) -> Column:
 
 
 def links_by_cells(groups: DataFrame, cell: int = CELL) -> DataFrame:
-    """uid, a and b of every two tokens of a group that overlap, by a range join.
+    """stretch, n, a and b of every two tokens of a group that overlap, by a range join.
 
     Tokens are listed in the cells of bytes that they touch; a link is found in the cell where its bytes begin.
     """
 
     def cells(side: str) -> DataFrame:
-        t = groups.select("uid", "grp", F.explode(side).alias("_t"))
-        return t.select("uid", "grp", F.col("_t").alias(side), F.explode(F.sequence(F.floor(F.col("_t.start") / cell), F.floor((F.col("_t.end") - 1) / cell))).alias("_cell"))
+        t = groups.select("stretch", "n", "grp", F.explode(side).alias("_t"))
+        return t.select("stretch", "n", "grp", F.col("_t").alias(side), F.explode(F.sequence(F.floor(F.col("_t.start") / cell), F.floor((F.col("_t.end") - 1) / cell))).alias("_cell"))
 
-    met = cells("a").join(cells("b"), ["uid", "grp", "_cell"])
+    met = cells("a").join(cells("b").drop("n"), ["stretch", "grp", "_cell"])
     first = F.greatest("a.start", "b.start")
-    return met.where((first < F.least("a.end", "b.end")) & (F.floor(first / cell) == F.col("_cell"))).select("uid", F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    return met.where((first < F.least("a.end", "b.end")) & (F.floor(first / cell) == F.col("_cell"))).select("stretch", "n", F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
 @contextlib.contextmanager
@@ -220,27 +252,32 @@ def dealt_by_some(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def aligned(texts: DataFrame, most: int = PAIRS) -> tuple[DataFrame, DataFrame]:
-    """Of texts (uid, n_a, n_b, tokens): uid, n_groups and groups; and uid, a, b and k of all links.
+def aligned(texts: DataFrame, most: int = PAIRS) -> DataFrame:
+    """Of texts (uid, stretch, n, n_a, ids, sizes): stretch, n, n_a, n_b, n_groups, groups, links (array of a and b), and rest.
 
-    The texts are dealt out by uid once, and all joins and windows up to the groups are within a uid: no other
-    exchange. A group of more than ``most`` possible pairs is linked by cells, the others as they are.
+    The texts are dealt out by uid, and all joins and windows are within a uid: no other exchange. rest has the
+    groups of more than ``most`` possible pairs, which aren't in links, for ``links_by_cells``.
     """
-    spread = texts.select("uid", "n_a", "tokens").repartition("uid")
+    keep = ("stretch", "n")
+    ends = cuts(texts.select("uid", "n_a", "sizes").repartition("uid"))
+    tokens = placed(texts.select("uid", "n_a", *keep, "ids", "sizes").repartition("uid"), keep)
     ids = lambda side: F.array_join(F.transform(side, lambda x: x["id"].cast("string")), ",")
     large = F.size("a").cast("long") * F.size("b") > most
-    groups = of_groups(grouped(placed(spread)))
-    groups = groups.select("uid", "grp", F.concat(ids("a"), F.lit("|"), ids("b")).alias("g"), F.when(~large, links_within(F.col("a"), F.col("b"))).alias("links"), *[F.when(large, F.col(x)).alias(x) for x in ("a", "b")])
+    groups = of_groups(grouped(tokens, ends), keep)
+    groups = groups.select("uid", "grp", *keep, F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.concat(ids("a"), F.lit("|"), ids("b")).alias("g"), F.when(~large, links_within(F.col("a"), F.col("b"))).alias("links"), *[F.when(large, F.col(x)).alias(x) for x in ("a", "b")])
     none = "array<struct<grp:long,a:array<struct<id:int,start:long,end:long>>,b:array<struct<id:int,start:long,end:long>>>>"
     each = F.array_sort(F.collect_list(F.struct("grp", "g")))
     rest = F.collect_list(F.when(F.col("a").isNotNull(), F.struct("grp", "a", "b"))).cast(none)
-    whole = groups.groupBy("uid").agg(F.count("*").alias("n_groups"), F.array_join(F.transform(each, lambda x: x["g"]), ";").alias("groups"), F.flatten(F.collect_list("links")).alias("links"), rest.alias("rest"))
+    sums = [F.max("stretch").alias("stretch"), F.max("n").alias("n"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups")]
+    whole = groups.groupBy("uid").agg(*sums, F.array_join(F.transform(each, lambda x: x["g"]), ";").alias("groups"), F.flatten(F.collect_list("links")).alias("links"), rest.alias("rest"))
     with dealt_by_some(texts.sparkSession):
-        found = stage(whole, "groups")
-    own = found.select("uid", F.explode("links").alias("_l")).select("uid", "_l.a", "_l.b")
-    long_ = found.select("uid", F.explode("rest").alias("_g")).select("uid", "_g.grp", "_g.a", "_g.b")
-    links = own.unionByName(links_by_cells(long_)).groupBy("uid", "a", "b").agg(F.count("*").alias("k"))
-    return found.drop("links", "rest"), links
+        return stage(whole.drop("uid"), "groups")
+
+
+def links_of(found: DataFrame) -> DataFrame:
+    """stretch, n, a, b of every link of what was aligned."""
+    own = found.select("stretch", "n", F.explode("links").alias("_l")).select("stretch", "n", "_l.a", "_l.b")
+    return own.unionByName(links_by_cells(found.select("stretch", "n", F.explode("rest").alias("_g")).select("stretch", "n", "_g.grp", "_g.a", "_g.b")))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -251,28 +288,26 @@ def pair_counts(links: DataFrame) -> DataFrame:
 
 
 def link_sums(links: DataFrame, counted: DataFrame, hot: int = HOT) -> DataFrame:
-    """uid, n_links, n_best, count_sum of links of uid, a, b, k.
+    """stretch, n_links, n_best, count_sum of links of stretch, a, b.
 
     Pairs with at least one in ``hot`` of all occurrences are at most so many and are broadcast; the others are joined by a shuffle.
     """
     total = counted.agg(F.sum("count")).first()[0] or 0
     often = F.col("count") * hot >= total
     frequent = counted.where(often)
-    k = F.col("k")
-    sums = [F.sum("k").alias("n_links"), F.sum(k * F.col("best")).alias("n_best"), F.sum(k * F.col("count")).alias("count_sum")]
-    known = links.join(F.broadcast(frequent), ["a", "b"]).groupBy("uid").agg(*sums)
-    rest = links.join(F.broadcast(frequent.select("a", "b")), ["a", "b"], "left_anti").join(counted.where(~often), ["a", "b"]).groupBy("uid").agg(*sums)
-    return known.unionByName(rest).groupBy("uid").agg(*[F.sum(c).alias(c) for c in ("n_links", "n_best", "count_sum")])
+    sums = [F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum")]
+    known = links.join(F.broadcast(frequent), ["a", "b"]).groupBy("stretch").agg(*sums)
+    rest = links.join(F.broadcast(frequent.select("a", "b")), ["a", "b"], "left_anti").join(counted.where(~often), ["a", "b"]).groupBy("stretch").agg(*sums)
+    return known.unionByName(rest).groupBy("stretch").agg(*[F.sum(c).alias(c) for c in ("n_links", "n_best", "count_sum")])
 
 
 def op12(docs: DataFrame, ranks: str | None = None, pieces: str | None = None, block: int = BLOCK, most: int = PAIRS, hot: int = HOT) -> DataFrame:
     cut = stage(blocks(docs, ranks, pieces, block), "blocks")
     every = cut.where("stretch is not null and n > 0")
     texts = stage(tokenized(every.groupBy("stretch").agg(F.sum("n").alias("n")), ranks, pieces).withColumn("uid", F.monotonically_increasing_id()), "stretches")
-    groups, links = aligned(texts, most)
-    links = stage(links, "links")
-    counted = pair_counts(links.join(texts.select("uid", "n"), "uid").select("a", "b", (F.col("k") * F.col("n")).alias("n")))
-    found = texts.select("uid", "stretch", "n_a", "n_b").join(groups, "uid").join(link_sums(links, counted, hot), "uid").select("stretch", *COUNTS, "groups")
+    found = aligned(texts, most)
+    sums = link_sums(links_of(found).drop("n"), pair_counts(links_of(found)), hot)
+    found = found.select("stretch", "n_a", "n_b", "n_groups", "groups").join(sums, "stretch").select("stretch", *COUNTS, "groups")
     back = every.select(F.col("block").alias("_block"), "k", "stretch").join(found, "stretch").select("_block", "k", *COUNTS, "groups")
     return by_document(cut.where("stretch is null").select("block", "doc_id", "ks"), back)
 
