@@ -64,10 +64,10 @@ class Pair:
         n = self.b.get_piece_size()
         names = [self.b.id_to_piece(i) for i in range(n)]
         self.b_bytes = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace(MARK, " ").encode() for i, x in enumerate(names)]
-        a_sizes = np.zeros(max(self.a_bytes) + 1, np.int32)
+        a_sizes = np.zeros(max(self.a_bytes) + 1, np.int16)
         for i, x in self.a_bytes.items():
             a_sizes[i] = len(x)
-        self.sizes = a_sizes, np.array([len(x) for x in self.b_bytes], np.int32)
+        self.sizes = a_sizes, np.array([len(x) for x in self.b_bytes], np.int16)
         #: whether no piece holds the space sign after another character, or a line's end, so that texts fall into stretches
         self.separable = not any(MARK in x.lstrip(MARK) or "\n" in x for x in names)
 
@@ -176,14 +176,14 @@ def tokenized(stretches: DataFrame, ranks: str | None = None, pieces: str | None
                 flat.append(np.fromiter(itertools.chain.from_iterable(rows), np.int32, int(n[-1].sum())))
             before = [np.cumsum(x) - x for x in n]
             place = [np.arange(len(flat[0])) + np.repeat(before[1], n[0]), np.arange(len(flat[1])) + np.repeat(before[0] + n[0], n[1])]
-            ids, sizes = np.empty((2, len(flat[0]) + len(flat[1])), np.int32)
+            ids, sizes = np.empty(len(flat[0]) + len(flat[1]), np.int32), np.empty(len(flat[0]) + len(flat[1]), np.int16)
             for side in (0, 1):
                 ids[place[side]], sizes[place[side]] = flat[side], both.sizes[side][flat[side]]
             off = np.append(0, np.cumsum(n[0] + n[1])).astype(np.int32)
             lists = (pa.ListArray.from_arrays(pa.array(off), pa.array(x)) for x in (ids, sizes))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n[0].astype(np.int32)), *lists], ["stretch", "n", "n_a", "ids", "sizes"])
 
-    return map_batches(stretches.select("stretch", "n"), run, "stretch string, n long, n_a int, ids array<int>, sizes array<int>")
+    return map_batches(stretches.select("stretch", "n"), run, "stretch string, n long, n_a int, ids array<int>, sizes array<smallint>")
 
 
 def placed(texts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -295,10 +295,9 @@ def link_sums(links: DataFrame, counted: DataFrame, hot: int = HOT) -> DataFrame
     total = counted.agg(F.sum("count")).first()[0] or 0
     often = F.col("count") * hot >= total
     frequent = counted.where(often)
-    sums = [F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum")]
-    known = links.join(F.broadcast(frequent), ["a", "b"]).groupBy("stretch").agg(*sums)
-    rest = links.join(F.broadcast(frequent.select("a", "b")), ["a", "b"], "left_anti").join(counted.where(~often), ["a", "b"]).groupBy("stretch").agg(*sums)
-    return known.unionByName(rest).groupBy("stretch").agg(*[F.sum(c).alias(c) for c in ("n_links", "n_best", "count_sum")])
+    known = links.join(F.broadcast(frequent), ["a", "b"])
+    rest = links.join(F.broadcast(frequent.select("a", "b")), ["a", "b"], "left_anti").join(counted.where(~often), ["a", "b"])
+    return known.unionByName(rest).groupBy("stretch").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
 
 
 def op12(docs: DataFrame, ranks: str | None = None, pieces: str | None = None, block: int = BLOCK, most: int = PAIRS, hot: int = HOT) -> DataFrame:
