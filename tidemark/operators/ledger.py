@@ -35,14 +35,15 @@ def gaps(rows: DataFrame, seq: str) -> DataFrame:
     return out.where(F.col(seq) != F.col(f"prev_{seq}") + 1).select(F.col(f"prev_{seq}").alias("last_seq"), F.col(seq).alias("next_seq"), (F.col(seq) - F.col(f"prev_{seq}") - 1).alias("missing"))
 
 
-def link(rows: DataFrame, order: list[str], tip: tuple[int, str] = (-1, GENESIS)) -> DataFrame:
+def link(rows: DataFrame, order: list[str], tip: tuple[int, str] = (-1, GENESIS), drop: list[str] | tuple = ()) -> DataFrame:
     """seq, prev_hash and entry_hash of new rows after a tip (its number and hash), as violations() checks them.
 
     The hash is over the canonical row with seq and prev_hash inside, so each needs the one before: for
-    the rows of one append this is one task by nature. Checking a ledger needs none of it.
+    the rows of one append this is one task by nature. Checking a ledger needs none of it. Columns to drop
+    only order the rows.
     """
     rows = rows.drop("seq", "prev_hash", "entry_hash")
-    names = list(rows.columns)
+    names = [c for c in rows.columns if c not in drop]
     rows = rows.withColumn("seq", F.row_number().over(Window.orderBy(*order)) + F.lit(tip[0]).cast("long"))
     inner = lambda columns: F.expr("substring(_t, 2, length(_t) - 2)") if columns else F.lit("")
     for name, some in (("_head", [c for c in names if c < "prev_hash"]), ("_tail", [c for c in [*names, "seq"] if c > "prev_hash"])):
