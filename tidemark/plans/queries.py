@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import canonical, refs, times
-from tidemark.operators import bindings, classify, entries, ledger, listings, population, score
+from tidemark.operators import bindings, classify, entries, ledger, listings, objects, population, score
 from tidemark.plans.adapters import DAY, HOUR, OBS_SQL, inline, observations, table, values_sql
 from tidemark.sources import schemas, shared
 from tidemark.streaming import changes
@@ -588,3 +588,146 @@ def padded(rows: DataFrame, side: str) -> Column:
     whole = rows.sparkSession.createDataFrame([], schemas.ENTRY).schema[side].dataType
     have = rows.schema[side].dataType.names
     return F.struct(*[(F.col(f"{side}.{f.name}") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in whole])
+
+
+CHAINS_SQL = """WITH RECURSIVE t AS (SELECT o_orderkey AS sha, o_orderkey // 2 AS next_sha, CASE WHEN o_orderkey = 1 THEN 'tag' WHEN o_orderkey % 11 = 0 THEN 'commit' WHEN o_orderkey % 13 = 0 THEN 'tree' WHEN o_orderkey % 17 = 0 THEN 'note' ELSE 'tag' END AS next_kind
+  FROM (SELECT DISTINCT greatest(o_orderkey, 1) AS o_orderkey FROM orders WHERE o_orderkey % 19 <> 7)),
+tt AS (SELECT sha, CASE WHEN sha = 1 THEN 1 ELSE next_sha END AS next_sha, next_kind FROM t),
+r AS (SELECT sha AS tip, next_sha AS cur, next_kind AS kind, 1::BIGINT AS hops FROM tt UNION ALL
+  SELECT r.tip, tt.next_sha, tt.next_kind, r.hops + 1 FROM r JOIN tt ON tt.sha = r.cur WHERE r.kind = 'tag' AND r.hops < 40),
+e AS (SELECT r.*, max(hops) OVER (PARTITION BY tip) AS top FROM r),
+x AS (SELECT tip, cur, CASE WHEN kind = 'tag' AND hops >= 40 THEN 'cycle' WHEN kind = 'tag' THEN 'missing' ELSE kind END AS kind, hops FROM e WHERE hops = top),
+p AS (SELECT o_orderkey AS tip, CASE WHEN o_orderkey % 23 = 0 THEN 'commit' ELSE 'tag' END AS tip_kind FROM orders)
+SELECT p.tip AS sha, CASE WHEN reason IS NULL THEN cur END AS peeled_sha, CASE WHEN reason IS NULL THEN kind END AS peeled_kind, CASE WHEN reason IS NULL THEN hops END AS hops, reason FROM (
+  SELECT p.tip, CASE WHEN tip_kind = 'tag' THEN cur ELSE p.tip END AS cur, CASE WHEN tip_kind <> 'tag' THEN tip_kind ELSE coalesce(kind, 'missing') END AS kind, CASE WHEN tip_kind = 'tag' THEN coalesce(hops, 0) ELSE 0 END AS hops,
+    CASE WHEN tip_kind <> 'tag' THEN NULL WHEN kind = 'cycle' THEN 'cycle' WHEN coalesce(kind, 'missing') = 'missing' AND coalesce(hops, 0) < 8 THEN 'missing object' WHEN hops > 8 OR kind = 'missing' THEN 'too deep' WHEN kind NOT IN ('commit', 'tree', 'blob') THEN 'unsupported kind' END AS reason
+  FROM p LEFT JOIN x ON x.tip = p.tip) p"""
+
+
+@query(CHAINS_SQL)
+def q53_peel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where chains of tags end, or why they don't: each order points to the one of half its number."""
+    c, key = F.col, F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    kind = F.when(key == 1, "tag").when(key % 11 == 0, "commit").when(key % 13 == 0, "tree").when(key % 17 == 0, "note").otherwise("tag")
+    tags = orders.where(key % 19 != 7).select(F.greatest(key, F.lit(1)).alias("o_orderkey")).distinct()
+    tags = tags.select(key.alias("sha"), F.when(key == 1, 1).otherwise(F.floor(key / 2)).cast("long").alias("next_sha"), kind.alias("next_kind"))
+    tips = orders.select(key.alias("sha"), F.when(key % 23 == 0, "commit").otherwise("tag").alias("kind"))
+    return objects.peeled(tips, tags).select("sha", "peeled_sha", "peeled_kind", c("hops").cast("long").alias("hops"), "reason")
+
+
+RECOVERY_SQL = f"""WITH ev AS ({LISTING_SQL}), st AS (SELECT min(us) + {14 * DAY} AS stop FROM ev), tip AS (SELECT max(us) AS tip FROM ev, st WHERE us <= stop),
+early AS (SELECT min(us) AS us FROM ev, tip WHERE repo = 5 AND us > tip)
+SELECT ev.repo::VARCHAR AS repo, ev.us, event, ref, from_commit, to_commit, seconds, 'o' || ev.repo::VARCHAR || '-' || ev.us::VARCHAR AS observation_id FROM ev, tip WHERE us > tip AND NOT (repo = 5 AND us = (SELECT us FROM early))"""
+
+
+@query(RECOVERY_SQL)
+def q54_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a ledger that stops after two weeks has missed; one later listing is named by a row of it, and failed polls say nothing."""
+    c, slug = F.col, F.col("repo").cast("string")
+    named = F.concat(F.lit("o"), slug, F.lit("-"), c("us").cast("string"))
+    listed = daily_listings(spark, sf_dir).select(slug.alias("repo"), "us", "names", "commits", named.alias("observation_id"), times.wire(F.timestamp_micros("us")).alias("observed_at"), F.struct(F.lit("ok").alias("type")).alias("outcome"))
+    failed = listed.select("repo", (c("us") + HOUR).alias("us"), F.array().cast("array<string>").alias("names"), F.array().cast("array<long>").alias("commits"), F.concat(F.lit("x"), "observation_id").alias("observation_id"), times.wire(F.timestamp_micros(c("us") + HOUR)).alias("observed_at"), F.struct(F.lit("failed").alias("type")).alias("outcome"))
+    all_changes = shared.stage(listings.changes(listed.select("repo", "us", "names", "commits")), "changes")
+    stop = all_changes.agg((F.min("us") + 14 * DAY).alias("stop"))
+    kept = all_changes.join(F.broadcast(stop)).where("us <= stop")
+    tip = kept.agg(F.max("us").alias("tip"))
+    early = all_changes.where("repo = '5'").join(F.broadcast(tip)).where("us > tip").agg(F.min("us").alias("us"), F.max("tip").alias("tip"))
+    rows = kept.select("event", times.wire(F.timestamp_micros("us")).alias("recorded_at"), F.array(named).alias("source_observations"))
+    released = early.select(F.lit("move").alias("event"), times.wire(F.timestamp_micros("tip")).alias("recorded_at"), F.array(F.concat(F.lit("o5-"), c("us").cast("string"))).alias("source_observations"))
+    other = kept.select(F.lit("correlation").alias("event"), times.wire(F.timestamp_micros("us")).alias("recorded_at"), F.array(F.concat(F.lit("o"), slug, F.lit("-"), (c("us") + 20 * DAY).cast("string"))).alias("source_observations"))
+    found = entries.recovered(listed.unionByName(failed), rows.unionByName(released).unionByName(other))
+    return found.select("repo", "us", "event", "ref", "from_commit", "to_commit", "seconds", "observation_id")
+
+
+@query(BATCH_SQL + """, g AS (SELECT repo, batch_id, max(us // 1000) AS at FROM bt GROUP BY 1, 2),
+u AS (SELECT DISTINCT g.repo, g.batch_id, g.at, unnest(arg_max(members, us)) AS ref FROM bt JOIN g USING (repo, batch_id) GROUP BY g.repo, g.batch_id, g.at),
+s AS (SELECT u.repo, u.batch_id, u.ref, max(mv.event_id) AS seq FROM u JOIN mv ON mv.repo = u.repo AND mv.ref = u.ref AND mv.us // 1000 <= u.at GROUP BY 1, 2, 3)
+SELECT repo::VARCHAR AS repo, batch_id, array_to_string(list_sort(list(DISTINCT seq)), ',') AS member_seqs, array_to_string(list_sort(list(ref)), ',') AS refs FROM s GROUP BY 1, 2""")
+def q55_correlation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledger rows of batches, whose members are the last rows of their references up to the batch."""
+    at = lambda: times.wire(F.timestamp_micros("us")).alias("recorded_at")
+    rows = moved(spark, sf_dir).select(F.lit("move").alias("event"), F.col("repo").cast("string").alias("repo"), "ref", at(), F.col("event_id").alias("seq"))
+    b = batched(spark, sf_dir).select(F.col("repo").cast("string").alias("repo"), at(), "batch_id", F.col("members").alias("refs"), F.lit(True).alias("all_to_same_target"), F.lit(None).cast("string").alias("note"))
+    made = entries.correlations(b, rows).select("repo", "correlation.*")
+    return made.select("repo", "batch_id", F.array_join(F.transform("member_seqs", lambda x: x.cast("string")), ",").alias("member_seqs"), F.array_join("refs_moved_together", ",").alias("refs"))
+
+
+CACHE_SQL = f"""WITH {OBS_SQL}, n AS (SELECT commit_no::VARCHAR || '-' || repo::VARCHAR AS c, CASE WHEN k % 31 = 0 THEN commit_no::VARCHAR || '-' || repo::VARCHAR WHEN k % 29 = 0 THEN repeat('0', 39) || '2' WHEN k % 37 = 0 THEN '' ELSE 't' || (tree_no + (k % 23 = 0)::INTEGER)::VARCHAR END AS t, us, event_id, ref FROM obs WHERE outcome = 'ok'),
+g AS (SELECT * FROM n WHERE t <> '' AND t <> c AND t <> repeat('0', 39) || '2'),
+m AS (SELECT c, arg_min(t, (us, event_id)) AS kept FROM g WHERE c <> '3-7' GROUP BY c)"""
+
+
+def tree_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits and the trees that observations give for them, some not to be trusted and some that differ."""
+    o, c = ok(spark, sf_dir), F.col
+    sha = F.concat_ws("-", c("commit_no").cast("string"), c("repo").cast("string"))
+    tree = F.when(c("k") % 31 == 0, sha).when(c("k") % 29 == 0, F.lit(objects.PLACEHOLDERS[1])).when(c("k") % 37 == 0, "").otherwise(F.concat(F.lit("t"), (c("tree_no") + (c("k") % 23 == 0).cast("int")).cast("string")))
+    return o.select(F.lit("commit").alias("kind"), sha.alias("commit_sha"), tree.alias("tree_sha"), "us", "event_id", "ref")
+
+
+def tree_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The index merged in two appends, and all trusted rows; one commit is never cached."""
+    rows = tree_rows(spark, sf_dir).where("commit_sha <> '3-7'")
+    rows = rows.where(objects.trusted_tree(F.col("commit_sha"), F.col("tree_sha")))
+    half = rows.agg(F.expr("min(us) + (max(us) - min(us)) / 2").alias("_half"))
+    early = rows.join(F.broadcast(half)).where("us < _half").drop("_half")
+    late = rows.join(F.broadcast(half)).where("us >= _half").drop("_half")
+    first = shared.stage(objects.tree_index(early, ORDER), "trees")
+    return shared.stage(objects.merge(first, late, "commit_sha", "tree_sha", ORDER), "trees"), rows
+
+
+@query(CACHE_SQL + " SELECT m.c AS commit_sha, kept, t AS other, count(*) AS n FROM m JOIN g ON g.c = m.c WHERE t <> kept GROUP BY 1, 2, 3")
+def q56_tree_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees that observations give for a commit whose first trusted tree is another."""
+    index, rows = tree_table(spark, sf_dir)
+    return objects.conflicts(index, rows, "commit_sha", "tree_sha")
+
+
+@query(CACHE_SQL + """ SELECT n.event_id, n.c AS commit_sha, n.t AS before, coalesce(kept, n.t) AS tree_sha, NOT (g.event_id IS NOT NULL AND coalesce(n.t = kept, false)) AS unverified_before,
+  kept IS NULL AS unverified_after FROM n LEFT JOIN m ON m.c = n.c LEFT JOIN g ON g.event_id = n.event_id""")
+def q57_tree_healing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bindings with the trees of the index, and which were and are not verified."""
+    index, _ = tree_table(spark, sf_dir)
+    return objects.healed(tree_rows(spark, sf_dir).select("event_id", "commit_sha", "tree_sha"), index).select("event_id", "commit_sha", "before", "tree_sha", "unverified_before", "unverified_after")
+
+
+WHOLE_SQL = f"""WITH {OBS_SQL}, d AS (SELECT repo, ref, make_timestamp(us)::DATE AS day, arg_max(commit_no, (us, event_id)) AS c FROM obs WHERE outcome = 'ok' GROUP BY 1, 2, 3),
+ls AS (SELECT *, row_number() OVER v AS n, lead(us) OVER v AS nus FROM (SELECT DISTINCT repo, epoch_us(day::TIMESTAMP) AS us FROM d) WINDOW v AS (PARTITION BY repo ORDER BY us)),
+p AS (SELECT d.repo, d.ref, c, ls.n, ls.us, ls.nus, lag(ls.n) OVER w AS pn, lag(ls.us) OVER w AS pus, lag(ls.nus) OVER w AS gone, lag(c) OVER w AS pc, lead(ls.n) OVER w AS nn FROM d JOIN ls ON ls.repo = d.repo AND ls.us = epoch_us(d.day::TIMESTAMP) WINDOW w AS (PARTITION BY d.repo, d.ref ORDER BY ls.n)),
+s AS (SELECT *, sum((pn IS NULL OR (pn = n - 1 AND pc <> c))::INTEGER) OVER (PARTITION BY repo, ref ORDER BY n) AS b FROM p),
+y AS (SELECT *, min(us) OVER z AS f, count(*) OVER z AS k FROM s WINDOW z AS (PARTITION BY repo, ref, b ORDER BY n)),
+z AS (SELECT *, lag(f) OVER w AS pf, lag(k) OVER w AS pk FROM y WINDOW w AS (PARTITION BY repo, ref ORDER BY n)),
+ev AS (SELECT repo, ref, us, 'move' AS event, pc AS a, c AS t, pf AS af, pus AS al, pk AS ak, f AS tf, us AS tl, k AS tk, us - pus AS win, NULL AS gap, pus AS s1, us AS s2 FROM z WHERE pn = n - 1 AND pc <> c
+  UNION ALL SELECT repo, ref, us, 'recreation', pc, c, pf, pus, pk, f, us, k, us - pus, us - gone, pus, us FROM z WHERE pn < n - 1
+  UNION ALL SELECT repo, ref, nus, 'deletion', c, c, f, us, k, nus, nus, 0, nus - us, NULL, us, nus FROM z WHERE nus IS NOT NULL AND (nn IS NULL OR nn > n + 1)),
+nm AS (SELECT *, regexp_replace(ref, '^refs/tags/', '') AS b, CASE WHEN a = t THEN 'release_level_only' WHEN a // 2 = t // 2 THEN 'commit_metadata_only' ELSE 'content_change' END AS kind, NULL AS ancestry, false AS correlated FROM ev),
+fm AS (SELECT *, {FORM_SQL} AS form FROM nm),
+en AS (SELECT repo::VARCHAR AS repo, ref, event, us, form AS ref_form, CASE event WHEN 'move' THEN kind WHEN 'recreation' THEN CASE WHEN a = t THEN 'release_level_only' ELSE 'content_change' END ELSE 'content_change' END AS classification,
+  CASE event WHEN 'deletion' THEN 'info' WHEN 'recreation' THEN CASE WHEN a = t THEN 'info' ELSE 'medium' END ELSE {SEVERITY_SQL} END AS severity, (win // 1000000)::BIGINT AS window_seconds, (gap // 1000000)::BIGINT AS gap_seconds,
+  ak AS from_count, ((al - af) // 86400000000)::BIGINT AS from_days, tk AS to_count, ((tl - tf) // 86400000000)::BIGINT AS to_days, 'o' || repo::VARCHAR || '-' || s1::VARCHAR || ',' || 'o' || repo::VARCHAR || '-' || s2::VARCHAR AS sources FROM fm),
+dg AS (SELECT strftime(make_timestamp(us)::DATE, '%Y-%m-%d') AS date, count(DISTINCT repo) AS ok, string_agg(DISTINCT strftime(make_timestamp(us), '%Y/%m/%d/') || 'acme--r' || repo::VARCHAR || '.jsonl', ',' ORDER BY strftime(make_timestamp(us), '%Y/%m/%d/') || 'acme--r' || repo::VARCHAR || '.jsonl') AS files FROM obs WHERE outcome = 'ok' GROUP BY 1),
+nt AS (SELECT date, string_agg(note, '; ' ORDER BY note) AS note FROM (SELECT note, min(date) AS date FROM (SELECT 'late r' || (repo % 4)::VARCHAR AS note, strftime(make_timestamp(us)::DATE, '%Y-%m-%d') AS date FROM obs WHERE outcome = 'failed') GROUP BY note) GROUP BY date),
+al AS (SELECT *, 1 AS rank, NULL AS date, NULL AS files, NULL AS note FROM en UNION ALL BY NAME SELECT epoch_us(dg.date::DATE::TIMESTAMP + INTERVAL 1 DAY) AS us, 'observation_digest' AS event, ok::BIGINT AS to_count, 0 AS rank, dg.date, files, note FROM dg LEFT JOIN nt ON nt.date = dg.date)
+SELECT row_number() OVER (ORDER BY us, rank, CASE event WHEN 'deletion' THEN 0 WHEN 'recreation' THEN 1 ELSE 2 END, repo, ref) - 1 AS seq, strftime(make_timestamp(us), '%Y-%m-%dT%H:%M:%S.000Z') AS recorded_at, event, repo, ref, ref_form, classification, severity, window_seconds, gap_seconds, from_count, from_days, to_count, to_days, sources, date, files, note, '' AS problems FROM al"""
+
+
+@query(WHOLE_SQL)
+def q58_verified_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From listings to a linked ledger with daily digests, and what verification finds in each of its rows (nothing)."""
+    c = F.col
+    listed = daily_listings(spark, sf_dir).withColumn("observation_id", F.concat(F.lit("o"), c("repo").cast("string"), F.lit("-"), c("us").cast("string")))
+    rows = entries.of_listings(listings.bound_events(listed), lambda commit: F.floor(commit / 2))
+    o = observations(spark, sf_dir)
+    date = F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd").alias("date")
+    good = o.where("outcome = 'ok'").select(date, "repo", F.concat(F.date_format(F.timestamp_micros("us"), "yyyy/MM/dd/"), F.lit("acme--r"), c("repo").cast("string"), F.lit(".jsonl")).alias("path"))
+    days = good.groupBy("date").agg(F.count_distinct("repo").alias("repos_polled")).select("date", "repos_polled", c("repos_polled").alias("ok"), *[F.lit(0).cast("long").alias(x) for x in ("not_modified", "failed", "skipped")])
+    files = good.select("date", "path").distinct().withColumn("sha256", canonical.sha256_ref(c("path")))
+    notes = o.where("outcome = 'failed'").select(date, F.concat(F.lit("late r"), (c("repo") % 4).cast("string")).alias("note"))
+    made = rows.unionByName(entries.digests(days, files, notes))
+    order = {"_rank": (c("event") != "observation_digest").cast("int"), "_kind": entries.event_rank(c("event"))}
+    linked = shared.stage(ledger.link(made.withColumns(order), ["recorded_at", "_rank", "_kind", "repo", "ref"], drop=list(order)), "linked")
+    bad = ledger.violations(linked).groupBy("seq").agg(F.array_join(F.array_sort(F.collect_list("what")), ", ").alias("problems"))
+    digest = c("observation_digest")
+    out = linked.join(bad, "seq", "left")
+    return out.select("seq", "recorded_at", "event", "repo", "ref", "ref_form", "classification", "severity", c("observation_window_seconds").alias("window_seconds"), "gap_seconds", c("from.observation_count").alias("from_count"), c("from.stable_days").alias("from_days"), F.coalesce(c("to.observation_count"), digest["ok"]).alias("to_count"), c("to.stable_days").alias("to_days"), F.array_join("source_observations", ",").alias("sources"), digest["date"].alias("date"), F.array_join(digest["files"]["path"], ",").alias("files"), digest["note"].alias("note"), F.coalesce("problems", F.lit("")).alias("problems"))
