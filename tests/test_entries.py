@@ -24,19 +24,36 @@ def test_failed_polls_make_valid_rows(spark):
 
 
 def test_batches_name_the_rows_of_their_members(spark):
-    rows = spark.createDataFrame([("a/b", "v1", "move", 3), ("a/b", "v1", "move", 7), ("a/b", "v2", "deletion", 5), ("c/d", "v1", "move", 9), ("a/b", "v1", "correction", 11)], "repo string, ref string, event string, seq long")
-    batch = [("a/b", AT.format(1), "corr-1", ["v1", "v2"], True, None), ("a/b", AT.format(2), "corr-1", ["v1", "v2"], True, None)]
+    rows = [("a/b", "v1", "move", 0, 3), ("a/b", "v1", "move", 1, 7), ("a/b", "v2", "deletion", 2, 5), ("c/d", "v1", "move", 1, 9), ("a/b", "v1", "correction", 1, 11), ("a/b", "v1", "move", 5, 99)]
+    rows = spark.createDataFrame([(a, b, c, AT.format(t), n) for a, b, c, t, n in rows], "repo string, ref string, event string, recorded_at string, seq long")
+    batch = [("a/b", AT.format(1), "corr-1", ["v1", "v2"], True, None), ("a/b", AT.format(2), "corr-1", ["v1", "v2"], True, None), ("a/b", AT.format(0), "corr-0", ["v1"], True, None)]
     schema = "repo string, recorded_at string, batch_id string, refs array<string>, all_to_same_target boolean, note string"
     got = entries.correlations(spark.createDataFrame(batch, schema), rows).collect()
-    assert [(r.event, r.recorded_at, r.correlation.member_seqs) for r in got] == [("correlation", AT.format(2), [5, 7])]
-    with pytest.raises(Exception, match="no row of v9"):
-        entries.correlations(spark.createDataFrame([("a/b", AT.format(1), "corr-2", ["v1", "v9"], True, None)], schema), rows).collect()
-
-
-def test_recovery_takes_what_no_row_names(spark):
-    led = spark.createDataFrame([(AT.format(1), ["1", "3"]), (AT.format(0), None)], "recorded_at string, source_observations array<string>")
-    assert sorted(r.observation_id for r in entries.not_sourced(polls(spark), led).collect()) == ["4", "5", "6"]
-    assert entries.not_sourced(polls(spark), led.limit(0)).count() == 6
+    # rows of the ledger after a batch are no members of it
+    assert sorted((r.event, r.recorded_at, r.correlation.member_seqs) for r in got) == [("correlation", AT.format(0), [3]), ("correlation", AT.format(2), [5, 7])]
+    for refs, at in ((["v1", "v9"], 3), (["v2"], 1)):
+        with pytest.raises(Exception, match="no row of v"):
+            entries.correlations(spark.createDataFrame([("a/b", AT.format(at), "corr-2", refs, True, None)], schema), rows).collect()
+
+
+def test_recovery_takes_ok_polls_that_no_binding_row_names(spark):
+    polls_ = polls(spark).unionByName(spark.createDataFrame([(i, "a/b", AT.format(t), ("ok", 200), None) for i, t in (("7", 1), ("8", 6), ("9", 7))], "observation_id string, repo string, observed_at string, outcome struct<type:string,http_status:int>, redirect_location string"))
+    led = spark.createDataFrame([("move", AT.format(1), ["1", "8"]), ("correlation", AT.format(0), ["5"]), ("recreation", AT.format(0), None)], "event string, recorded_at string, source_observations array<string>")
+    assert sorted(r.observation_id for r in entries.not_sourced(polls_, led).collect()) == ["5", "9"]
+    assert entries.not_sourced(polls_, led.limit(0)).count() == 0
+
+
+def test_digests_list_files_once_and_new_notes(spark):
+    days = spark.createDataFrame([("2026-10-01", 1, 2, 0, 0, 1), ("2026-10-02", 0, 0, 0, 0, 0)], "date string, repos_polled long, ok long, not_modified long, failed long, skipped long")
+    files = spark.createDataFrame([("2026-10-01", "b", "sha256:1"), ("2026-10-01", "B", "sha256:2"), ("2026-10-01", "a", "sha256:3")], "date string, path string, sha256 string")
+    notes = spark.createDataFrame([("2026-10-01", "y"), ("2026-10-01", "x"), ("2026-10-02", "x"), ("2026-10-02", "")], "date string, note string")
+    made = entries.digests(days, files, notes)
+    got = {r.recorded_at: r.observation_digest for r in made.collect()}
+    one, two = got["2026-10-02T00:00:00.000Z"], got["2026-10-03T00:00:00.000Z"]
+    assert [f.path for f in one.files] == ["B", "a", "b"] and one.note == "x; y" and two.files == [] and two.note is None
+    assert ledger.violations(ledger.link(made, ["recorded_at"])).isEmpty()
+    with pytest.raises(Exception, match="a path twice"):
+        entries.digests(days, files.unionByName(files), notes).collect()
 
 
 def test_events_of_one_observation_are_in_order(spark):

@@ -78,3 +78,15 @@ def deferred(rows: DataFrame, keys: list[str], order: list[str], resolved: Colum
     v = Window.partitionBy(*keys).orderBy("island")
     run = run.withColumns({"_ok_before": F.lag("_ok").over(v), "_target_before": F.lag(target).over(v), "first_seen": F.lag("first_observed").over(v), "held": F.lag("n").over(v)})
     return run.where(F.col("_ok") & ~F.col("_ok_before") & (F.col("_target_before") == F.col(target))).select(*keys, target, "first_seen", F.col("first_observed").alias("released_at"), "held")
+
+
+def freshness(requests: DataFrame, keys: list[str], order: list[str], at: str, status: Column, max_age: int) -> DataFrame:
+    """Requests with stored_at (of the last 200 answer before) and mode, how each is to be sent; instants in microseconds.
+
+    ``first`` without an answer of 200 before it, ``refresh`` if that is older than max_age, else ``conditional``. An
+    answer of 200 replaces what is stored, one of 304 or anything else never does.
+    """
+    before = by_reference(keys, order).rowsBetween(Window.unboundedPreceding, -1)
+    out = requests.withColumn("stored_at", F.max(F.when(status == 200, F.col(at))).over(before))
+    age = F.col(at) - F.col("stored_at")
+    return out.withColumn("mode", F.when(age.isNull(), "first").when(age > max_age, "refresh").otherwise("conditional"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import canonical, refs, times
-from tidemark.operators import bindings, classify, entries, ledger, listings, objects, population, score
+from tidemark.operators import bindings, classify, entries, ledger, listings, objects, population, score, verify
 from tidemark.plans.adapters import DAY, HOUR, OBS_SQL, inline, observations, table, values_sql
 from tidemark.sources import schemas, shared
 from tidemark.streaming import changes
@@ -731,3 +731,79 @@ def q58_verified_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = c("observation_digest")
     out = linked.join(bad, "seq", "left")
     return out.select("seq", "recorded_at", "event", "repo", "ref", "ref_form", "classification", "severity", c("observation_window_seconds").alias("window_seconds"), "gap_seconds", c("from.observation_count").alias("from_count"), c("from.stable_days").alias("from_days"), F.coalesce(c("to.observation_count"), digest["ok"]).alias("to_count"), c("to.stable_days").alias("to_days"), F.array_join("source_observations", ",").alias("sources"), digest["date"].alias("date"), F.array_join(digest["files"]["path"], ",").alias("files"), digest["note"].alias("note"), F.coalesce("problems", F.lit("")).alias("problems"))
+
+
+PLAN_SQL = f"""WITH {OBS_SQL}, s AS (SELECT user_id AS repo, ref, arg_max(commit_no, us) AS target, min(us) AS first_us, count(*) AS n, max(k) AS k FROM obs WHERE outcome = 'ok' GROUP BY 1, 2),
+st AS (SELECT *, k % 7 = 0 AS tombstoned, CASE WHEN k % 3 > 0 THEN k % 4 END AS prior_target, CASE WHEN k % 5 > 0 THEN n % 4 END AS bound_target, CASE WHEN k % 5 > 0 THEN n % 11 END AS bound_commit, CASE WHEN k % 5 > 0 THEN n % 11 + (k % 2) END AS bound_tree, CASE WHEN k % 4 = 0 THEN n % 4 END AS pending_to FROM s),
+w AS (SELECT *, CASE WHEN tombstoned THEN 'recreated' WHEN coalesce(prior_target, bound_target) <> target THEN 'moved' WHEN pending_to = target THEN 'pending' END AS why FROM st),
+p AS (SELECT *, CASE WHEN why <> 'recreated' THEN CASE WHEN bound_target IS NULL THEN prior_target WHEN bound_tree = bound_commit AND bound_commit NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 2 = 0) THEN bound_commit END END AS prior_sha FROM w WHERE why IS NOT NULL),
+b AS (SELECT repo, ref, target, why, prior_sha, sum(1 + (prior_sha IS NOT NULL)::INTEGER) OVER (ORDER BY CASE why WHEN 'recreated' THEN 0 WHEN 'moved' THEN 1 ELSE 2 END, repo, ref) AS spent FROM p)
+SELECT repo, ref, target, why, prior_sha::BIGINT AS prior_sha, spent::BIGINT AS spent FROM b WHERE spent <= (SELECT count(*) // 50 FROM events)"""
+
+
+@query(PLAN_SQL)
+def q59_peel_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which references to resolve first, by why and name, as far as the budget goes; an old object costs one more."""
+    o, c = observations(spark, sf_dir), F.col
+    s = o.where("outcome = 'ok'").groupBy(c("user_id").alias("repo"), "ref").agg(F.max_by("commit_no", "us").alias("target"), F.count("*").alias("n"), F.max("k").alias("k"))
+    bound = lambda x: F.when(c("k") % 5 > 0, x)
+    state = s.select("repo", "ref", (c("k") % 7 == 0).alias("tombstoned"), F.when(c("k") % 3 > 0, c("k") % 4).cast("long").alias("prior_target"), bound(c("n") % 4).alias("bound_target"), bound(c("n") % 11).alias("bound_commit"), bound(c("n") % 11 + c("k") % 2).alias("bound_tree"), F.when(c("k") % 4 == 0, c("n") % 4).alias("pending_to"))
+    index = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(c("n_nationkey").cast("long").alias("commit_sha"))
+    plan = population.priority_peels(s.select("repo", "ref", "target"), state, index)
+    plan = plan.withColumn("cost", F.lit(1).cast("long") + c("prior_sha").isNotNull().cast("int"))
+    rank = F.when(c("why") == "recreated", 0).when(c("why") == "moved", 1).otherwise(2)
+    return population.within_budget(plan, [rank, c("repo"), c("ref")], "cost", o.count() // 50).drop("cost")
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_suppkey * 7 % 100 + l_linenumber % 2 AS dst FROM lineitem),
+r AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 6),
+d AS (SELECT node, min(depth) AS depth FROM r GROUP BY 1),
+pr AS (SELECT d.node, d.depth, min(e.src) AS parent FROM d JOIN e ON e.dst = d.node JOIN d q ON q.node = e.src AND q.depth = d.depth - 1 GROUP BY 1, 2),
+w AS (SELECT node, depth, parent, node::VARCHAR AS path FROM pr WHERE node % 3 = 0 UNION ALL SELECT w.node, w.depth, pr.parent, w.parent::VARCHAR || '>' || w.path FROM w JOIN pr ON pr.node = w.parent)
+SELECT node, depth, '1>' || path AS path FROM w WHERE parent = 1""")
+def q60_unpinned_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By which chain each node that isn't pinned is reached from the first one."""
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_suppkey") * 7 % 100 + F.col("l_linenumber") % 2).alias("dst"))
+    found = population.closure_with_paths(inline(spark, [(1,)], "node long"), edges, 6)
+    return found.where("node % 3 = 0 and depth > 0").select("node", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
+@query(f"""WITH {OBS_SQL}, q AS (SELECT event_id, repo, ref, us, CASE outcome WHEN 'ok' THEN 200 WHEN 'not_modified' THEN 304 ELSE 500 END AS status FROM obs),
+s AS (SELECT *, max(CASE WHEN status = 200 THEN us END) OVER (PARTITION BY repo, ref ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stored_at FROM q)
+SELECT event_id, stored_at, CASE WHEN stored_at IS NULL THEN 'first' WHEN us - stored_at > {2 * DAY} THEN 'refresh' ELSE 'conditional' END AS mode FROM s""")
+def q61_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each poll is sent: what is stored may be two days old at most, and only a full answer renews it."""
+    status = F.when(F.col("outcome") == "ok", 200).when(F.col("outcome") == "not_modified", 304).otherwise(500)
+    return bindings.freshness(observations(spark, sf_dir), KEY, ORDER, "us", status, 2 * DAY).select("event_id", "stored_at", "mode")
+
+
+DAMAGES = ("none", "row", "head", "file", "note", "age")
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM nation), d AS (SELECT unnest(['none', 'row', 'head', 'file', 'note', 'age']) AS damage)
+SELECT damage, n + 1 AS entries, 0::BIGINT AS first_seq, n AS last_seq, CASE damage WHEN 'row' THEN 'rows' WHEN 'head' THEN 'heads' WHEN 'file' THEN 'files' WHEN 'none' THEN NULL ELSE 'strict' END AS stage,
+  CASE damage WHEN 'row' THEN 3 WHEN 'head' THEN n WHEN 'file' THEN n WHEN 'note' THEN n WHEN 'age' THEN 0 END AS bad_seq,
+  CASE damage WHEN 'row' THEN 'hash mismatch' WHEN 'head' THEN 'head of another hash' WHEN 'file' THEN 'changed file a/b.jsonl' WHEN 'note' THEN 'note of a backlog' WHEN 'age' THEN 'no head for too long' END AS failure FROM n, d""")
+def q62_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One verdict for each kind of damage to a ledger: which stage finds it first, where and what."""
+    c = F.col
+    kinds = spark.createDataFrame([], schemas.ENTRY).schema
+    own = {"event": F.lit("correction"), "format_version": F.lit(1), "corrects_seq": F.lit(0).cast("long"), "reason": c("n_name"), "recorded_at": F.concat(F.lit("2026-01-01T00:00:"), F.lpad(c("n_nationkey").cast("string"), 2, "0"), F.lit(".000Z"))}
+    rows = table(spark, sf_dir, "nation").select(*[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds if f.name not in entries.LINKS])
+
+    def made(note: str) -> DataFrame:
+        days = inline(spark, [("2026-01-03", 1, 1, 0, 0, 0)], "date string, repos_polled long, ok long, not_modified long, failed long, skipped long")
+        digest = entries.digests(days, inline(spark, [("2026-01-03", "a/b.jsonl", "sha256:" + "a" * 64)], "date string, path string, sha256 string"), inline(spark, [("2026-01-03", note)], "date string, note string"))
+        return shared.stage(ledger.link(rows.unionByName(digest), ["recorded_at"]), "verdict")
+
+    plain, noted = made("all is well"), made("a " + verify.BACKLOG)
+    tip = plain.orderBy(c("seq").desc()).limit(1)
+    head = lambda of, hash_=None: of.select(F.struct((hash_ if hash_ is not None else c("entry_hash")).alias("entry_hash"), "recorded_at", "seq").alias("head"), F.lit("s").alias("signature"))
+    files = lambda x: inline(spark, [("a/b.jsonl", "sha256:" + x * 64)], "path string, sha256 string")
+    bad_row = plain.withColumn("reason", F.when(c("seq") == 3, "changed").otherwise(c("reason")))
+    cases = {"none": (plain, head(tip), files("a")), "row": (bad_row, head(tip, F.lit("x")), files("b")), "head": (plain, head(tip, F.lit("x")), files("b")), "file": (plain, head(tip), files("b")), "note": (noted, head(noted.orderBy(c("seq").desc()).limit(1)), files("a")), "age": (plain, head(tip).limit(0), files("a"))}
+    out = None
+    for damage in DAMAGES:
+        one = verify.verdict(*cases[damage]).select(F.lit(damage).alias("damage"), "entries", "first_seq", "last_seq", "stage", "bad_seq", "failure")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -147,6 +147,11 @@ def not_appended(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def changed_files(digests: DataFrame, files: DataFrame) -> DataFrame:
-    """Files named by digests (seq, files of path and sha256) whose bytes hash to something else."""
+    """Files named by digests (seq, files of path and sha256) whose bytes (content) hash to something else."""
+    return files_of_other_bytes(digests, files.select("path", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("sha256")))
+
+
+def files_of_other_bytes(digests: DataFrame, files: DataFrame) -> DataFrame:
+    """Files named by digests (seq, files of path and sha256) that have another sha256 among files (path, sha256)."""
     named = digests.select("seq", F.explode("files").alias("f")).select("seq", "f.path", "f.sha256")
-    return named.join(files.select("path", F.sha2("content", 256).alias("_own")), "path").where(F.col("sha256") != F.concat(F.lit("sha256:"), F.col("_own"))).select("seq", "path")
+    return named.join(files.select("path", F.col("sha256").alias("_own")), "path").where("sha256 <> _own").select("seq", "path")
