@@ -83,12 +83,12 @@ def peeled(tips: DataFrame, tags: DataFrame, depth: int = 8) -> DataFrame:
     Reasons: ``missing object`` (a tag that isn't in the table), ``unsupported kind``, ``too deep`` (an end after more
     than ``depth`` tags, whatever it is) and ``cycle``. A tip that is no tag is its own end. Rows with a null sha or kind are unsupported.
     """
-    now = stage(tags.select("sha", F.col("next_sha").alias("end"), F.col("next_kind").alias("kind"), F.lit(1).cast("long").alias("hops")), "pointers")
+    now = stage(tags.select("sha", F.col("next_sha").alias("end"), F.coalesce("next_kind", F.lit("")).alias("kind"), F.lit(1).cast("long").alias("hops")), "pointers")
     size = now.count()
     done: list[DataFrame] = []
     reach = 1
     while True:
-        done.append(now.where("kind is null or kind <> 'tag'"))
+        done.append(now.where("kind <> 'tag'"))
         open_ = now.where("kind = 'tag'")
         if open_.isEmpty() or reach > size:
             done.append(open_.withColumn("kind", F.lit("cycle")))
@@ -96,8 +96,8 @@ def peeled(tips: DataFrame, tags: DataFrame, depth: int = 8) -> DataFrame:
         # resolved pointers stay where they were written: a pointer finds its end in one of the rounds
         ends = reduce(DataFrame.unionByName, [*done, open_]).select(F.col("sha").alias("end"), F.col("end").alias("_end"), F.col("kind").alias("_kind"), F.col("hops").alias("_hops"))
         on = open_.join(ends, "end", "left")
-        gone = F.col("_end").isNull() & F.col("_kind").isNull()
-        now = stage(on.select("sha", F.when(gone, F.col("end")).otherwise(F.col("_end")).alias("end"), F.when(gone, F.lit("missing")).otherwise(F.coalesce("_kind", F.lit("null"))).alias("kind"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops")), "pointers")
+        gone = F.col("_kind").isNull()
+        now = stage(on.select("sha", F.when(gone, F.col("end")).otherwise(F.col("_end")).alias("end"), F.when(gone, F.lit("missing")).otherwise(F.col("_kind")).alias("kind"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops")), "pointers")
         reach *= 2
     ends = reduce(DataFrame.unionByName, done).select("sha", F.col("end").alias("_end"), F.col("kind").alias("_kind"), F.col("hops").alias("_hops"))
     out = tips.join(ends, "sha", "left")
