@@ -71,6 +71,11 @@ class Pair:
         #: whether no piece holds the space sign after another character, or a line's end, so that texts fall into stretches
         self.separable = not any(MARK in x.lstrip(MARK) or "\n" in x for x in names)
 
+        every = (chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000 and chr(k) != MARK)
+        tried = [" a", "a ", "a  b", *iter(lambda: "".join(itertools.islice(every, 4096)), "")]
+        #: whether B gives back all characters and runs of spaces, so that only texts with its space sign have other bytes
+        self.faithful = all(self.same("\0" + x, b) for x, b in zip(tried, self.b.encode(tried, num_threads=1), strict=True))
+
     def encode_b(self, stretches: list[str]) -> list[list[int]]:
         """Ids of B; the space that it adds before a line's end is left out again."""
         found = self.b.encode([x[1:] if x[0] == "\0" else x for x in stretches], num_threads=1)
@@ -80,10 +85,16 @@ class Pair:
         """Ids of A and B for each stretch."""
         return [self.a.encode_ordinary(spaced(x)) for x in stretches], self.encode_b(stretches)
 
-    def whole(self, stretch: str, b: list[int]) -> bool:
+    def same(self, stretch: str, b: list[int]) -> bool:
         """Whether B's tokens are the stretch's bytes; A's always are."""
         return b"".join(map(self.b_bytes.__getitem__, b)) == spaced(stretch).encode()
 
+    def whole(self, stretches: list[str]) -> np.ndarray:
+        """For each stretch whether B's tokens are its bytes."""
+        if self.faithful:
+            return np.array([MARK not in x for x in stretches], bool)
+        return np.array([self.same(x, b) for x, b in zip(stretches, self.encode_b(stretches), strict=True)], bool)
+
     def cut(self, text: str) -> list[str]:
         """The stretches of a space and a text, named as ``spaced`` says."""
         if not self.separable:
@@ -140,7 +151,7 @@ def blocks(docs: DataFrame, ranks: str | None = None, pieces: str | None = None,
         numbers.default_factory = numbers.__len__
         cut = [[np.array([numbers[x] for x in both.cut(t)], np.int32) if t else None for t in texts] for _, texts in held]
         names = list(numbers)
-        good = np.array([both.whole(x, b) for x, b in zip(names, both.encode_b(names), strict=True)], bool)
+        good = both.whole(names)
         count = np.zeros(len(names), np.int64)
         for (ids, _), rows in zip(held, cut, strict=True):
             valid = [r if r is not None and good[r].all() else None for r in rows]
@@ -180,6 +191,9 @@ def tokenized(stretches: DataFrame, ranks: str | None = None, pieces: str | None
             for side in (0, 1):
                 ids[place[side]], sizes[place[side]] = flat[side], both.sizes[side][flat[side]]
             off = np.append(0, np.cumsum(n[0] + n[1])).astype(np.int32)
+            total = [np.add.reduceat(np.append(both.sizes[side][flat[side]].astype(np.int64), 0), before_) for side, before_ in enumerate(before)] if len(n[0]) else [np.zeros(0), np.zeros(0)]
+            if (total[0] != total[1]).any():
+                raise ValueError("tokens of other bytes than the text's")
             lists = (pa.ListArray.from_arrays(pa.array(off), pa.array(x)) for x in (ids, sizes))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n[0].astype(np.int32)), *lists], ["stretch", "n", "n_a", "ids", "sizes"])
 
@@ -241,15 +255,17 @@ def links_by_cells(groups: DataFrame, cell: int = CELL) -> DataFrame:
 
 
 @contextlib.contextmanager
-def dealt_by_some(spark: SparkSession) -> Iterator[None]:
-    """While it lasts, rows that are dealt out by some of a join's keys aren't dealt out anew by all of them."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings that hold while it lasts; names without ``spark.sql.`` and with __ for their points."""
+    names = {f"spark.sql.{k.replace('__', '.')}": v for k, v in values.items()}
+    before = {k: spark.conf.get(k) for k in names}
     try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def aligned(texts: DataFrame, most: int = PAIRS) -> DataFrame:
@@ -270,7 +286,8 @@ def aligned(texts: DataFrame, most: int = PAIRS) -> DataFrame:
     rest = F.collect_list(F.when(F.col("a").isNotNull(), F.struct("grp", "a", "b"))).cast(none)
     sums = [F.max("stretch").alias("stretch"), F.max("n").alias("n"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups")]
     whole = groups.groupBy("uid").agg(*sums, F.array_join(F.transform(each, lambda x: x["g"]), ";").alias("groups"), F.flatten(F.collect_list("links")).alias("links"), rest.alias("rest"))
-    with dealt_by_some(texts.sparkSession):
+    # rows that are dealt out by some of a join's keys aren't dealt out anew by all of them
+    with settings(texts.sparkSession, requireAllClusterKeysForCoPartition="false"):
         return stage(whole.drop("uid"), "groups")
 
 
@@ -301,11 +318,13 @@ def link_sums(links: DataFrame, counted: DataFrame, hot: int = HOT) -> DataFrame
 
 
 def op12(docs: DataFrame, ranks: str | None = None, pieces: str | None = None, block: int = BLOCK, most: int = PAIRS, hot: int = HOT) -> DataFrame:
-    cut = stage(blocks(docs, ranks, pieces, block), "blocks")
-    every = cut.where("stretch is not null and n > 0")
-    texts = stage(tokenized(every.groupBy("stretch").agg(F.sum("n").alias("n")), ranks, pieces).withColumn("uid", F.monotonically_increasing_id()), "stretches")
-    found = aligned(texts, most)
-    sums = link_sums(links_of(found).drop("n"), pair_counts(links_of(found)), hot)
+    # each step is written, so the files of its shuffles may go when it ends
+    with settings(docs.sparkSession, classic__shuffleDependency__fileCleanup__enabled="true"):
+        cut = stage(blocks(docs, ranks, pieces, block), "blocks")
+        every = cut.where("stretch is not null and n > 0")
+        texts = stage(tokenized(every.groupBy("stretch").agg(F.sum("n").alias("n")), ranks, pieces).withColumn("uid", F.monotonically_increasing_id()), "stretches")
+        found = aligned(texts, most)
+        sums = link_sums(links_of(found).drop("n"), pair_counts(links_of(found)), hot)
     found = found.select("stretch", "n_a", "n_b", "n_groups", "groups").join(sums, "stretch").select("stretch", *COUNTS, "groups")
     back = every.select(F.col("block").alias("_block"), "k", "stretch").join(found, "stretch").select("_block", "k", *COUNTS, "groups")
     return by_document(cut.where("stretch is null").select("block", "doc_id", "ks"), back)
