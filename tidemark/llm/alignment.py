@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import base64
 import contextlib
+import gc
 import hashlib
 import itertools
 import re
@@ -254,6 +255,16 @@ def links_by_cells(groups: DataFrame, cell: int = CELL) -> DataFrame:
     return met.where((first < F.least("a.end", "b.end")) & (F.floor(first / cell) == F.col("_cell"))).select("stretch", "n", F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have Spark remove the files of shuffles that written steps no longer need.
+
+    It does so when the driver's JVM finds them to be garbage, which Spark itself only asks for every half hour
+    (spark.cleaner.periodicGC.interval): until then the files of all steps would lie on the disks together.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextlib.contextmanager
 def settings(spark: SparkSession, **values: str) -> Iterator[None]:
     """Settings that hold while it lasts; names without ``spark.sql.`` and with __ for their points."""
@@ -318,13 +329,15 @@ def link_sums(links: DataFrame, counted: DataFrame, hot: int = HOT) -> DataFrame
 
 
 def op12(docs: DataFrame, ranks: str | None = None, pieces: str | None = None, block: int = BLOCK, most: int = PAIRS, hot: int = HOT) -> DataFrame:
-    # each step is written, so the files of its shuffles may go when it ends
-    with settings(docs.sparkSession, classic__shuffleDependency__fileCleanup__enabled="true"):
-        cut = stage(blocks(docs, ranks, pieces, block), "blocks")
-        every = cut.where("stretch is not null and n > 0")
-        texts = stage(tokenized(every.groupBy("stretch").agg(F.sum("n").alias("n")), ranks, pieces).withColumn("uid", F.monotonically_increasing_id()), "stretches")
-        found = aligned(texts, most)
-        sums = link_sums(links_of(found).drop("n"), pair_counts(links_of(found)), hot)
+    cut = stage(blocks(docs, ranks, pieces, block), "blocks")
+    every = cut.where("stretch is not null and n > 0")
+    texts = stage(tokenized(every.groupBy("stretch").agg(F.sum("n").alias("n")), ranks, pieces).withColumn("uid", F.monotonically_increasing_id()), "stretches")
+    let_go(docs.sparkSession)
+    found = aligned(texts, most)
+    let_go(docs.sparkSession)
+    counted = pair_counts(links_of(found))
+    let_go(docs.sparkSession)
+    sums = link_sums(links_of(found).drop("n"), counted, hot)
     found = found.select("stretch", "n_a", "n_b", "n_groups", "groups").join(sums, "stretch").select("stretch", *COUNTS, "groups")
     back = every.select(F.col("block").alias("_block"), "k", "stretch").join(found, "stretch").select("_block", "k", *COUNTS, "groups")
     return by_document(cut.where("stretch is null").select("block", "doc_id", "ks"), back)
