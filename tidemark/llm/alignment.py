@@ -30,6 +30,7 @@ import gc
 import hashlib
 import itertools
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -39,16 +40,23 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import stage
+from tidemark.llm.storage import shared_dir
 from tidemark.llm.words import give_back, map_batches
 
-BLOCK, CELL, PAIRS, HOT, MARK = 16 << 20, 32, 1024, 1 << 17, "▁"
+BLOCK, CELL, PAIRS, HOT, MARK = 32 << 20, 32, 1024, 1 << 18, "▁"
 COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 _single = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
 _other = re.compile(r"\A\s|\s\s|\s\Z|\0")
 _pairs: dict = {}
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """``storage.stage`` with the denser codec, as the steps here are about as large as the texts."""
+    path = f"{shared_dir(df.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Pair:
     """Both tokenizers, with the bytes of each of their tokens."""
 
