@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,6 +46,8 @@ from tidemark.llm.words import give_back, map_batches
 
 BLOCK, CELL, PAIRS, HOT, MARK = 32 << 20, 32, 1024, 1 << 18, "▁"
 COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+#: What goes back to the blocks beside a stretch's groups, which say the other counts.
+SENT = ("n_a", "n_best", "count_sum")
 _single = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
 _other = re.compile(r"\A\s|\s\s|\s\Z|\0")
 _pairs: dict = {}
@@ -324,7 +327,7 @@ def pair_counts(links: DataFrame) -> DataFrame:
 
 
 def link_sums(links: DataFrame, counted: DataFrame, hot: int = HOT) -> DataFrame:
-    """stretch, n_links, n_best, count_sum of links of stretch, a, b.
+    """stretch, n_best, count_sum of links of stretch, a, b.
 
     Pairs with at least one in ``hot`` of all occurrences are at most so many and are broadcast; the others are joined by a shuffle.
     """
@@ -333,7 +336,7 @@ def link_sums(links: DataFrame, counted: DataFrame, hot: int = HOT) -> DataFrame
     frequent = counted.where(often)
     known = links.join(F.broadcast(frequent), ["a", "b"])
     rest = links.join(F.broadcast(frequent.select("a", "b")), ["a", "b"], "left_anti").join(counted.where(~often), ["a", "b"])
-    return known.unionByName(rest).groupBy("stretch").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    return known.unionByName(rest).groupBy("stretch").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
 
 
 def op12(docs: DataFrame, ranks: str | None = None, pieces: str | None = None, block: int = BLOCK, most: int = PAIRS, hot: int = HOT) -> DataFrame:
@@ -346,8 +349,8 @@ def op12(docs: DataFrame, ranks: str | None = None, pieces: str | None = None, b
     counted = pair_counts(links_of(found))
     let_go(docs.sparkSession)
     sums = link_sums(links_of(found).drop("n"), counted, hot)
-    found = found.select("stretch", "n_a", "n_b", "n_groups", "groups").join(sums, "stretch").select("stretch", *COUNTS, "groups")
-    back = every.select(F.col("block").alias("_block"), "k", "stretch").join(found, "stretch").select("_block", "k", *COUNTS, "groups")
+    found = found.select("stretch", "n_a", "groups").join(sums, "stretch")
+    back = every.select(F.col("block").alias("_block"), "k", "stretch").join(found, "stretch").select("_block", "k", *SENT, "groups")
     return by_document(cut.where("stretch is null").select("block", "doc_id", "ks"), back)
 
 
@@ -359,7 +362,10 @@ def by_document(docs: DataFrame, stretches: DataFrame) -> DataFrame:
         k = right["k"].to_numpy().astype(np.int64)
         place = np.full(int(k.max(initial=-1)) + 1, -1, np.int64)
         place[k] = np.arange(len(k))
-        values = np.stack([right[c].to_numpy() for c in COUNTS], 1).astype(np.int64)
+        n_a, n_best, count_sum = (right[c].to_numpy().astype(np.int64) for c in SENT)
+        # a group of p and q tokens has p + q - 2 commas and p + q - 1 links
+        n_groups, commas = (pc.count_substring(right["groups"], x).to_numpy().astype(np.int64) for x in "|,")
+        values = np.stack([n_a, commas + 2 * n_groups - n_a, n_groups, commas + n_groups, n_best, count_sum], 1)
         groups = right["groups"].to_pylist()
         made, digests = np.zeros((len(left), len(COUNTS)), np.int64), [""] * len(left)
         for i, ks in enumerate(left["ks"]):
