@@ -30,7 +30,6 @@ import gc
 import hashlib
 import itertools
 import re
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -41,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import shared_dir
+from tidemark.llm.storage import folder
 from tidemark.llm.words import give_back, map_batches
 
 BLOCK, CELL, PAIRS, HOT, MARK = 32 << 20, 32, 1024, 1 << 18, "▁"
@@ -55,7 +54,7 @@ _pairs: dict = {}
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """``storage.stage`` with the denser codec, as the steps here are about as large as the texts."""
-    path = f"{shared_dir(df.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

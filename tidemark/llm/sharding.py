@@ -8,20 +8,20 @@ size of the table; this bounds what the driver holds and what is broadcast.
 Law: ``bytes``. Slots are placed by their summed bytes, largest first on the lightest shard.
 
 Defined cases: a null text has size 16 (its overhead) and checksum 0, as the empty text; rows with a
-null id are dealt over the slots by their place in the input; identical rows share a slot and get different places in it; an
+null id are dealt over the slots by their place in the input, and so are rows of an id that repeats so often that its
+bytes are over an eighth of a mean slot's; other rows of one id share a slot and get different places in it; an
 empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
-import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.storage import shared_dir, stage
+from tidemark.llm.storage import folder, stage
 
 N_SLOTS = 4096
 OVERHEAD = 16
@@ -116,10 +116,22 @@ def text_size(text: Column) -> Column:
 
 
 def in_slots(docs: DataFrame, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, size, text_crc32 and virtual_slot of every record."""
+    """id, size, text_crc32 and virtual_slot of every record; an id that would crowd its slot is dealt over all."""
     crc = F.crc32(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))
-    key = F.when(F.col(id_col).isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64(F.col(id_col).cast("string")))
-    return docs.select(F.col(id_col), text_size(F.col(text_col)).alias("size"), crc.alias("text_crc32"), F.pmod(key, F.lit(n_slots)).cast("int").alias("virtual_slot"))
+    rows = docs.select(F.col(id_col), text_size(F.col(text_col)).alias("size"), crc.alias("text_crc32"), F.monotonically_increasing_id().alias("_row"))
+    rows = stage(rows, "records")
+    crowd = stage(crowding(rows, n_slots, id_col), "crowding")
+    rows = rows.join(F.broadcast(crowd), F.col(id_col) == F.col("_crowd"), "left")
+    apart = F.col(id_col).isNull() | F.col("_crowd").isNotNull()
+    key = F.when(apart, F.xxhash64("_row")).otherwise(F.xxhash64(F.col(id_col).cast("string")))
+    return rows.withColumn("virtual_slot", F.pmod(key, F.lit(n_slots)).cast("int")).select(id_col, "size", "text_crc32", "virtual_slot")
+
+
+def crowding(rows: DataFrame, n_slots: int, id_col: str = "doc_id", share: int = 8) -> DataFrame:
+    """The repeated ids (_crowd) with more than 1 / (share * n_slots) of all bytes: fewer than share * n_slots."""
+    total = rows.agg(F.sum("size").alias("_total"))
+    each = rows.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_crowd")).agg(F.sum("size").alias("_b"), F.count("*").alias("_n")).where("_n > 1")
+    return each.crossJoin(F.broadcast(total)).where(F.col("_b") * (share * n_slots) > F.col("_total")).select("_crowd")  # total is one row
 
 
 def slot_loads(records: DataFrame) -> dict[int, tuple[int, int]]:
@@ -146,8 +158,8 @@ def place(records: DataFrame, slot_map: DataFrame, id_col: str = "doc_id") -> Da
 def shard_documents(docs: DataFrame, n_shards: int = 40, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
     """Place all documents; the map's first version is stored at map_path (in the shared folder if None)."""
     spark = docs.sparkSession
-    records = stage(in_slots(docs, n_slots), "slots")
-    path = map_path or f"{shared_dir(spark)}/tidemark/slot-map-{uuid.uuid4().hex}"
+    records = in_slots(docs, n_slots)
+    path = map_path or folder(spark, "slot-map")
     save_map(spark, first_map(slot_loads(records), n_shards, n_slots), path)
     return place(records, load_map(spark, path))
 

@@ -2,36 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import folder, stage
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``.
-
-    Where the session names none (tests on one machine), a fresh temporary folder is set.
-    """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a new Parquet table in the shared folder and read it back.
-
-    This cuts the lineage: if an executor is lost later, the table is read again instead of
-    recomputing what led to it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["folder", "likely_in", "stage", "table", "with_likely", "with_row"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
