@@ -124,13 +124,14 @@ def dedup(docs: DataFrame, id_bits: int = 64) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that stay, all columns; of rows that repeat one id and text, one.
 
-    Only documents that may have to go are shuffled.
+    Only documents that may have to go are shuffled, repeated rows as one from each task. Of the rows of
+    an id and text at most one stays.
     """
     rows = decided(docs).groupBy("_key").agg(F.count("*").alias("_n"), F.count_if("kept").alias("_stay")).where("_stay < _n").select("_key", "_stay")
     rows = stage(rows, "dropped")
     marked = with_likely(with_row(docs, _key=row_key()), "_key", rows)
-    some = marked.where("_likely").join(rows, "_key", "left").withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
-    return marked.where("not _likely").select("row.*").unionByName(some.where("_stay is null or _n <= _stay").select("row.*"))
+    some = marked.where("_likely").select("row", "_key").dropDuplicates(["_key"]).join(rows, "_key", "left")
+    return marked.where("not _likely").select("row.*").unionByName(some.where("_stay is null or _stay > 0").select("row.*"))
 
 
 ORACLE_SQL = """
