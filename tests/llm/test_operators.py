@@ -96,6 +96,17 @@ def test_shards_stay_equal_where_half_the_ids_are_null(spark):
     assert len(loads) == 40 and max(loads) <= 1.01 * sum(loads) / 40 and min(loads) >= 0.99 * sum(loads) / 40
 
 
+def test_shards_stay_equal_where_half_the_rows_repeat_an_id(spark):
+    n = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.lit("the same text").alias("text"))
+    got = sharding.op1(n).cache()
+    loads = [r[1] for r in got.groupBy("shard").agg(F.sum("size")).collect()]
+    assert len(loads) == 40 and max(loads) <= 1.01 * sum(loads) / 40 and min(loads) >= 0.99 * sum(loads) / 40
+    whole = got.groupBy("shard").agg(F.max("slot").alias("last"), F.count_distinct("slot").alias("different"), F.count("*").alias("n"))
+    assert whole.where("last <> n - 1 or different <> n").isEmpty()
+    assert got.where("doc_id = 7").select("virtual_slot").distinct().count() > 3000
+    assert sharding.in_slots(n.where("doc_id <> 7")).select("virtual_slot", "doc_id").exceptAll(got.where("doc_id <> 7").select("virtual_slot", "doc_id")).isEmpty()
+
+
 def test_rebalancing_and_growing_move_few_slots(spark, tmp_path):
     rng = random.Random(3)
     loads = {v: (rng.randint(1, 1000), 1) for v in range(512)}
@@ -553,6 +564,14 @@ def test_packing(spark, docs, rows):
     assert len(bins) <= -(-sum(len(x) for x in ids.values()) // 2048) + 1
 
 
+def test_equal_pieces_are_numbered_in_many_parts(spark):
+    made = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(3).cast("long").alias("length"), F.lit(5).cast("long").alias("ids_crc32"))
+    rows = packing.numbered(made.withColumn("_row", F.monotonically_increasing_id()), {3: 20_000})
+    assert sorted(r[0] for r in rows.select("_rank").collect()) == list(range(20_000))
+    got = packing.pack(made)
+    assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").isEmpty() and got.select("sequence_id", "offset").distinct().count() == 20_000
+
+
 def test_ids_equal_those_of_the_tokenizers_file():
     import public_tokenizers
     from tokenizers import Tokenizer

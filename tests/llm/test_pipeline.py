@@ -86,3 +86,10 @@ def test_stages_with_clashing_names_odd_rows_and_long_texts(spark):
         ids = {r.doc_id for r in now.select("doc_id").collect()}
         assert ids <= {None, 2, 4, 5, 6} and (not empty or not ids)
         assert corpus_pipeline.pack(spark, now, SMALL).count() >= len(ids)
+
+
+def test_one_of_many_equal_rows_stays(spark):
+    rows = spark.range(3000).select(F.lit(9).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.lit("en").alias("lang"), F.lit("the same row").alias("text"))
+    rows = rows.unionByName(rows.limit(2).withColumn("doc_id", F.lit(8).cast("long"))).unionByName(rows.limit(1).withColumns({"doc_id": F.lit(1).cast("long"), "text": F.lit("another")}))
+    kept = corpus_pipeline.drop_copies(spark, rows, SMALL)
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [1, 9]

@@ -8,7 +8,8 @@ Documents of one length are interchangeable, so the plan is made over the counts
 2048 of them whatever the table's size: a filled bin is repeated as often as its lengths last, which
 is what packing bin after bin would do. Spark numbers the pieces of each length, and each piece finds
 its bin and place in the plan by its number. A length is numbered in as many parts as its share of all
-pieces asks for, SALTS for the whole table, as one length may hold a third of all rows.
+pieces asks for, SALTS for the whole table, as one length may hold a third of all rows; a piece's part is
+hashed from its row number in the staged pieces, so that equal rows are dealt over the parts too.
 
 Token ids are those that tokenizers gives with ``byte_bpe_50k.json`` and add_special_tokens=False: no
 token is added, and the string of the file's special token in a text is that token. They are computed
@@ -161,21 +162,21 @@ def lookup(bins: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
 
 
 def numbered(made: DataFrame, counts: dict[int, int], salts: int = SALTS) -> DataFrame:
-    """The pieces with _rank, gapless from 0 among those of a length; counts has how many each length has."""
+    """The pieces (with _row, their number) with _rank, gapless from 0 among those of a length; counts has how many each length has."""
     total = max(sum(counts.values()), 1)
     dealt = made.sparkSession.createDataFrame([(x, 1 + salts * n // total) for x, n in counts.items()], "length long, _salts long")
     made = made.join(F.broadcast(dealt), "length")  # at most 2048 rows
-    made = made.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_salts")).cast("int")).drop("_salts")
+    made = made.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.col("_salts")).cast("int")).drop("_salts")
     parts = made.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     base = F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")
     parts = F.broadcast(parts.select("length", "_salt", base.alias("_base")))  # at most 2048 + SALTS rows
-    own = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    return made.withColumn("_own", own).join(parts, ["length", "_salt"]).withColumn("_rank", F.col("_base") + F.col("_own")).drop("_own", "_base", "_salt")
+    own = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_row")) - 1
+    return made.withColumn("_own", own).join(parts, ["length", "_salt"]).withColumn("_rank", F.col("_base") + F.col("_own")).drop("_own", "_base", "_salt", "_row")
 
 
 def pack(made: DataFrame, most: int = MOST) -> DataFrame:
     """The pieces with sequence_id and offset."""
-    made = stage(made, "pieces")
+    made = stage(made.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     counts = {r[0]: r[1] for r in made.groupBy("length").count().collect()}
     table = made.sparkSession.sparkContext.broadcast(lookup(plan(counts, most)))
     rows = numbered(made, counts)
