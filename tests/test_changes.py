@@ -1,5 +1,6 @@
 """Changes against a plain fold, batches, scoring and population rules, files."""
 
+import hashlib
 import random
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import refs, times
 from tidemark.operators import bindings, classify, ledger, listings, population, score
-from tidemark.sources import files
+from tidemark.sources import files, published
 
 MINUTE = 60_000_000
 
@@ -107,10 +108,36 @@ def test_skip_reasons(spark):
     assert kinds == ["scheduler_lag", "secondary_limit_backoff", "scheduler_lag", "poller_down", None, None, None, None]
 
 
-def test_published_files_only_grow(spark):
-    old = spark.createDataFrame([("a", bytearray(b"12")), ("b", bytearray(b"12")), ("c", bytearray(b"1"))], "path string, content binary")
-    new = spark.createDataFrame([("a", bytearray(b"123")), ("b", bytearray(b"13"))], "path string, content binary")
-    assert {r.path for r in files.not_appended(old, new).collect()} == {"b", "c"}
+@pytest.mark.parametrize("split", [64, 1 << 20])
+def test_published_files_only_grow(spark, tmp_path, split):
+    """Bytes decide, whatever lies at the borders of splits; lines may have no end, and files of no bytes count as absent."""
+    many = b"".join(b"line %d of \xc3\xa9\xff\r\n\n" % k for k in range(60))
+    old = {"a/same": many, "a/longer": many, "a/changed": many, "a/shorter": many, "a/gone": many, "b/open": b"x\ny", "b/open-longer": b"x\ny", "b/empty": b"", "b/filled": b"", "b/lost": b"", "b/ends": b"\n\n"}
+    new = {"a/same": many, "a/longer": many + b"more\n", "a/changed": many.replace(b"line 31 ", b"line 32 "), "a/shorter": many[:-1], "b/open": b"x\ny\nz\n", "b/open-longer": b"x\nyz\n", "b/empty": b"", "b/filled": b"z", "b/ends": b"\n\n\n", "c/new": b"1\n"}
+    for folder, have in (("old", old), ("new", new)):
+        for name, raw in have.items():
+            path = tmp_path / folder / f"{name}.jsonl"
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_bytes(raw)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        found = {r.path for r in published.not_appended(spark, str(tmp_path / "old"), str(tmp_path / "new")).collect()}
+        got = {r.path: (r.bytes, r.sha256) for r in published.digests(spark, str(tmp_path / "old")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == {f"a/{x}.jsonl" for x in ("changed", "shorter", "gone")} | {"b/open-longer.jsonl"}
+    assert got == {f"{k}.jsonl": (len(v), "sha256:" + hashlib.sha256(v).hexdigest()) for k, v in old.items() if v}
+
+
+def test_files_of_other_bytes_than_digests_name(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_bytes(b"1\n")
+    (tmp_path / "b.jsonl").write_bytes(b"2\n")
+    right = "sha256:" + hashlib.sha256(b"1\n").hexdigest()
+    named = spark.createDataFrame([(5, [("a.jsonl", right), ("b.jsonl", right), ("c.jsonl", right)])], "seq long, files array<struct<path:string,sha256:string>>")
+    assert [tuple(r) for r in files.files_of_other_bytes(named, published.digests(spark, str(tmp_path))).collect()] == [(5, "b.jsonl")]
 
 
 def test_observations_by_day_and_repository(spark, tmp_path):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import canonical, refs, times
 from tidemark.operators import bindings, classify, entries, ledger, listings, objects, population, score, verify
 from tidemark.plans.adapters import DAY, HOUR, OBS_SQL, inline, observations, table, values_sql
-from tidemark.sources import schemas, shared
+from tidemark.sources import published, schemas, shared
 from tidemark.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -807,3 +807,27 @@ def q62_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = verify.verdict(*cases[damage]).select(F.lit(damage).alias("damage"), "entries", "first_seq", "last_seq", "stage", "bad_seq", "failure")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+LINE_SQL = "concat_ws(',', o_orderkey, o_custkey, o_orderstatus)"
+
+
+@query(f"""WITH o AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderkey, {LINE_SQL} || chr(10) AS line FROM orders),
+f AS (SELECT month, string_agg(line, '' ORDER BY o_orderkey) AS text FROM o GROUP BY 1)
+SELECT month AS path, strlen(text)::BIGINT AS bytes, 'sha256:' || sha256(text) AS sha256, month[-2:]::INTEGER % 4 <> 0 AS appended FROM f""")
+def q63_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published files of a month's orders each: size and hash, and whether the next version only appends to it."""
+    month = F.date_format("o_orderdate", "yyyy-MM")
+    rows = table(spark, sf_dir, "orders").select(month.alias("month"), F.col("o_orderkey").alias("k"), F.concat_ws(",", *[F.col(x).cast("string") for x in ("o_orderkey", "o_custkey", "o_orderstatus")]).alias("value"))
+    nth = F.substring("month", 6, 2).cast("int") % 12
+    # the next version: new lines at the end; of some months the last line changed, or lines gone, or no file
+    last = F.col("k") == F.max("k").over(Window.partitionBy("month"))
+    next_ = rows.withColumn("_last", last).where((nth != 0) & ~((nth == 8) & F.col("_last"))).withColumn("value", F.when((nth == 4) & F.col("_last"), F.lit("changed")).otherwise(F.col("value"))).drop("_last")
+    more = rows.select("month").distinct().where((nth != 0) & (nth != 8)).select("month", F.lit(1 << 60).alias("k"), F.lit("one more").alias("value"))
+    old, new = shared.folder(spark, "published"), shared.folder(spark, "published-next")
+    for path, made in ((old, rows), (new, next_.unionByName(more))):
+        made.repartition("month").sortWithinPartitions("month", "k").select("month", "value").write.partitionBy("month").text(path)
+    # a month is one file, which the month names in both versions
+    named = lambda path: F.regexp_extract(path, "month=([^/]+)", 1)
+    bad = published.not_appended(spark, old, new, named).withColumn("_bad", F.lit(True))
+    return published.digests(spark, old, named).join(bad, "path", "left").select("path", "bytes", "sha256", F.col("_bad").isNull().alias("appended"))

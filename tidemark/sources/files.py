@@ -139,18 +139,6 @@ def write_observations(rows: DataFrame, path: str) -> None:
     keyed.repartition("obs_date", "slug").write.mode("append").partitionBy("obs_date", "slug").json(path)
 
 
-def not_appended(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Published files (path, content) whose bytes aren't the beginning of the new ones."""
-    both = old.select("path", F.col("content").alias("_old")).join(new.select("path", F.col("content").alias("_new")), "path", "left")
-    kept = F.coalesce(F.substring("_new", F.lit(1), F.octet_length("_old")) == F.col("_old"), F.lit(False))
-    return both.where(~kept).select("path")
-
-
-def changed_files(digests: DataFrame, files: DataFrame) -> DataFrame:
-    """Files named by digests (seq, files of path and sha256) whose bytes (content) hash to something else."""
-    return files_of_other_bytes(digests, files.select("path", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("sha256")))
-
-
 def files_of_other_bytes(digests: DataFrame, files: DataFrame) -> DataFrame:
     """Files named by digests (seq, files of path and sha256) that have another sha256 among files (path, sha256)."""
     named = digests.select("seq", F.explode("files").alias("f")).select("seq", "f.path", "f.sha256")
