@@ -129,9 +129,9 @@ def in_slots(docs: DataFrame, n_slots: int = N_SLOTS, id_col: str = "doc_id", te
 
 def crowding(rows: DataFrame, n_slots: int, id_col: str = "doc_id", share: int = 8) -> DataFrame:
     """The repeated ids (_crowd) with more than 1 / (share * n_slots) of all bytes: fewer than share * n_slots."""
-    total = rows.agg(F.sum("size").alias("_total"))
+    total = rows.agg(F.sum("size")).first()[0] or 0
     each = rows.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_crowd")).agg(F.sum("size").alias("_b"), F.count("*").alias("_n")).where("_n > 1")
-    return each.crossJoin(F.broadcast(total)).where(F.col("_b") * (share * n_slots) > F.col("_total")).select("_crowd")  # total is one row
+    return each.where(F.col("_b") * (share * n_slots) > total).select("_crowd")
 
 
 def slot_loads(records: DataFrame) -> dict[int, tuple[int, int]]:
