@@ -2,10 +2,12 @@
 
 import collections
 import hashlib
+import math
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +35,10 @@ def odd_texts(seed=0, n=60):
     return [None, "", " \t\n", "x", "X", *base, base[3], base[3].upper(), base[5] + " tail", passage, "a " * 300, "é中" * 3000, "w1 w2 w3 w4"]
 
 
+def utf8_of(texts):
+    return utf8(pa.array(texts))
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return frame(spark, odd_texts()).cache()
@@ -404,11 +410,65 @@ def test_toxicity_without_labels_of_both_classes(spark, docs):
     assert {r.score for r in toxicity.op7(docs, labels.limit(0)).collect()} == {0.0}
 
 
-def test_toxic_probabilities_of_a_context_sum_to_one_at_most():
-    model = toxicity.Model(np.array([0, 0, 1, 1]), *(np.array(x, np.int64) for x in ([1, 1, 1, 1], [5, 6, 5, 7], [300, 5, 2, 400])))
-    for c in (0, 1):
-        p = model.pair[c][:-1].sum() + model.backoff[0] * model.low[c][:-1].sum()
-        assert 0.2 < p < 1.3
+def plain_kneser_ney(texts, discount):
+    """p(word | before, class) of toxicity's formulas, from dictionaries; all words of the texts."""
+    n = {c: collections.Counter((v, w) for toxic, t in texts if toxic == c for v, w in zip(["^", *t.split()], t.split())) for c in (0, 1)}
+    types = {w for c in n for _, w in n[c]}
+    cont = {c: collections.Counter(w for _, w in n[c]) for c in n}
+    total = sum(sum(cont[c].values()) for c in n)
+    up = {c: {w: max(cont[c][w] - discount, 0) for w in types} for c in n}
+    rest = 1 - sum(sum(up[c].values()) for c in n) / total
+
+    def low(w, c):
+        left = sum(up[c].values())
+        own = up[c].get(w, 0) / left if left else (up[0].get(w, 0) + up[1].get(w, 0)) / (sum(up[1 - c].values()) or 1)
+        return (1 - rest) * own + rest * (cont[0][w] + cont[1][w] + 1 / (len(types) + 1)) / (total + 1)
+
+    def p(v, w, c):
+        u = {k: {x[1]: max(m - toxicity.PAIR * discount, 0) for x, m in n[k].items() if x[0] == v} for k in n}
+        every, left = sum(m for k in n for x, m in n[k].items() if x[0] == v), sum(sum(u[k].values()) for k in n)
+        if not left:
+            return low(w, c)
+        s = (u[c].get(w, 0) + toxicity.SHARED * (u[0].get(w, 0) + u[1].get(w, 0)) / left) / (sum(u[c].values()) + toxicity.SHARED)
+        return left / every * s + (1 - left / every) * low(w, c)
+
+    return p, types
+
+
+@pytest.mark.parametrize("discount", [1.0, 2.0, 1e6])
+def test_toxic_differences_equal_plain_kneser_ney(discount):
+    rng = random.Random(3)
+    words = ["w%d" % k for k in range(12)] + ["é", "ß", "x" * 300]
+    texts = [(int(rng.random() < 0.3), " ".join(words[min(int(rng.expovariate(0.3)), 14)] for _ in range(rng.randint(0, 60)))) for _ in range(120)]
+    p, types = plain_kneser_ney(texts, discount)
+    for v in ("^", "w0", "w5", "never"):
+        for c in (0, 1):
+            assert sum(p(v, w, c) for w in types) + p(v, "never", c) == pytest.approx(1)
+    rows = []
+    for i, (toxic, t) in enumerate(texts):
+        h, before, _, _ = toxicity.words_and_pairs(*utf8_of([t]))
+        rows += [(toxic, i % 4, int(a), int(b), n) for (a, b), n in collections.Counter(zip(before.view(np.int64), h.view(np.int64))).items()]
+    counts = toxicity.Counts(*(np.array(x, np.int64) for x in zip(*rows)))
+    assert counts.without(1).sum() == sum(len(t.split()) for i, (_, t) in enumerate(texts) if i % 4 != 1)
+    model = toxicity.Model(counts, counts.without(None), discount)
+    probes = [t for _, t in texts[:40]] + ["never w0 unseen w1 w1 w2", "", "w3"]
+    got = model.differences(*utf8_of(probes))
+    for t, x in zip(probes, got):
+        d = [math.log(p(v, w, 1)) - math.log(p(v, w, 0)) for v, w in zip(["^", *t.split()], t.split())]
+        means = [max((sum(d[i : i + s]) / s for i in range(len(d))), default=0) for s in toxicity.SPANS]
+        assert x == pytest.approx([1, sum(d) / max(len(d), 1), *means], abs=1e-9)
+
+
+def test_toxicity_null_and_repeated_ids_very_long_text_and_clashing_columns(spark):
+    docs, labels = toxic_table(spark, 300)
+    long = "w1 w2 w3 " * 200_000 + "nasty vile rotten nasty"
+    more = spark.createDataFrame([(None, "w1 w2"), (None, None), (4, "w1 w2"), (4, "w1 w2"), (990, long)], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(more).withColumns({"toxic": F.lit("x"), "part": F.lit(1), "_score": F.lit(2), "score": F.lit("y")})
+    labels = labels.unionByName(labels.limit(3)).withColumn("text", F.lit("z"))
+    got = toxicity.op7(docs, labels).collect()
+    assert len(got) == docs.count() and sorted(str(r.doc_id) for r in got) == sorted(str(r.doc_id) for r in docs.select("doc_id").collect())
+    assert next(r.predicted for r in got if r.doc_id == 990) == 1 and all(0 <= r.score <= 1 and r.held_out is not None for r in got)
+    assert toxicity.keep_ordinary(docs, labels).columns == docs.columns
 
 
 # 8
