@@ -212,7 +212,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, held: int = 1, folds: int = 3) -> tuple[Model, np.ndarray] | None:
     """The model and the logistic's weights; None if a class has no document to learn from."""
     rows = stage(sample(docs, labels, held, folds), "sample")
-    t = pair_counts(rows).toArrow()
+    # at most 2 x WORDS rows of 22 bytes
+    t = pair_counts(rows).select(F.col("toxic").cast("byte"), F.col("part").cast("byte"), "before", "word", F.col("n").cast("int")).toArrow()
     if len(np.unique(t["toxic"].to_numpy())) < 2:
         return None
     counts = Counts(*(t[c].to_numpy() for c in ("toxic", "part", "before", "word", "n")))
