@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.language_id import fold
 from tidemark.llm.storage import stage
-from tidemark.llm.words import Words, map_batches, mix, parts
+from tidemark.llm.words import Words, give_back, map_batches, mix, parts
 
 ROWS, WORDS, PARTS, THRESHOLD = 6000, 2_000_000, 4, 0.7
 DISCOUNTS, PAIR, SHARED, SPANS = (1.0, 2.0, 4.0, 8.0, 16.0), 4, 1000, (1, 3, 10, 30)
@@ -218,6 +218,7 @@ def learn(docs: DataFrame, labels: DataFrame, held: int = 1, folds: int = 3) ->
         return None
     counts = Counts(*(t[c].to_numpy() for c in ("toxic", "part", "before", "word", "n")))
     del t
+    give_back()
     models = []
     for k in range(PARTS):
         n = counts.without(k)
@@ -244,7 +245,10 @@ def learn(docs: DataFrame, labels: DataFrame, held: int = 1, folds: int = 3) ->
         loss = np.logaddexp(0, np.where(y == 1, -1, 1) * (own @ weights)).mean()
         if best is None or loss < best[0]:
             best = loss, d, weights
-    return Model(counts, counts.without(None), best[1]), best[2]
+    model = Model(counts, counts.without(None), best[1])
+    del counts, n
+    give_back()
+    return model, best[2]
 
 
 def score(docs: DataFrame, learned: tuple[Model, np.ndarray] | None, keep: list[str], name: str = "_score") -> DataFrame:
