@@ -60,6 +60,25 @@ def test_batch_at_one_instant_is_whole_for_every_row(spark):
     assert out.count() == 346 and out.where(F.size("members") == 346).count() == 346
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_batches_and_latest_equal_plain_loops(spark, seed):
+    """Ties, instants below zero, null instants and cells' borders; no frame slides and no row meets each other."""
+    rng = random.Random(seed)
+    rows = [(rng.randrange(2), rng.choice("ab"), rng.choice([None, *range(-40, 40)]), f"r{rng.randrange(5)}") for _ in range(120)]
+    out = classify.batches(moves(spark, rows), ["repo", "target"], "us", 8, "ref")
+    inside = lambda x, y: x[:2] == y[:2] and (x[2] is None if y[2] is None else x[2] is not None and y[2] - 8 <= x[2] <= y[2])
+    want = [(*y, sorted({x[3] for x in rows if inside(x, y)}), min((x[2] for x in rows if inside(x, y) and x[2] is not None), default=None)) for y in rows]
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == sorted((w for w in want if len(w[4]) >= 3), key=repr)
+    marks = [(rng.randrange(2), rng.choice("abc"), rng.randrange(-50, 50), k) for k in range(40)]
+    seen = spark.createDataFrame([(*r[:3], n) for n, r in enumerate(rows) if r[2] is not None], "repo long, target string, us long, seq long")
+    got = classify.latest_by(spark.createDataFrame(marks, "repo long, target string, us long, k long"), seen, ["repo", "target"], "us", "seq")
+    own = {m: [n for n, r in enumerate(rows) if r[2] is not None and r[:2] == m[:2] and r[2] <= m[2]] for m in marks}
+    assert sorted(tuple(r) for r in got.collect()) == sorted((*m, max(n)) for m, n in own.items() if n)
+    for df in (out, got):
+        plan = df._jdf.queryExecution().toString()
+        assert "Join" not in plan and "specifiedwindowframe(RangeFrame, -" not in plan
+
+
 def test_gaps_and_containment(spark):
     rows = spark.createDataFrame([(1, 0, "ok"), (1, 100, "backoff"), (1, 100, "ok"), (1, 250, "lag"), (1, 400, "ok"), (1, 500, "backoff")], "repo long, us long, what string")
     kind = F.when(F.col("what") == "backoff", "secondary_limit_backoff").when(F.col("what") == "lag", "scheduler_lag")

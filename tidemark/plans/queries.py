@@ -196,10 +196,10 @@ s AS (SELECT u.repo, u.batch_id, u.ref, max(o.event_id) AS seq FROM (SELECT DIST
 SELECT repo, batch_id, array_to_string(list_sort(list(DISTINCT seq)), ',') AS member_seqs, array_to_string(list_sort(list(DISTINCT ref)), ',') AS refs FROM s GROUP BY 1, 2""")
 def q14_correlation_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = batched(spark, sf_dir)
-    last = b.groupBy("repo", "batch_id").agg(F.max("us").alias("at"), F.array_distinct(F.flatten(F.collect_set("members"))).alias("m"))
-    member = last.select("repo", "batch_id", "at", F.explode("m").alias("ref"))
+    last = b.groupBy("repo", "batch_id").agg(F.max("us").alias("us"), F.array_distinct(F.flatten(F.collect_set("members"))).alias("m"))
+    member = last.select("repo", "batch_id", "us", F.explode("m").alias("ref"))
     seen = moved(spark, sf_dir).select("repo", "ref", "us", F.col("event_id").alias("seq"))
-    seq = member.join(seen, KEY).where("us <= at").groupBy("repo", "batch_id", "ref").agg(F.max("seq").alias("seq"))
+    seq = classify.latest_by(member, seen, KEY, "us", "seq")
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_set(c)), lambda x: x.cast("string")), ",")
     return seq.groupBy("repo", "batch_id").agg(joined("seq").alias("member_seqs"), joined("ref").alias("refs"))
 
