@@ -17,6 +17,19 @@ def test_query_equals_sql(spark, duck, name):
     assert ours == theirs
 
 
+def test_published_months_are_one_file_in_many_partitions(spark, duck):
+    """Tables so large for their partitions that adaptive execution puts together fewer of one shuffle than of the other."""
+    own = {"advisoryPartitionSizeInBytes": "3000b", "coalescePartitions.minPartitionSize": "1b", "coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(f"spark.sql.adaptive.{k}") for k in own}
+    for k, v in own.items():
+        spark.conf.set(f"spark.sql.adaptive.{k}", v)
+    try:
+        test_query_equals_sql(spark, duck, "q63_published")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.adaptive.{k}", v)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(QUERIES) <= set(__spark_entry__.queries())
