@@ -3,8 +3,10 @@
 import random
 from datetime import UTC, datetime
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators import ledger
 from tidemark.sources import schemas, shared
@@ -104,3 +106,91 @@ def test_days_without_rows_are_sealed_in_order(spark):
     got = [tuple(r) for r in replay.finish(sealing.digests(stream, "ts", "6 hours"), folder).orderBy("day").collect()]
     zeros = (0, 0, 0, 0, 0)
     assert got == [("2026-03-01", 2, 1, 0, 1, 0), ("2026-03-02", *zeros), ("2026-03-03", *zeros), ("2026-03-04", 1, 1, 0, 0, 0), ("2026-03-05", 1, 1, 0, 0, 0), ("2026-03-06", *zeros), ("2026-03-07", *zeros)]
+
+
+class State:
+    """A handle whose list, map and value states are kept here, by name."""
+
+    def __init__(self, kept):
+        self.kept = kept
+
+    def getListState(self, name, _):
+        return State(self.kept.setdefault(name, []))
+
+    def getMapState(self, name, *_):
+        return State(self.kept.setdefault(name, {}))
+
+    def getValueState(self, name, _):
+        return State(self.kept.setdefault(name, []))
+
+    def registerTimer(self, at):
+        self.kept["timer"] = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.kept["watermark"]
+
+    def exists(self):
+        return bool(self.kept)
+
+    def get(self):
+        return self.kept[0] if self.kept and not isinstance(self.kept[0][0], bytes) else list(self.kept)
+
+    def update(self, value):
+        self.kept[:] = [value]
+
+    def put(self, values):
+        self.kept[:] = values
+
+    def appendList(self, values):
+        self.kept.extend(values)
+
+    def clear(self):
+        self.kept.clear()
+
+    def keys(self):
+        return iter(self.kept)
+
+    def getValue(self, key):
+        return self.kept[key]
+
+    def containsKey(self, key):
+        return key in self.kept
+
+    def updateValue(self, key, value):
+        self.kept[key] = value
+
+    def removeKey(self, key):
+        del self.kept[key]
+
+
+@pytest.mark.parametrize("kind", [sealing.Held, sealing.Ordered])
+def test_rows_wait_packed(kind):
+    """Some thousands of rows are one state value, with their nulls, and come back when the watermark passes them."""
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("outcome", T.StringType()), T.StructField("us", T.LongType()), T.StructField("day", T.StringType())])
+    rows = pd.DataFrame({"event_id": range(5000), "outcome": ["ok", None] * 2500, "us": [DAY + k for k in range(5000)], "day": "1970-01-02"})
+    kept = {"watermark": 0}
+    held = kind(schema)
+    held.init(State(kept))
+    assert list(held.handleInputRows(("1970-01-02", 0), iter([rows]), State(kept))) == []
+    assert len(kept["rows"]) == 1 and kept["timer"] == DAY // 1000 + (kind is sealing.Ordered)
+    kept["watermark"] = DAY // 1000 + 2
+    got = pd.concat(held.handleExpiredTimer(("1970-01-02", 0), State(kept), None))
+    n = 2000 if kind is sealing.Ordered else 5000
+    assert got["event_id"].tolist() == list(range(n)) and got["buffered"].all() and got["outcome"].isna().sum() == n // 2
+    assert len(kept["rows"]) == (kind is sealing.Ordered)
+
+
+def test_many_moves_of_a_span_wait_packed():
+    """Thirty thousand moves within a span, of one target after the other."""
+    n = 30_000
+    rows = pd.DataFrame({"event_id": range(n), "ref": [f"v1.0.{k % 4}" for k in range(n)], "us": range(n), "outcome": "ok", "target": [k // 4 % 2 for k in range(n)], "resolved": True, "exact": True})
+    kept = {"watermark": 0}
+    o = observed.Observed(DAY)
+    o.init(State(kept))
+    list(o.handleInputRows((1,), iter([rows]), State(kept)))
+    assert len(kept["waiting"]) == 3
+    kept["watermark"] = DAY // 1000
+    got = pd.concat(o.handleExpiredTimer((1,), State(kept), None))
+    moved = n - 4
+    assert (got["kind"] == "seen").sum() == n and (got["kind"] == "batch").sum() == moved - 4
+    assert not kept["waiting"]

@@ -16,12 +16,16 @@ from collections.abc import Iterator
 from datetime import date
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.streaming import windows
+from tidemark.streaming.packed import pack, unpack
 
 DIGEST = "day string, repos_polled long, ok long, not_modified long, failed long, skipped long"
 COUNTS = ("repos_polled", "ok", "not_modified", "failed", "skipped")
@@ -43,48 +47,64 @@ class Held(StatefulProcessor):
 
     def __init__(self, schema: T.StructType):
         self.schema = schema
+        self.kind = to_arrow_schema(schema)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", self.schema)
+        self.rows = handle.getListState("rows", "packed binary")
+
+    def keep(self, rows: pa.Table) -> None:
+        self.rows.appendList([(x,) for x in pack(rows)])
+
+    def kept(self) -> Iterator[pa.Table]:
+        return (unpack(x) for (x,) in self.rows.get()) if self.rows.exists() else iter(())
+
+    def table(self, rows: pd.DataFrame) -> pa.Table:
+        return pa.Table.from_pandas(rows[self.schema.names], self.kind, preserve_index=False)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         begins = day_ms(key[0])
         for t in rows:
-            t = t[self.schema.names]
             if timerValues.getCurrentWatermarkInMs() >= begins:
-                yield t.assign(buffered=False)
+                yield t[self.schema.names].assign(buffered=False)
             else:
-                self.rows.appendList(list(zip(*(t[c].tolist() for c in t.columns), strict=True)))
+                self.keep(self.table(t))
                 self.handle.registerTimer(begins)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.rows.exists():
-            yield pd.DataFrame(list(self.rows.get()), columns=self.schema.names).assign(buffered=True)
-            self.rows.clear()
+        for t in self.kept():
+            yield frame(t)
+        self.rows.clear()
 
     def close(self) -> None:
         pass
 
 
+def frame(rows: pa.Table) -> pd.DataFrame:
+    """Rows that waited; numbers that may be null stay whole numbers."""
+    return rows.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype(), pa.int32(): pd.Int32Dtype()}.get).assign(buffered=True)
+
+
 class Ordered(Held):
     """Rows of one part of a day, until the watermark passes their own instant (microseconds, in us)."""
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for t in rows:
-            self.rows.appendList(list(zip(*(t[c].tolist() for c in self.schema.names), strict=True)))
+            self.keep(self.table(t))
             self.handle.registerTimer(int(t["us"].min()) // 1000 + 1)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.rows.exists():
-            t = pd.DataFrame(list(self.rows.get()), columns=self.schema.names)
-            due = t["us"] < timerValues.getCurrentWatermarkInMs() * 1000
-            yield t[due].assign(buffered=True)
-            self.rows.clear()
-            if not due.all():
-                self.rows.appendList(list(zip(*(t[~due][c].tolist() for c in t.columns), strict=True)))
-                self.handle.registerTimer(int(t[~due]["us"].min()) // 1000 + 1)
+        passed, waiting = timerValues.getCurrentWatermarkInMs() * 1000, []
+        for t in self.kept():
+            due = pc.less(t["us"], passed)
+            if pc.any(due).as_py():
+                yield frame(t.filter(due))
+            waiting.append(t.filter(pc.invert(due)))
+        self.rows.clear()
+        if (later := pa.concat_tables(waiting) if waiting else None) is not None and later.num_rows:
+            self.keep(later)
+            self.handle.registerTimer(pc.min(later["us"]).as_py() // 1000 + 1)
 
 
 class Clock(StatefulProcessor):
