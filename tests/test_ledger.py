@@ -48,6 +48,17 @@ def test_linked_rows_verify(spark):
     assert [(r.seq, r.what) for r in bad] == [(3, "hash mismatch")]
 
 
+def test_hashes_go_back_without_the_driver(spark):
+    """However small Spark takes them for, the hashes of an append are not broadcast."""
+    rows = spark.createDataFrame([(f"t{k % 7}", k) for k in range(50)], "recorded_at string, reason long")
+    linked = ledger.link(rows, ["recorded_at", "reason"], (9, ledger.GENESIS))
+    plan = linked._jdf.queryExecution().toString()
+    assert "SortMergeJoin [seq" in plan and plan.count("BroadcastHashJoin [_part") and "BroadcastHashJoin [seq" not in plan
+    got = linked.orderBy("seq").collect()
+    assert [r.seq for r in got] == list(range(10, 60)) and [(r.recorded_at, r.reason) for r in got] == sorted((f"t{k % 7}", k) for k in range(50))
+    assert all(a.entry_hash == b.prev_hash for a, b in zip(got, got[1:], strict=False))
+
+
 @pytest.mark.parametrize("part", [3, 1 << 20])
 def test_row_before_crosses_parts(spark, part):
     rows = spark.createDataFrame([(x, f"v{x}") for x in (0, 1, 2, 7, 8, 20, 21)], "seq long, v string")

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.canonical import canonical_json, entry_hash
 from tidemark.functions.times import micros, strict
+from tidemark.sources.shared import stage
 
 GENESIS = "sha256:" + "0" * 64
 
@@ -35,32 +37,47 @@ def gaps(rows: DataFrame, seq: str) -> DataFrame:
     return out.where(F.col(seq) != F.col(f"prev_{seq}") + 1).select(F.col(f"prev_{seq}").alias("last_seq"), F.col(seq).alias("next_seq"), (F.col(seq) - F.col(f"prev_{seq}") - 1).alias("missing"))
 
 
+def numbered(rows: DataFrame, order: list[str], first: int = 0) -> DataFrame:
+    """The rows with seq, gapless from a number on: sorted in ranges, each of which begins after the counts of those before."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranged = stage(ranged, "ranged")
+    part = F.shiftright("_at", 33)
+    counts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")  # one row a range
+    at = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + F.lit(first).cast("long")
+    return ranged.withColumn("_part", part).join(F.broadcast(counts), "_part").withColumn("seq", at).drop("_part", "_at", "_before")
+
+
 def link(rows: DataFrame, order: list[str], tip: tuple[int, str] = (-1, GENESIS), drop: list[str] | tuple = ()) -> DataFrame:
     """seq, prev_hash and entry_hash of new rows after a tip (its number and hash), as violations() checks them.
 
     The hash is over the canonical row with seq and prev_hash inside, so each needs the one before: for
-    the rows of one append this is one task by nature. Checking a ledger needs none of it. Columns to drop
-    only order the rows.
+    the rows of one append this is one task by nature, which holds a batch of rows at a time. Checking a ledger needs none
+    of it. The hashes go back to their rows by a merge join: Spark takes them for small, as a whole row is wide, and
+    would broadcast them over the driver. Columns to drop only order the rows.
     """
     rows = rows.drop("seq", "prev_hash", "entry_hash")
     names = [c for c in rows.columns if c not in drop]
-    rows = rows.withColumn("seq", F.row_number().over(Window.orderBy(*order)) + F.lit(tip[0]).cast("long"))
+    rows = numbered(rows, order, tip[0] + 1)
+    texts = rows.select(*names, "seq")
     inner = lambda columns: F.expr("substring(_t, 2, length(_t) - 2)") if columns else F.lit("")
     for name, some in (("_head", [c for c in names if c < "prev_hash"]), ("_tail", [c for c in [*names, "seq"] if c > "prev_hash"])):
-        rows = rows.withColumn("_t", canonical_json(rows, some)).withColumn(name, inner(some)).drop("_t")
-
-    def fold(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("seq").reset_index(drop=True)
-        now, before, own = tip[1], [], []
-        for head, tail in zip(t["_head"], t["_tail"], strict=True):
-            before.append(now)
-            text = ",".join(x for x in (head, f'"prev_hash":"{now}"', tail) if x)
-            now = "sha256:" + hashlib.sha256(f"{{{text}}}".encode()).hexdigest()
-            own.append(now)
-        return pd.DataFrame({"seq": t["seq"], "prev_hash": before, "entry_hash": own})
-
-    hashes = rows.select("seq", "_head", "_tail", F.lit(1).alias("_all")).groupBy("_all").applyInPandas(fold, "seq long, prev_hash string, entry_hash string")
-    return rows.select(*names, "seq").join(hashes, "seq").select(*names, "seq", "prev_hash", "entry_hash")
+        texts = texts.withColumn("_t", canonical_json(texts, some)).withColumn(name, inner(some)).drop("_t")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = tip[1]
+        for batch in batches:
+            before, own = [], []
+            for head, tail in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                before.append(now)
+                text = ",".join(x for x in (head, f'"prev_hash":"{now}"', tail) if x)
+                now = "sha256:" + hashlib.sha256(f"{{{text}}}".encode()).hexdigest()
+                own.append(now)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(before, pa.string()), pa.array(own, pa.string())], ["seq", "prev_hash", "entry_hash"])
+
+    chain = texts.select("seq", "_head", "_tail").repartition(1).sortWithinPartitions("seq")
+    hashes = chain.mapInArrow(fold, "seq long, prev_hash string, entry_hash string")
+    return rows.select(*names, "seq").join(hashes.hint("merge"), "seq").select(*names, "seq", "prev_hash", "entry_hash")
 
 
 def violations(ledger: DataFrame) -> DataFrame:
