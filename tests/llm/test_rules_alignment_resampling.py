@@ -7,7 +7,9 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,6 +181,29 @@ def test_links_of_long_groups_by_cells(spark, cell):
     assert rows_of(within) == sorted(want, key=repr)
 
 
+def test_alignment_leaves_only_what_comes_back_to_the_blocks(spark):
+    at = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://")) / "tidemark"
+    old = {x.name for x in at.glob("*")}
+    got = alignment.op12(frame(spark, ["one two one", "two two\nthree", None, "one  x"]))
+    assert {x.name.rsplit("-", 1)[0] for x in at.glob("*") if x.name not in old} == {"numbers", "pair-counts", "best-pairs", "summed"}
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # of links or stretches
+    assert len(got.collect()) == 4 and len(got.collect()) == 4
+
+
+def test_numbers_of_stretches_are_packed():
+    for ks in ([], [0], [7, 1 << 30, 255, 256, 7], list(range(5000))):
+        assert alignment.unpacked(alignment.packed(np.array(ks, np.int32))).tolist() == ks
+    assert len(alignment.packed(np.arange(100_000, dtype=np.int32))) < 100_000
+
+
+def test_groups_are_packed_in_half_their_bytes(spark):
+    texts = ["1|2", "10,2|3;4|5,66", "0|0;50256|31999", "7,7|7"]
+    rows = spark.createDataFrame([(k, t.translate(str.maketrans(",|;", "abc"))) for k, t in enumerate(texts)], "k int, t string")
+    got = [bytes(r[0]) for r in rows.orderBy("k").select(alignment.packed_text(F.col("t"))).collect()]
+    assert [len(x) for x in got] == [(len(t) + 1) // 2 for t in texts]
+    assert alignment.digest(x.hex() for x in got) == hashlib.sha256(";".join(texts).encode()).hexdigest()
+
+
 def test_alignment_of_repeated_and_null_ids_and_of_nothing(spark):
     docs = frame(spark, ["the same text"] * 3 + ["other"]).withColumn("doc_id", F.when(F.col("doc_id") > 0, 7))
     got = alignment.op12(docs).collect()

@@ -11,8 +11,9 @@ between two other characters: A's pattern has white space only before what it be
 space sign after another character, or a line's end at all (``separable`` looks). So a text is a row of stretches,
 each such a sign and what follows, that are tokenized and aligned alike wherever they occur. Documents are read in blocks of some
 megabytes; a block has each different stretch once and each document as numbers of stretches. The joins run
-over the different stretches of the corpus, with their counts, and their results come back to the blocks, where
+over the different stretches of the corpus, with their counts and places (at most one a block), and their results come back to the blocks, where
 each document adds them up and hashes its groups in order. A text without such spaces is one stretch.
+Steps that only written ones have read are removed, and so are their shuffles, so that the disk holds one step's at a time.
 
 A pair's count over the corpus adds up its links in every stretch times the stretch's occurrences in valid texts.
 
@@ -30,12 +31,12 @@ import gc
 import hashlib
 import itertools
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,18 +48,45 @@ BLOCK, CELL, PAIRS, HOT, MARK = 32 << 20, 32, 1024, 1 << 18, "▁"
 COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 #: What goes back to the blocks beside a stretch's groups, which say the other counts.
 SENT = ("n_a", "n_best", "count_sum")
+#: The signs of a digest's text beside decimal digits, ``packed_text`` as hexadecimal ones; an odd number of signs ends in one more.
+SIGNS, SPARE = bytes.maketrans(b"abc", b",|;"), "d"
 _single = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
 _other = re.compile(r"\A\s|\s\s|\s\Z|\0")
 _pairs: dict = {}
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``storage.stage`` with the denser codec, as the steps here are about as large as the texts."""
-    path = folder(df.sparkSession, name)
+    path = path or folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove the files of a step that only written steps have read."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def packed(ks: np.ndarray) -> bytes:
+    """Numbers of stretches as compressed bytes, the lowest ones of all first; other codecs see only four bytes each."""
+    return zlib.compress(np.ascontiguousarray(ks.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def unpacked(ks: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(ks), np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+def packed_text(text: Column) -> Column:
+    """Half as many bytes for a text of decimal digits and a, b and c for the signs between them."""
+    return F.unhex(F.concat(text, F.when(F.length(text) % 2 == 1, F.lit(SPARE)).otherwise(F.lit(""))))
+
+
+def digest(parts: Iterator[str]) -> str:
+    """SHA-256 of texts, each the hexadecimal digits of a ``packed_text``, with a semicolon between every two."""
+    return hashlib.sha256("c".join(parts).encode().translate(SIGNS, SPARE.encode())).hexdigest()
+
+
 class Pair:
     """Both tokenizers, with the bytes of each of their tokens."""
 
@@ -138,7 +166,7 @@ def pair(ranks: str | None = None, pieces: str | None = None) -> Pair:
 def blocks(docs: DataFrame, ranks: str | None = None, pieces: str | None = None, size: int = BLOCK) -> DataFrame:
     """block with either stretch, k and n (number in the block, occurrences in valid texts), or doc_id and ks.
 
-    ks has a valid document's stretches in order; it is null without tokens.
+    ks has a valid document's stretches in order, ``packed``; it is null without tokens.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -169,12 +197,12 @@ def blocks(docs: DataFrame, ranks: str | None = None, pieces: str | None = None,
             for r in valid:
                 if r is not None:
                     np.add.at(count, r, 1)
-            yield out(number, len(ids), doc_id=ids, ks=pa.array(valid, pa.list_(pa.int32())))
+            yield out(number, len(ids), doc_id=ids, ks=pa.array([None if r is None else packed(r) for r in valid], pa.binary()))
         for a in range(0, len(names), 20_000):
             part = names[a : a + 20_000]
             yield out(number, len(part), stretch=pa.array(part, pa.string()), k=pa.array(np.arange(a, a + len(part), dtype=np.int32)), n=pa.array(count[a : a + len(part)]))
 
-    kinds = {"block": pa.int64(), "doc_id": None, "ks": pa.list_(pa.int32()), "stretch": pa.string(), "k": pa.int32(), "n": pa.int64()}
+    kinds = {"block": pa.int64(), "doc_id": None, "ks": pa.binary(), "stretch": pa.string(), "k": pa.int32(), "n": pa.int64()}
     own = {"doc_id": None}
 
     def out(number: int, rows: int, **columns: pa.Array) -> pa.RecordBatch:
@@ -183,17 +211,17 @@ def blocks(docs: DataFrame, ranks: str | None = None, pieces: str | None = None,
         full = {"block": pa.array(np.full(rows, number, np.int64))} | columns
         return pa.RecordBatch.from_arrays([full[c] if c in full else pa.nulls(rows, t or own["doc_id"]) for c, t in kinds.items()], list(kinds))
 
-    return map_batches(docs.select("doc_id", "text"), run, f"block long, doc_id {kind}, ks array<int>, stretch string, k int, n long")
+    return map_batches(docs.select("doc_id", "text"), run, f"block long, doc_id {kind}, ks binary, stretch string, k int, n long")
 
 
 def tokenized(stretches: DataFrame, ranks: str | None = None, pieces: str | None = None) -> DataFrame:
-    """stretch, n, the number n_a of A's tokens, and ids and sizes in bytes of A's tokens and then B's."""
+    """The rows of stretch and n with the number n_a of A's tokens, and ids and sizes in bytes of A's tokens and then B's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair(ranks, pieces)
         for batch in batches:
             n, flat = [], []
-            for rows in both.encode(batch.column(0).to_pylist()):
+            for rows in both.encode(batch.column("stretch").to_pylist()):
                 n.append(np.fromiter(map(len, rows), np.int64, len(rows)))
                 flat.append(np.fromiter(itertools.chain.from_iterable(rows), np.int32, int(n[-1].sum())))
             before = [np.cumsum(x) - x for x in n]
@@ -206,9 +234,10 @@ def tokenized(stretches: DataFrame, ranks: str | None = None, pieces: str | None
             if (total[0] != total[1]).any():
                 raise ValueError("tokens of other bytes than the text's")
             lists = (pa.ListArray.from_arrays(pa.array(off), pa.array(x)) for x in (ids, sizes))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n[0].astype(np.int32)), *lists], ["stretch", "n", "n_a", "ids", "sizes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n[0].astype(np.int32)), *lists], [*batch.schema.names, "n_a", "ids", "sizes"])
 
-    return map_batches(stretches.select("stretch", "n"), run, "stretch string, n long, n_a int, ids array<int>, sizes array<smallint>")
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in stretches.schema)
+    return map_batches(stretches, run, kinds + "n_a int, ids array<int>, sizes array<smallint>")
 
 
 def placed(texts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -289,27 +318,27 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
-def aligned(texts: DataFrame, most: int = PAIRS) -> DataFrame:
-    """Of texts (uid, stretch, n, n_a, ids, sizes): stretch, n, n_a, n_b, n_groups, groups, links (array of a and b), and rest.
+def aligned(texts: DataFrame, most: int = PAIRS, path: str | None = None) -> DataFrame:
+    """Of texts (uid, n, n_a, ids, sizes): stretch (the uid), n, n_a, n_b, n_groups, groups (``packed_text``), links (array of a and b), and rest.
 
     The texts are dealt out by uid, and all joins and windows are within a uid: no other exchange. rest has the
     groups of more than ``most`` possible pairs, which aren't in links, for ``links_by_cells``.
     """
-    keep = ("stretch", "n")
+    keep = ("n",)
     ends = cuts(texts.select("uid", "n_a", "sizes").repartition("uid"))
     tokens = placed(texts.select("uid", "n_a", *keep, "ids", "sizes").repartition("uid"), keep)
-    ids = lambda side: F.array_join(F.transform(side, lambda x: x["id"].cast("string")), ",")
+    ids = lambda side: F.array_join(F.transform(side, lambda x: x["id"].cast("string")), "a")
     large = F.size("a").cast("long") * F.size("b") > most
     groups = of_groups(grouped(tokens, ends), keep)
-    groups = groups.select("uid", "grp", *keep, F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.concat(ids("a"), F.lit("|"), ids("b")).alias("g"), F.when(~large, links_within(F.col("a"), F.col("b"))).alias("links"), *[F.when(large, F.col(x)).alias(x) for x in ("a", "b")])
+    groups = groups.select("uid", "grp", *keep, F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.concat(ids("a"), F.lit("b"), ids("b")).alias("g"), F.when(~large, links_within(F.col("a"), F.col("b"))).alias("links"), *[F.when(large, F.col(x)).alias(x) for x in ("a", "b")])
     none = "array<struct<grp:long,a:array<struct<id:int,start:long,end:long>>,b:array<struct<id:int,start:long,end:long>>>>"
     each = F.array_sort(F.collect_list(F.struct("grp", "g")))
     rest = F.collect_list(F.when(F.col("a").isNotNull(), F.struct("grp", "a", "b"))).cast(none)
-    sums = [F.max("stretch").alias("stretch"), F.max("n").alias("n"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups")]
-    whole = groups.groupBy("uid").agg(*sums, F.array_join(F.transform(each, lambda x: x["g"]), ";").alias("groups"), F.flatten(F.collect_list("links")).alias("links"), rest.alias("rest"))
+    sums = [F.max("n").alias("n"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups")]
+    whole = groups.groupBy("uid").agg(*sums, packed_text(F.array_join(F.transform(each, lambda x: x["g"]), "c")).alias("groups"), F.flatten(F.collect_list("links")).alias("links"), rest.alias("rest"))
     # rows that are dealt out by some of a join's keys aren't dealt out anew by all of them
     with settings(texts.sparkSession, requireAllClusterKeysForCoPartition="false"):
-        return stage(whole.drop("uid"), "groups")
+        return stage(whole.withColumnRenamed("uid", "stretch"), "groups", path)
 
 
 def links_of(found: DataFrame) -> DataFrame:
@@ -339,18 +368,29 @@ def link_sums(links: DataFrame, counted: DataFrame, hot: int = HOT) -> DataFrame
 
 
 def op12(docs: DataFrame, ranks: str | None = None, pieces: str | None = None, block: int = BLOCK, most: int = PAIRS, hot: int = HOT) -> DataFrame:
-    cut = stage(blocks(docs, ranks, pieces, block), "blocks")
+    spark = docs.sparkSession
+    at = {name: folder(spark, name) for name in ("blocks", "stretches", "groups")}
+    cut = stage(blocks(docs, ranks, pieces, block), "blocks", at["blocks"])
+    numbers = stage(cut.where("stretch is null").select("block", "doc_id", "ks"), "numbers")
     every = cut.where("stretch is not null and n > 0")
-    texts = stage(tokenized(every.groupBy("stretch").agg(F.sum("n").alias("n")), ranks, pieces).withColumn("uid", F.monotonically_increasing_id()), "stretches")
-    let_go(docs.sparkSession)
-    found = aligned(texts, most)
-    let_go(docs.sparkSession)
+    # a block has each of its stretches once, so a task's rows of a stretch are few and adding them up before the exchange would spare nothing
+    different = every.repartition("stretch").groupBy("stretch").agg(F.sum("n").alias("n"), F.collect_list(F.struct("block", "k")).alias("places"))
+    texts = stage(tokenized(different, ranks, pieces).drop("stretch").withColumn("uid", F.monotonically_increasing_id()), "stretches", at["stretches"])
+    remove(spark, at["blocks"])
+    let_go(spark)
+    found = aligned(texts, most, at["groups"])
+    let_go(spark)
     counted = pair_counts(links_of(found))
-    let_go(docs.sparkSession)
+    let_go(spark)
     sums = link_sums(links_of(found).drop("n"), counted, hot)
-    found = found.select("stretch", "n_a", "groups").join(sums, "stretch")
-    back = every.select(F.col("block").alias("_block"), "k", "stretch").join(found, "stretch").select("_block", "k", *SENT, "groups")
-    return by_document(cut.where("stretch is null").select("block", "doc_id", "ks"), back)
+    places = texts.select(F.col("uid").alias("stretch"), "places")
+    # written, so that neither the links nor their shuffles are there while all comes back to the blocks
+    summed = stage(found.select("stretch", "n_a", "groups").join(sums, "stretch").join(places, "stretch").select(*SENT, "groups", "places"), "summed")
+    remove(spark, at["stretches"])
+    remove(spark, at["groups"])
+    let_go(spark)
+    back = summed.select(*SENT, "groups", F.explode("places").alias("_at")).select(F.col("_at.block").alias("_block"), "_at.k", *SENT, "groups")
+    return by_document(numbers, back)
 
 
 def by_document(docs: DataFrame, stretches: DataFrame) -> DataFrame:
@@ -363,15 +403,15 @@ def by_document(docs: DataFrame, stretches: DataFrame) -> DataFrame:
         place[k] = np.arange(len(k))
         n_a, n_best, count_sum = (right[c].to_numpy().astype(np.int64) for c in SENT)
         # a group of p and q tokens has p + q - 2 commas and p + q - 1 links
-        n_groups, commas = (pc.count_substring(right["groups"], x).to_numpy().astype(np.int64) for x in "|,")
+        groups = [x.hex() for x in right["groups"].to_pylist()]
+        n_groups, commas = (np.fromiter((x.count(sign) for x in groups), np.int64, len(groups)) for sign in "ba")
         values = np.stack([n_a, commas + 2 * n_groups - n_a, n_groups, commas + n_groups, n_best, count_sum], 1)
-        groups = right["groups"].to_pylist()
         made, digests = np.zeros((len(left), len(COUNTS)), np.int64), [""] * len(left)
         for i, ks in enumerate(left["ks"]):
             if ks.is_valid:
-                at = place[ks.values.to_numpy()]
+                at = place[unpacked(ks.as_py())]
                 made[i] = values[at].sum(0)
-                digests[i] = hashlib.sha256(";".join(map(groups.__getitem__, at.tolist())).encode()).hexdigest()
+                digests[i] = digest(map(groups.__getitem__, at.tolist()))
         del groups, right
         give_back()
         return pa.table([left["doc_id"], *(pa.array(made[:, j]) for j in range(len(COUNTS))), pa.array(digests, pa.string())], ["doc_id", *COUNTS, "groups_sha256"])
