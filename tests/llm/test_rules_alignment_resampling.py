@@ -88,6 +88,27 @@ def test_mined_rules_equal_counting_all_combinations(spark, seed):
     assert got == plain_mined(rows) and len(got) > 3
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_rules_of_all_tokens_equal_counting_all_combinations(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    long = [f"t{k:02}" for k in range(40)]  # 2**40 combinations for FP-growth
+    rows = [(sorted(rng.sample("abcdefghijklmnop", 12)), rng.choice(["block", "allow", "allow"])) for _ in range(100)]
+    rows += [([*long, "z"], "block")] * 20 + [(long[:10], "allow")] * 10 + [([], "allow"), (["y", "z"], "allow")]
+    got = {(tuple(r.tokens), r.verdict): (r.confidence, r.n) for r in url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), mined=None).collect()}
+    least = plain_mined(rows)
+    monkeypatch.setattr(url_rules, "MINED", None)
+    want = plain_mined(rows)
+    assert got == want and len(got) > len(least)
+
+
+def test_verdicts_by_all_tokens_equal_the_sql_without_its_cut(spark, duck, monkeypatch):
+    got = url_rules.verdicts(spark.read.parquet(f"{SMALL}/pages.parquet"), mined=None)
+    cut = sorted(duck.sql(url_rules.oracle_sql()).fetchall(), key=repr)
+    monkeypatch.setattr(url_rules, "MINED", 1 << 30)
+    want = sorted(duck.sql(url_rules.oracle_sql()).fetchall(), key=repr)
+    assert rows_of(got) == want != cut
+
+
 def test_rules_match_by_all_their_tokens(spark):
     rules = spark.createDataFrame([(["a", "b"], "block", 0.9, 5), (["c"], "allow", 0.9, 7), (["b"], "block", 0.85, 9), (["a", "c", "d"], "block", 1.0, 2)], "tokens array<string>, verdict string, confidence double, n long")
     sets = spark.createDataFrame([(["a"],), (["b"],), (["a", "b"],), (["a", "b", "c"],), (["a", "c", "d"],), ([],), (["x"],)], "tokens array<string>")
