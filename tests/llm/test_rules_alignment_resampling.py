@@ -6,12 +6,16 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tests.conftest import SMALL
 from tests.llm.test_operators import frame, odd_texts
@@ -225,6 +229,56 @@ def test_groups_are_packed_in_half_their_bytes(spark):
     assert alignment.digest(x.hex() for x in got) == hashlib.sha256(";".join(texts).encode()).hexdigest()
 
 
+def traced(work):
+    """What it returns, and the bytes that Python and numpy held at most meanwhile."""
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_block_holds_its_different_stretches_but_no_texts(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "map_batches", lambda df, run, schema: run)
+    monkeypatch.setattr(alignment, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    run = alignment.blocks(frame(spark, ["a"]))
+    alignment.pair()
+    rng = random.Random(7)
+    texts = [[" ".join(rng.choices(["one", "two", "three", "▁"], [9, 9, 9, 0.001], k=20_000)) for _ in range(10)] for _ in range(10)]
+    batches = [pa.record_batch([pa.array(range(10 * k, 10 * k + 10)), pa.array(t)], ["doc_id", "text"]) for k, t in enumerate(texts)]
+    got, most = traced(lambda: pa.Table.from_batches(list(run(iter(batches)))).to_pylist())
+    assert most < sum(len(t) for ts in texts for t in ts) / 2
+    names = {r["k"]: (r["stretch"], r["n"]) for r in got if r["stretch"]}
+    read = {r["doc_id"]: r["ks"] and " ".join(names[k][0] for k in alignment.unpacked(r["ks"])) for r in got if not r["stretch"]}
+    assert read == {10 * k + i: None if "▁" in t else t for k, ts in enumerate(texts) for i, t in enumerate(ts)}
+    valid = collections.Counter(w for t in read.values() if t for w in t.split())
+    assert {x: n for x, n in names.values() if n} == valid and {r["block"] for r in got} == {3 << 32}
+
+
+def test_the_last_step_holds_no_object_for_each_stretch():
+    class Docs(SimpleNamespace):
+        schema = StructType([StructField("doc_id", LongType())])
+        groupBy = cogroup = lambda self, *_: self
+        applyInArrow = lambda self, run, schema: run
+
+    run, n, rng = alignment.by_document(Docs(), Docs()), 200_000, np.random.default_rng(3)
+    ids = rng.integers(0, 50_000, (n, 3)).tolist()
+    groups = [f"{a}|{b}" if a % 2 else f"{a},{c}|{b};{c}|{a}" for a, b, c in ids]
+    hexed = [x + "d" * (len(x) % 2) for x in (g.translate(str.maketrans(",|;", "abc")) + "c" for g in groups)]
+    k = rng.permutation(n)
+    right = pa.table([np.zeros(n, np.int64), k.astype(np.int32), np.full(n, 2, np.int32), k % 5, k % 7, pa.array([bytes.fromhex(hexed[x]) for x in k])], ["_block", "k", "n_a", "n_best", "count_sum", "groups"])
+    ks = [np.arange(n), None, np.array([5]), rng.integers(0, n, 150_000)]
+    left = pa.table([[0] * 4, range(4), [None if x is None else alignment.packed(x) for x in ks]], ["block", "doc_id", "ks"])
+    got, most = traced(lambda: run(left, right).to_pylist())
+    assert most < 80 * n
+    for r, x in zip(got, ks, strict=True):
+        text = "" if x is None else ";".join(groups[i] for i in x)
+        p, q = text.count("|"), text.count(",")
+        sums = (0, 0) if x is None else (int((x % 5).sum()), int((x % 7).sum()))
+        n_a = 0 if x is None else 2 * len(x)
+        assert tuple(r.values())[1:] == (n_a, q + 2 * p - n_a, p, q + p, *sums, hashlib.sha256(text.encode()).hexdigest() if text else "")
+
+
 def test_alignment_of_repeated_and_null_ids_and_of_nothing(spark):
     docs = frame(spark, ["the same text"] * 3 + ["other"]).withColumn("doc_id", F.when(F.col("doc_id") > 0, 7))
     got = alignment.op12(docs).collect()

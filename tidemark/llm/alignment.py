@@ -33,7 +33,7 @@ import itertools
 import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.storage import folder
 from tidemark.llm.words import give_back, map_batches
 
-BLOCK, CELL, PAIRS, HOT, MARK = 32 << 20, 32, 1024, 1 << 18, "▁"
+BLOCK, CELL, PAIRS, HOT, TAKEN, MARK = 32 << 20, 32, 1024, 1 << 18, 1 << 16, "▁"
 COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 #: What goes back to the blocks beside a stretch's groups, which say the other counts.
 SENT = ("n_a", "n_best", "count_sum")
@@ -82,9 +82,40 @@ def packed_text(text: Column) -> Column:
     return F.unhex(F.concat(text, F.when(F.length(text) % 2 == 1, F.lit(SPARE)).otherwise(F.lit(""))))
 
 
-def digest(parts: Iterator[str]) -> str:
+def digest(parts: Iterable[str]) -> str:
     """SHA-256 of texts, each the hexadecimal digits of a ``packed_text``, with a semicolon between every two."""
-    return hashlib.sha256("c".join(parts).encode().translate(SIGNS, SPARE.encode())).hexdigest()
+    found = hashlib.sha256()
+    for k, part in enumerate(parts):
+        found.update(b";" * (k > 0) + part.encode().translate(SIGNS, SPARE.encode()))
+    return found.hexdigest()
+
+
+class Groups:
+    """The groups of a block's stretches, each a ``packed_text`` that ends in one more c, in one buffer."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        self.rows = pa.concat_arrays([x.cast(pa.large_binary()) for x in column.chunks]) if column.num_chunks else pa.array([], pa.large_binary())
+        self.off, self.data = parted(self.rows)
+
+    def signs(self, sign: int) -> np.ndarray:
+        """How often each stretch has a hexadecimal digit."""
+        table, found = bytes((x >> 4 == sign) + (x & 15 == sign) for x in range(256)), np.zeros(len(self.rows), np.int32)
+        for a in range(0, len(found), TAKEN):
+            off = self.off[a : a + TAKEN + 1]
+            some = self.data[off[0] : off[-1]].tobytes().translate(table)
+            found[a : a + TAKEN] = np.add.reduceat(np.frombuffer(some, np.uint8), off[:-1] - off[0], dtype=np.int32)
+        return found
+
+    def text(self, at: np.ndarray) -> str:
+        """The hexadecimal digits of some stretches' groups in order, with a c between every two stretches."""
+        return parted(self.rows.take(pa.array(at)))[1].tobytes().hex().rstrip(SPARE)[:-1]
+
+
+def parted(rows: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each row begins (one more entry at the end) in the bytes of all."""
+    off = np.frombuffer(rows.buffers()[1], np.int64)[rows.offset : rows.offset + len(rows) + 1] if len(rows) else np.zeros(1, np.int64)
+    data = np.frombuffer(rows.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+    return off - off[0], data
 
 
 class Pair:
@@ -111,9 +142,9 @@ class Pair:
         self.separable = not any(MARK in x.lstrip(MARK) or "\n" in x for x in names)
 
         every = (chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000 and chr(k) != MARK)
-        tried = [" a", "a ", "a  b", *iter(lambda: "".join(itertools.islice(every, 4096)), "")]
+        tried = itertools.chain([" a", "a ", "a  b"], iter(lambda: "".join(itertools.islice(every, 4096)), ""))
         #: whether B gives back all characters and runs of spaces, so that only texts with its space sign have other bytes
-        self.faithful = all(self.same("\0" + x, b) for x, b in zip(tried, self.b.encode(tried, num_threads=1), strict=True))
+        self.faithful = all(self.same("\0" + x, self.b.encode(x)) for x in tried)
 
     def encode_b(self, stretches: list[str]) -> list[list[int]]:
         """Ids of B; the space that it adds before a line's end is left out again."""
@@ -163,6 +194,39 @@ def pair(ranks: str | None = None, pieces: str | None = None) -> Pair:
     return _pairs[ranks, pieces]
 
 
+def forget() -> None:
+    """Free this process's tokenizers, for work that tokenizes nothing."""
+    _pairs.clear()
+
+
+class Seen:
+    """The different stretches of a block so far: their numbers, whether B gives their bytes, and their occurrences in valid texts.
+
+    Texts are cut and numbered one by one, so that a block holds its different stretches but none of its texts.
+    """
+
+    def __init__(self, both: Pair):
+        self.both, self.good, self.count = both, np.zeros(0, bool), np.zeros(0, np.int64)
+        self.numbers: dict = defaultdict()
+        self.numbers.default_factory = self.numbers.__len__
+
+    def numbers_of(self, text: str | None) -> np.ndarray | None:
+        """The numbers of a text's stretches, counted; none if it has no tokens."""
+        if not text:
+            return None
+        numbers, known = self.numbers, len(self.numbers)
+        ks = np.fromiter(map(numbers.__getitem__, self.both.cut(text)), np.int32)
+        if len(numbers) > len(self.good):
+            for x in (self.good, self.count):
+                x.resize(len(numbers) * 5 // 4, refcheck=False)
+        if len(numbers) > known:
+            self.good[known : len(numbers)] = self.both.whole(list(itertools.islice(reversed(numbers), len(numbers) - known))[::-1])
+        if not self.good[ks].all():
+            return None
+        np.add.at(self.count, ks, 1)
+        return ks
+
+
 def blocks(docs: DataFrame, ranks: str | None = None, pieces: str | None = None, size: int = BLOCK) -> DataFrame:
     """block with either stretch, k and n (number in the block, occurrences in valid texts), or doc_id and ks.
 
@@ -171,36 +235,22 @@ def blocks(docs: DataFrame, ranks: str | None = None, pieces: str | None = None,
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        held: list[tuple[pa.Array, list]] = []
-        n = room = 0
+        number, room, seen = TaskContext.get().partitionId() << 32, 0, Seen(pair(ranks, pieces))
         for batch in batches:
-            texts = batch.column(1)
-            held.append((batch.column(0), texts.to_pylist()))
-            room += texts.nbytes
             if room >= size:
-                yield from block(held, (context.partitionId() << 32) + n)
-                held, room, n = [], 0, n + 1
-        if held:
-            yield from block(held, (context.partitionId() << 32) + n)
-
-    def block(held: list[tuple[pa.Array, list]], number: int) -> Iterator[pa.RecordBatch]:
-        both = pair(ranks, pieces)
-        numbers: dict = defaultdict()
-        numbers.default_factory = numbers.__len__
-        cut = [[np.array([numbers[x] for x in both.cut(t)], np.int32) if t else None for t in texts] for _, texts in held]
-        names = list(numbers)
-        good = both.whole(names)
-        count = np.zeros(len(names), np.int64)
-        for (ids, _), rows in zip(held, cut, strict=True):
-            valid = [r if r is not None and good[r].all() else None for r in rows]
-            for r in valid:
-                if r is not None:
-                    np.add.at(count, r, 1)
-            yield out(number, len(ids), doc_id=ids, ks=pa.array([None if r is None else packed(r) for r in valid], pa.binary()))
-        for a in range(0, len(names), 20_000):
-            part = names[a : a + 20_000]
-            yield out(number, len(part), stretch=pa.array(part, pa.string()), k=pa.array(np.arange(a, a + len(part), dtype=np.int32)), n=pa.array(count[a : a + len(part)]))
+                yield from stretches(number, seen)
+                number, room, seen = number + 1, 0, Seen(seen.both)
+            ks = [None if r is None else packed(r) for r in map(seen.numbers_of, batch.column(1).to_pylist())]
+            yield out(number, len(batch), doc_id=batch.column(0), ks=pa.array(ks, pa.binary()))
+            room += batch.column(1).nbytes
+        yield from stretches(number, seen)
+
+    def stretches(number: int, seen: Seen) -> Iterator[pa.RecordBatch]:
+        a = 0
+        for part in itertools.batched(seen.numbers, 20_000):
+            b = a + len(part)
+            yield out(number, len(part), stretch=pa.array(part, pa.string()), k=pa.array(np.arange(a, b, dtype=np.int32)), n=pa.array(seen.count[a:b]))
+            a = b
 
     kinds = {"block": pa.int64(), "doc_id": None, "ks": pa.binary(), "stretch": pa.string(), "k": pa.int32(), "n": pa.int64()}
     own = {"doc_id": None}
@@ -319,7 +369,7 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
 
 
 def aligned(texts: DataFrame, most: int = PAIRS, path: str | None = None) -> DataFrame:
-    """Of texts (uid, n, n_a, ids, sizes): stretch (the uid), n, n_a, n_b, n_groups, groups (``packed_text``), links (array of a and b), and rest.
+    """Of texts (uid, n, n_a, ids, sizes): stretch (the uid), n, n_a, n_b, n_groups, groups (as ``Groups`` has them), links (array of a and b), and rest.
 
     The texts are dealt out by uid, and all joins and windows are within a uid: no other exchange. rest has the
     groups of more than ``most`` possible pairs, which aren't in links, for ``links_by_cells``.
@@ -335,7 +385,7 @@ def aligned(texts: DataFrame, most: int = PAIRS, path: str | None = None) -> Dat
     each = F.array_sort(F.collect_list(F.struct("grp", "g")))
     rest = F.collect_list(F.when(F.col("a").isNotNull(), F.struct("grp", "a", "b"))).cast(none)
     sums = [F.max("n").alias("n"), F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups")]
-    whole = groups.groupBy("uid").agg(*sums, packed_text(F.array_join(F.transform(each, lambda x: x["g"]), "c")).alias("groups"), F.flatten(F.collect_list("links")).alias("links"), rest.alias("rest"))
+    whole = groups.groupBy("uid").agg(*sums, packed_text(F.concat(F.array_join(F.transform(each, lambda x: x["g"]), "c"), F.lit("c"))).alias("groups"), F.flatten(F.collect_list("links")).alias("links"), rest.alias("rest"))
     # rows that are dealt out by some of a join's keys aren't dealt out anew by all of them
     with settings(texts.sparkSession, requireAllClusterKeysForCoPartition="false"):
         return stage(whole.withColumnRenamed("uid", "stretch"), "groups", path)
@@ -398,23 +448,25 @@ def by_document(docs: DataFrame, stretches: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        k = right["k"].to_numpy().astype(np.int64)
-        place = np.full(int(k.max(initial=-1)) + 1, -1, np.int64)
+        forget()
+        k = right["k"].to_numpy()
+        place = np.full(int(k.max(initial=-1)) + 1, -1, np.int32)
         place[k] = np.arange(len(k))
-        n_a, n_best, count_sum = (right[c].to_numpy().astype(np.int64) for c in SENT)
+        groups = Groups(right["groups"])
         # a group of p and q tokens has p + q - 2 commas and p + q - 1 links
-        groups = [x.hex() for x in right["groups"].to_pylist()]
-        n_groups, commas = (np.fromiter((x.count(sign) for x in groups), np.int64, len(groups)) for sign in "ba")
-        values = np.stack([n_a, commas + 2 * n_groups - n_a, n_groups, commas + n_groups, n_best, count_sum], 1)
-        made, digests = np.zeros((len(left), len(COUNTS)), np.int64), [""] * len(left)
+        own = [right["n_a"].to_numpy(), groups.signs(0xB), groups.signs(0xA), right["n_best"].to_numpy(), right["count_sum"].to_numpy()]
+        doc_id = left["doc_id"]
+        made, digests = np.zeros((len(left), len(own)), np.int64), [""] * len(left)
         for i, ks in enumerate(left["ks"]):
             if ks.is_valid:
                 at = place[unpacked(ks.as_py())]
-                made[i] = values[at].sum(0)
-                digests[i] = digest(map(groups.__getitem__, at.tolist()))
-        del groups, right
+                made[i] = [x[at].sum(dtype=np.int64) for x in own]
+                digests[i] = digest(groups.text(at[a : a + TAKEN]) for a in range(0, len(at), TAKEN))
+        n_a, n_groups, commas, n_best, count_sum = made.T
+        sums = n_a, commas + 2 * n_groups - n_a, n_groups, commas + n_groups, n_best, count_sum
+        del right, groups, own
         give_back()
-        return pa.table([left["doc_id"], *(pa.array(made[:, j]) for j in range(len(COUNTS))), pa.array(digests, pa.string())], ["doc_id", *COUNTS, "groups_sha256"])
+        return pa.table([doc_id, *map(pa.array, sums), pa.array(digests, pa.string())], ["doc_id", *COUNTS, "groups_sha256"])
 
     schema = f"doc_id {kind}, {', '.join(f'{c} long' for c in COUNTS)}, groups_sha256 string"
     return docs.groupBy("block").cogroup(stretches.groupBy("_block")).applyInArrow(run, schema)
