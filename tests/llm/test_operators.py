@@ -513,6 +513,44 @@ def test_embeddings_of_every_length_are_compared(spark):
     assert got == {i: (int(i in pairs or i in pairs.values()), pairs.get(i, i)) for i in range(len(v))}
 
 
+def shuffled(spark):
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    executors = spark._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_tiles_are_shuffled_once_and_not_for_each_partner(spark):
+    v = np.random.default_rng(6).normal(size=(800, 32)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate([*v, *v[:9] * 2])], "vec_id long, embedding array<float>").coalesce(2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for a table too large for it
+    took = []
+    for tile in (4096, 20):  # one tile, and some 40 that pair each with each
+        began = shuffled(spark)
+        assert sum(r.n_links for r in embedding_dedup.dedup(df, tile=tile).collect()) == 18
+        took.append(shuffled(spark) - began)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert took[1] < 2 * took[0], took
+
+
+def test_copies_of_a_vector_are_one_in_whatever_batch_they_are(spark):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(120, 24))
+    v[5] = 0.0
+    v[:40] += 6 * v[0]  # one large part
+    v = np.concatenate([v, v[:1].repeat(4500, 0), v[:60], -v[:3]])  # more copies than a batch has rows
+    v[::2] = np.where(v[::2] == 0, -0.0, v[::2])
+    x = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    near = x @ x.T >= 0.95
+    for kind, tile in (("float", 30), ("double", 4096)):
+        df = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(v)], f"vec_id long, embedding array<{kind}>").repartition(3)
+        got = {r.vec_id: r for r in embedding_dedup.dedup(df, tile=tile).collect()}
+        assert {i: r.n_links for i, r in got.items()} == {i: max(0, int(n) - 1) for i, n in enumerate(near.sum(1))}
+        part = np.array([got[i].component_id for i in range(len(v))])
+        i, j = np.nonzero(near)
+        assert (part[i] == part[j]).all() and (part <= np.arange(len(v))).all() and (part[part] == part).all()
+        assert all(r.kept == (r.component_id == i) for i, r in got.items())
+
+
 # 9
 
 

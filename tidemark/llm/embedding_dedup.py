@@ -7,13 +7,17 @@ is under the threshold are dropped after 8, 16 or 32 coordinates, and only what
 in double precision.
 
 Vectors are compared tile by tile, some TILE of them against some TILE. Tiles are ranges of the first
-coordinate, split by hash where a range holds more, so tiles too far apart in it are never paired. A
-pair of tiles is one row, so any task holds two tiles. It returns a row for each vector that has
+coordinate, split by hash where a range holds more, so tiles too far apart in it are never paired. Tiles
+are written once. A task takes two parts of that table, each read where it lies, and pairs their tiles, so
+no pair is shuffled or written, and any task holds two parts. It returns a row for each vector that has
 links, with their number and one link to the root of its part, not the pairs themselves.
 
 The comparison is exact, so its work grows with the square of the number of different vectors, less
-what the first coordinate rules out; equal vectors are one from the start. Vectors of each length (of
-each embedding model) have axes and tiles of their own and are compared length by length.
+what the first coordinate rules out; its disk grows with the vectors and with the rows of those that have
+links, at most one in each task. Equal vectors are one from their tile on. Whatever tells whether two
+vectors are equal, or which tile they belong to, is the same for equal vectors to the last bit. Vectors of
+each length (of each embedding model) have axes and tiles of their own and are compared length by length;
+the table is read once, and three times more for each length, but its vectors are shuffled and written once.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link with nothing
 (n_links 0, their own component), and vectors of different lengths not with each other; equal vectors
@@ -28,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,28 +43,42 @@ from tidemark.llm.words import map_batches
 THRESHOLD, TILE, RANGES, SAMPLE, LEADS, ROWS_AT_ONCE, SLACK = 0.95, 4096, 256, 4096, (8, 16, 32), 256, 1e-5
 
 
+def listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The components of all lists, where each list's begin (one more entry at the end) and which lists can link."""
+    x = column.values.to_numpy(zero_copy_only=False)  # a null is a NaN
+    x = (x if x.dtype == np.float32 else x.astype(np.float64)) + np.float32(0)  # no zero has a sign
+    off = column.offsets.to_numpy()
+    inside = lambda fits: np.diff(np.concatenate([[0], np.cumsum(fits)])[off])
+    return x, off, column.is_valid().to_numpy(zero_copy_only=False) & (inside(np.isfinite(x)) == np.diff(off)) & (inside(x != 0) > 0)
+
+
+def digest_of(x: np.ndarray) -> bytes:
+    return hashlib.blake2b(x, digest_size=16).digest()
+
+
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, and of the vectors that can link d (number of components), digest and raw (doubles)."""
+    """vec_id, and of the vectors that can link d (number of components) and digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, d, digest, raw = [], [], [], []
-            for i, v in zip(batch.column(0), batch.column(1), strict=True):
-                ids.append(i.as_py())
-                whole = i.is_valid and v.is_valid and len(v.values) and not v.values.null_count
-                x = v.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0 if whole else np.zeros(0)
-                good = np.isfinite(x).all() and x.any()
-                d.append(len(x) if good else None)
-                raw.append(x.tobytes() if good else None)
-                digest.append(hashlib.blake2b(raw[-1], digest_size=16).digest() if good else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(d, pa.int32()), pa.array(digest, pa.binary()), pa.array(raw, pa.binary())], ["vec_id", "d", "digest", "raw"])
+            x, off, good = listed(batch.column(1))
+            good &= batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            d = pa.array(np.diff(off).astype(np.int32), mask=~good)
+            digest = [digest_of(x[off[i] : off[i + 1]]) if g else None for i, g in enumerate(good)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), d, pa.array(digest, pa.binary())], ["vec_id", "d", "digest"])
 
-    return map_batches(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"), run, "vec_id long, d int, digest binary, raw binary")
+    return map_batches(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"), run, "vec_id long, d int, digest binary")
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
-    x = raw / np.abs(raw).max(1, keepdims=True)  # keeps the squares in range
-    return x / np.sqrt((x * x).sum(1, keepdims=True))
+    """The rows at length 1; what a row gives doesn't depend on the rows beside it."""
+    x = raw.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)  # keeps the squares in range
+    return x / np.sqrt(np.add.accumulate(x * x, 1)[:, -1:])
+
+
+def doubles_or_floats(raw: bytes, rows: int, d: int) -> np.ndarray:
+    return np.frombuffer(raw, np.float32 if len(raw) == 4 * rows * d else np.float64).reshape(rows, d)
 
 
 class Axes:
@@ -72,7 +91,28 @@ class Axes:
         self.edges = np.unique(np.quantile(x @ self.turn[:, 0], np.arange(1, RANGES) / RANGES))
 
     def range_of(self, x: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.edges, x @ self.turn[:, 0], "right")
+        # a matrix product's last bits could change with the rows beside
+        return np.searchsorted(self.edges, np.add.accumulate(x * self.turn[:, 0], 1)[:, -1], "right")
+
+
+def merged(vectors: DataFrame, d: int, axes: Broadcast[Axes] | None = None) -> DataFrame:
+    """digest, rep, n, range and raw of the vectors of d components, each once a batch, so that one of very many copies fills no tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, off, good = listed(batch.column(1))
+            good &= batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            x, ids = x[off[0] : off[-1]].reshape(-1, d)[good] if len(batch) else np.zeros((0, d)), batch.column(0).filter(pa.array(good)).to_numpy()
+            places: dict[bytes, int] = {}
+            place = np.array([places.setdefault(digest_of(v), len(places)) for v in x], np.int64)
+            _, first, n = np.unique(place, return_index=True, return_counts=True)
+            rep = np.full(len(places), np.iinfo(np.int64).max)
+            np.minimum.at(rep, place, ids)
+            r = axes.value.range_of(unit(x[first])) if axes and len(first) else np.zeros(len(first))
+            yield pa.RecordBatch.from_arrays([pa.array(list(places), pa.binary()), pa.array(rep), pa.array(n.astype(np.int64)), pa.array(r.astype(np.int32)), pa.array([v.tobytes() for v in x[first]], pa.binary())], ["digest", "rep", "n", "range", "raw"])
+
+    own = vectors.where(F.size("embedding") == d).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    return map_batches(own, run, "digest binary, rep long, n long, range int, raw binary")
 
 
 class Tiles:
@@ -104,59 +144,64 @@ class Tiles:
         self.least = np.searchsorted(np.maximum.accumulate(self.last), np.arange(len(low)), "left")
 
 
-def blocks(rows: DataFrame, axes: Axes, d: int, tile: int, threshold: float) -> DataFrame:
-    """One row per tile: tile, last and least partner, reps, their counts and vectors (turned, of length 1)."""
-    shared = rows.sparkSession.sparkContext.broadcast(axes)
-
-    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = unit(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float64).reshape(-1, d)) if len(batch) else np.zeros((0, d))
-            r = shared.value.range_of(x)
-            x = x @ shared.value.turn
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(r.astype(np.int32)), pa.array([v.tobytes() for v in x], pa.binary())], ["rep", "n", "range", "x"])
-
-    turned = stage(map_batches(rows.select("rep", "n", "raw"), turn, "rep long, n long, range int, x binary"), "turned")
-    tiles = Tiles({r[0]: r[1] for r in turned.groupBy("range").count().collect()}, axes.edges, tile, threshold)
+def blocks(rows: DataFrame, axes: Axes, tile: int, threshold: float) -> DataFrame:
+    """One row per tile: tile, last and least partner, reps, their counts and vectors (as they came), of rows of ``merged``."""
+    tiles = Tiles({r[0]: r[1] for r in rows.groupBy("range").count().collect()}, axes.edges, tile, threshold)
     pick = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("range") + 1)
-    turned = turned.withColumn("tile", (pick(tiles.first) + F.pmod(F.xxhash64("rep"), pick(tiles.split))).cast("int"))
+    placed = rows.withColumn("tile", (pick(tiles.first) + F.pmod(F.xxhash64("digest"), pick(tiles.split))).cast("int"))
 
     def gather(t: pa.Table) -> pa.Table:
         k = t["tile"][0].as_py()
-        return pa.table({"tile": [k], "last": [int(tiles.last[k])], "least": [int(tiles.least[k])], "reps": [t["rep"].to_pylist()], "counts": [t["n"].to_pylist()], "x": [b"".join(t["x"].to_pylist())]}, schema=pa.schema({"tile": pa.int32(), "last": pa.int32(), "least": pa.int32(), "reps": pa.list_(pa.int64()), "counts": pa.list_(pa.int64()), "x": pa.binary()}))
-
-    return turned.groupBy("tile").applyInArrow(gather, "tile int, last int, least int, reps array<long>, counts array<long>, x binary")
-
-
-def linked(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row of a, row of b) of cosine at or over the threshold; both turned and of length 1."""
-    d = a.shape[1]
-    steps = [m for m in LEADS if m < d]
-    if not steps:
-        return np.nonzero(a @ b.T >= threshold)
-
-    def with_rest(x: np.ndarray, m: int) -> np.ndarray:
-        return np.column_stack([x[:, :m], np.sqrt((x[:, m:] ** 2).sum(1))])
-
-    first = steps[0]
-    i, j = np.nonzero(with_rest(a, first).astype(np.float32) @ with_rest(b, first).astype(np.float32).T >= threshold - SLACK)
-    for m in steps[1:]:
-        if len(i) * 8 > len(a) * len(b):
+        places: dict[bytes, int] = {}
+        place = np.array([places.setdefault(v, len(places)) for v in t["digest"].to_pylist()], np.int64)
+        reps, counts = np.full(len(places), np.iinfo(np.int64).max), np.zeros(len(places), np.int64)
+        np.minimum.at(reps, place, t["rep"].to_numpy())
+        np.add.at(counts, place, t["n"].to_numpy())
+        x = b"".join(t["raw"].take(np.unique(place, return_index=True)[1]).to_pylist())
+        return pa.table({"tile": [k], "last": [int(tiles.last[k])], "least": [int(tiles.least[k])], "reps": [reps], "counts": [counts], "x": [x]}, schema=pa.schema({"tile": pa.int32(), "last": pa.int32(), "least": pa.int32(), "reps": pa.list_(pa.int64()), "counts": pa.list_(pa.int64()), "x": pa.binary()}))
+
+    return placed.groupBy("tile").applyInArrow(gather, "tile int, last int, least int, reps array<long>, counts array<long>, x binary")
+
+
+class Turned:
+    """The vectors of a tile, of length 1 and on the principal axes; for each step their leading coordinates and the norm of the rest."""
+
+    def __init__(self, raw: np.ndarray, axes: Axes):
+        self.x = unit(raw) @ axes.turn
+        self.leads = [np.column_stack([self.x[:, :m], np.sqrt((self.x[:, m:] ** 2).sum(1))]) for m in LEADS if m < self.x.shape[1]]
+        self.first = self.leads[0].astype(np.float32) if self.leads else self.x
+
+
+def linked(a: Turned, b: Turned, at: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of a, row of b) of cosine at or over the threshold, for ROWS_AT_ONCE rows of a."""
+    own = slice(at, at + ROWS_AT_ONCE)
+    whole = lambda: np.nonzero(a.x[own] @ b.x.T >= threshold)
+    if not a.leads:
+        i, j = whole()
+        return i + at, j
+    i, j = np.nonzero(a.first[own] @ b.first.T >= threshold - SLACK)
+    all_pairs = len(a.x[own]) * len(b.x)
+    for p, q in zip(a.leads[1:], b.leads[1:], strict=True):
+        if len(i) * 8 > all_pairs:
             break  # so many are left that whole products are cheaper
-        p, q = with_rest(a, m), with_rest(b, m)
-        keep = np.einsum("ij,ij->i", p[i], q[j]) >= threshold - SLACK
+        keep = np.einsum("ij,ij->i", p[i + at], q[j]) >= threshold - SLACK
         i, j = i[keep], j[keep]
-    if len(i) * 8 > len(a) * len(b):
-        return np.nonzero(a @ b.T >= threshold)
-    keep = np.einsum("ij,ij->i", a[i], b[j]) >= threshold
-    return i[keep], j[keep]
+    if len(i) * 8 > all_pairs:
+        i, j = whole()
+        return i + at, j
+    keep = np.einsum("ij,ij->i", a.x[i + at], b.x[j]) >= threshold
+    return i[keep] + at, j[keep]
 
 
 class Roots:
-    """Union-find over the vectors of two tiles."""
+    """Union-find over the vectors of some tiles."""
 
-    def __init__(self, n: int):
+    def __init__(self, n: int = 0):
         self.up = np.arange(n)
 
+    def add(self, n: int) -> None:
+        self.up = np.concatenate([self.up, np.arange(len(self.up), len(self.up) + n)])
+
     def find(self) -> np.ndarray:
         while True:
             up = self.up[self.up]
@@ -178,56 +223,90 @@ class Roots:
                 self.up[max(x, y)] = min(x, y)
 
 
-def compare(pairs: DataFrame, d: int, threshold: float) -> DataFrame:
-    """rep, root, links: of each vector with links in a pair of tiles, how many, and the root of its part."""
+def links_of(a: Turned, b: Turned, n_a: np.ndarray, n_b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the vectors of two tiles, or of one with itself, how many links each has between them, and the root of its part."""
+    same, shift = a is b, 0 if a is b else len(a.x)
+    links, roots = np.zeros(shift + len(b.x), np.int64), Roots(shift + len(b.x))
+    for at in range(0, len(a.x), ROWS_AT_ONCE):
+        i, j = linked(a, b, at, threshold)
+        if same:
+            i, j = i[i != j], j[i != j]
+        if len(i):
+            links[: len(a.x)] += np.bincount(i, n_b[j], len(a.x)).astype(np.int64)
+            if not same:
+                links[shift:] += np.bincount(j, n_a[i], len(b.x)).astype(np.int64)
+            roots.join(i, j + shift)
+    return links, roots.find()
+
+
+def compare(pairs: DataFrame, d: int, axes: Broadcast[Axes], threshold: float) -> DataFrame:
+    """rep, root, links: of each vector with links in a task's pairs of tiles, how many, and the root of its part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts: dict[int, int] = {}  # of each tile's vectors among all of the task
+        all_reps, all_links, all_roots, held, a = np.zeros(0, np.int64), np.zeros(0, np.int64), Roots(), None, None
         for batch in batches:
-            for row in batch.to_pylist():
-                same = row["t"] == row["u"]
-                a = np.frombuffer(row["x_t"]).reshape(-1, d)
-                b = a if same else np.frombuffer(row["x_u"]).reshape(-1, d)
-                na, nb = np.array(row["counts_t"]), np.array(row["counts_u"])
-                shift = 0 if same else len(a)
-                links, roots = np.zeros(shift + len(b), np.int64), Roots(shift + len(b))
-                for at in range(0, len(a), ROWS_AT_ONCE):
-                    i, j = linked(a[at : at + ROWS_AT_ONCE], b, threshold)
-                    i = i + at
-                    if same:
-                        i, j = i[i != j], j[i != j]
-                    if len(i):
-                        links[: len(a)] += np.bincount(i, nb[j], len(a)).astype(np.int64)
-                        if not same:
-                            links[shift:] += np.bincount(j, na[i], len(b)).astype(np.int64)
-                        roots.join(i, j + shift)
-                reps = np.array(row["reps_t"] if same else row["reps_t"] + row["reps_u"])
+            for k in range(len(batch)):
+                t, u = (batch.column(c)[k].as_py() for c in "tu")
+                (reps_t, reps_u), (counts_t, counts_u) = ([batch.column(f"{c}_{e}")[k].values.to_numpy() for e in "tu"] for c in ("reps", "counts"))
+                if t != held:  # it comes with all its partners one after another
+                    held, a = t, Turned(doubles_or_floats(batch.column("x_t")[k].as_py(), len(reps_t), d), axes.value)
+                b = a if t == u else Turned(doubles_or_floats(batch.column("x_u")[k].as_py(), len(reps_u), d), axes.value)
+                both = {t: reps_t, u: reps_u}
+                for e, reps in both.items():
+                    if e not in starts:
+                        starts[e] = len(all_reps)
+                        all_reps, all_links = np.concatenate([all_reps, reps]), np.concatenate([all_links, np.zeros(len(reps), np.int64)])
+                        all_roots.add(len(reps))
+                links, roots = links_of(a, b, counts_t, counts_u, threshold)
                 has = links > 0
-                yield pa.RecordBatch.from_arrays([pa.array(reps[has]), pa.array(reps[roots.find()][has]), pa.array(links[has])], ["rep", "root", "links"])
+                place = np.concatenate([np.arange(starts[e], starts[e] + len(reps)) for e, reps in both.items()])
+                all_links[place] += links
+                all_roots.join(place[has], place[roots[has]])
+        has, roots = all_links > 0, all_roots.find()
+        yield pa.RecordBatch.from_arrays([pa.array(all_reps[has]), pa.array(all_reps[roots[has]]), pa.array(all_links[has])], ["rep", "root", "links"])
 
     return map_batches(pairs, run, "rep long, root long, links long")
 
 
-def links_of_length(different: DataFrame, d: int, threshold: float, tile: int) -> DataFrame:
-    """rep, root, links of different vectors that all have d components."""
-    sample = different.select("raw").orderBy(F.xxhash64("digest")).limit(SAMPLE).toArrow()["raw"].to_pylist()
-    axes = Axes(np.frombuffer(b"".join(sample)).reshape(-1, d))
-    tiles = stage(blocks(different, axes, d, tile, threshold), "tiles")
+def paired(tiles: DataFrame) -> DataFrame:
+    """Each two tiles that are near enough, once: their numbers t and u, reps, counts and vectors.
+
+    Spark's nested loops read two parts of the table in each task, so nothing is shuffled, where a join by
+    numbers would send each tile once per partner. Which of two tiles is t alternates, so no task has all pairs of its parts and another none.
+    """
     side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("reps", "counts", "x")]
-    left = tiles.select(F.col("tile").alias("t"), F.explode(F.sequence("tile", "last")).alias("u"), *side("t"))
-    right = tiles.select(F.explode(F.sequence("least", "tile")).alias("t"), F.col("tile").alias("u"), *side("u"))
-    return stage(compare(left.join(right, ["t", "u"]), d, threshold), "tile-links")
+    left = tiles.select(F.col("tile").alias("t"), "least", "last", *side("t"))
+    right = tiles.select(F.col("tile").alias("u"), *side("u"))
+    once = (F.col("t") == F.col("u")) | ((F.col("t") < F.col("u")) == ((F.col("t") + F.col("u")) % 2 == 0))
+    return left.hint("shuffle_replicate_nl").join(right, F.col("u").between(F.col("least"), F.col("last")) & once).drop("least", "last")
+
+
+def axes_of(vectors: DataFrame, different: DataFrame, d: int) -> Axes:
+    """Of the SAMPLE vectors of d components whose digests hash least."""
+    hashes = different.where(F.col("d") == d).select(F.xxhash64("digest").alias("h"))
+    most = hashes.orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    sample = merged(vectors, d).where(F.xxhash64("digest") <= most).groupBy("digest").agg(F.first("raw").alias("raw")).toArrow().sort_by("digest")
+    return Axes(doubles_or_floats(b"".join(sample["raw"].to_pylist()), len(sample), d))
+
+
+def links_of_length(vectors: DataFrame, different: DataFrame, d: int, threshold: float, tile: int) -> DataFrame:
+    """rep, root, links of the different vectors that all have d components."""
+    axes = vectors.sparkSession.sparkContext.broadcast(axes_of(vectors, different, d))
+    tiles = stage(blocks(merged(vectors, d, axes), axes.value, tile, threshold), "tiles")
+    return stage(compare(paired(tiles), d, axes, threshold), "tile-links")
 
 
 def dedup(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector."""
     every = stage(usable(vectors), "vectors")
     good = every.where("digest is not null")
-    different = stage(good.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("d").alias("d"), F.first("raw").alias("raw")), "different")
+    different = stage(good.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("d").alias("d")), "different")
     # a vector that is the only one of its length has nothing to be compared with
     lengths = [r[0] for r in different.groupBy("d").count().where("count > 1").orderBy("d").collect()]
     found = every.sparkSession.createDataFrame([], "rep long, root long, links long")
     for d in lengths:
-        found = found.unionByName(links_of_length(different.where(F.col("d") == d), d, threshold, tile))
+        found = found.unionByName(links_of_length(vectors, different, d, threshold, tile))
     named = different.select("digest", "rep", "n")
     named = named.join(found.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(components(found, "rep", "root").withColumnRenamed("node", "rep"), "rep", "left")
     named = stage(named.select("digest", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "named")
