@@ -113,6 +113,12 @@ def test_verdicts_by_all_tokens_equal_the_sql_without_its_cut(spark, duck, monke
     assert rows_of(got) == want != cut
 
 
+def test_verdicts_leave_no_token_out_unless_told_and_the_query_is_as_its_sql(spark, duck, monkeypatch):
+    assert rows_of(queries.op11_url_rules(spark, SMALL)) == sorted(duck.sql(url_rules.oracle_sql()).fetchall(), key=repr)
+    monkeypatch.setattr(url_rules, "MINED", 1 << 30)
+    assert rows_of(url_rules.verdicts(spark.read.parquet(f"{SMALL}/pages.parquet"))) == sorted(duck.sql(url_rules.oracle_sql()).fetchall(), key=repr)
+
+
 def test_rules_match_by_all_their_tokens(spark):
     rules = spark.createDataFrame([(["a", "b"], "block", 0.9, 5), (["c"], "allow", 0.9, 7), (["b"], "block", 0.85, 9), (["a", "c", "d"], "block", 1.0, 2)], "tokens array<string>, verdict string, confidence double, n long")
     sets = spark.createDataFrame([(["a"],), (["b"],), (["a", "b"],), (["a", "b", "c"],), (["a", "c", "d"],), ([],), (["x"],)], "tokens array<string>")
