@@ -4,7 +4,7 @@ Vectors are scaled to length 1 and turned into the principal axes of a sample, w
 products as they are and puts most of them into the leading coordinates. A pair's product over the
 leading coordinates plus the product of the two norms of the rest bounds its cosine: pairs whose bound
 is under the threshold are dropped after 8, 16 or 32 coordinates, and only what is left is summed up
-in double precision.
+in double precision. The first of these bounds is the one that leaves few of the sample's pairs.
 
 Vectors are compared tile by tile, some TILE of them against some TILE. Tiles are ranges of the first
 coordinate, split by hash where a range holds more, so tiles too far apart in it are never paired. Tiles
@@ -40,7 +40,7 @@ from tidemark.llm.components import components
 from tidemark.llm.storage import stage
 from tidemark.llm.words import map_batches
 
-THRESHOLD, TILE, RANGES, SAMPLE, LEADS, ROWS_AT_ONCE, SLACK = 0.95, 4096, 256, 4096, (8, 16, 32), 256, 1e-5
+THRESHOLD, TILE, RANGES, SAMPLE, LEADS, ROWS_AT_ONCE, SLACK, FEW = 0.95, 4096, 256, 4096, (8, 16, 32), 256, 1e-5, 0.01
 
 
 def listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,13 +82,15 @@ def doubles_or_floats(raw: bytes, rows: int, d: int) -> np.ndarray:
 
 
 class Axes:
-    """Principal axes and the ranges of the first coordinate, from a sample of at most SAMPLE vectors."""
+    """Principal axes, the ranges of the first coordinate and the first step to take, from a sample of at most SAMPLE vectors."""
 
-    def __init__(self, sample: np.ndarray):
+    def __init__(self, sample: np.ndarray, threshold: float):
         x = unit(sample)
         _, v = np.linalg.eigh(x.T @ x)
         self.turn = np.ascontiguousarray(v[:, ::-1])
         self.edges = np.unique(np.quantile(x @ self.turn[:, 0], np.arange(1, RANGES) / RANGES))
+        leads = Turned(sample[:1024], self).leads
+        self.start = next((k for k, p in enumerate(leads) if np.mean(p @ p.T >= threshold - SLACK) < FEW), max(0, len(leads) - 1))
 
     def range_of(self, x: np.ndarray) -> np.ndarray:
         # a matrix product's last bits could change with the rows beside
@@ -168,29 +170,28 @@ class Turned:
 
     def __init__(self, raw: np.ndarray, axes: Axes):
         self.x = unit(raw) @ axes.turn
-        self.leads = [np.column_stack([self.x[:, :m], np.sqrt((self.x[:, m:] ** 2).sum(1))]) for m in LEADS if m < self.x.shape[1]]
-        self.first = self.leads[0].astype(np.float32) if self.leads else self.x
+        leads = [np.column_stack([self.x[:, :m], np.sqrt((self.x[:, m:] ** 2).sum(1))]) for m in LEADS if m < self.x.shape[1]]
+        self.leads = [p.astype(np.float32) for p in leads]
 
 
-def linked(a: Turned, b: Turned, at: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def linked(a: Turned, b: Turned, at: int, start: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (row of a, row of b) of cosine at or over the threshold, for ROWS_AT_ONCE rows of a."""
     own = slice(at, at + ROWS_AT_ONCE)
-    whole = lambda: np.nonzero(a.x[own] @ b.x.T >= threshold)
-    if not a.leads:
-        i, j = whole()
+    all_pairs = left = len(a.x[own]) * len(b.x)
+    i = j = np.zeros(0, np.int64)
+    for p, q in zip(a.leads[start:], b.leads[start:], strict=True):
+        if left > FEW * all_pairs:  # whole products are cheaper
+            i, j = np.nonzero(p[own] @ q.T >= threshold - SLACK)
+            i = i + at
+        else:
+            keep = np.einsum("ij,ij->i", p[i], q[j]) >= threshold - SLACK
+            i, j = i[keep], j[keep]
+        left = len(i)
+    if left * 8 > all_pairs:
+        i, j = np.nonzero(a.x[own] @ b.x.T >= threshold)
         return i + at, j
-    i, j = np.nonzero(a.first[own] @ b.first.T >= threshold - SLACK)
-    all_pairs = len(a.x[own]) * len(b.x)
-    for p, q in zip(a.leads[1:], b.leads[1:], strict=True):
-        if len(i) * 8 > all_pairs:
-            break  # so many are left that whole products are cheaper
-        keep = np.einsum("ij,ij->i", p[i + at], q[j]) >= threshold - SLACK
-        i, j = i[keep], j[keep]
-    if len(i) * 8 > all_pairs:
-        i, j = whole()
-        return i + at, j
-    keep = np.einsum("ij,ij->i", a.x[i + at], b.x[j]) >= threshold
-    return i[keep] + at, j[keep]
+    keep = np.einsum("ij,ij->i", a.x[i], b.x[j]) >= threshold
+    return i[keep], j[keep]
 
 
 class Roots:
@@ -223,12 +224,12 @@ class Roots:
                 self.up[max(x, y)] = min(x, y)
 
 
-def links_of(a: Turned, b: Turned, n_a: np.ndarray, n_b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def links_of(a: Turned, b: Turned, n_a: np.ndarray, n_b: np.ndarray, start: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Of the vectors of two tiles, or of one with itself, how many links each has between them, and the root of its part."""
     same, shift = a is b, 0 if a is b else len(a.x)
     links, roots = np.zeros(shift + len(b.x), np.int64), Roots(shift + len(b.x))
     for at in range(0, len(a.x), ROWS_AT_ONCE):
-        i, j = linked(a, b, at, threshold)
+        i, j = linked(a, b, at, start, threshold)
         if same:
             i, j = i[i != j], j[i != j]
         if len(i):
@@ -258,7 +259,7 @@ def compare(pairs: DataFrame, d: int, axes: Broadcast[Axes], threshold: float) -
                         starts[e] = len(all_reps)
                         all_reps, all_links = np.concatenate([all_reps, reps]), np.concatenate([all_links, np.zeros(len(reps), np.int64)])
                         all_roots.add(len(reps))
-                links, roots = links_of(a, b, counts_t, counts_u, threshold)
+                links, roots = links_of(a, b, counts_t, counts_u, axes.value.start, threshold)
                 has = links > 0
                 place = np.concatenate([np.arange(starts[e], starts[e] + len(reps)) for e, reps in both.items()])
                 all_links[place] += links
@@ -282,17 +283,17 @@ def paired(tiles: DataFrame) -> DataFrame:
     return left.hint("shuffle_replicate_nl").join(right, F.col("u").between(F.col("least"), F.col("last")) & once).drop("least", "last")
 
 
-def axes_of(vectors: DataFrame, different: DataFrame, d: int) -> Axes:
+def axes_of(vectors: DataFrame, different: DataFrame, d: int, threshold: float) -> Axes:
     """Of the SAMPLE vectors of d components whose digests hash least."""
     hashes = different.where(F.col("d") == d).select(F.xxhash64("digest").alias("h"))
     most = hashes.orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
     sample = merged(vectors, d).where(F.xxhash64("digest") <= most).groupBy("digest").agg(F.first("raw").alias("raw")).toArrow().sort_by("digest")
-    return Axes(doubles_or_floats(b"".join(sample["raw"].to_pylist()), len(sample), d))
+    return Axes(doubles_or_floats(b"".join(sample["raw"].to_pylist()), len(sample), d), threshold)
 
 
 def links_of_length(vectors: DataFrame, different: DataFrame, d: int, threshold: float, tile: int) -> DataFrame:
     """rep, root, links of the different vectors that all have d components."""
-    axes = vectors.sparkSession.sparkContext.broadcast(axes_of(vectors, different, d))
+    axes = vectors.sparkSession.sparkContext.broadcast(axes_of(vectors, different, d, threshold))
     tiles = stage(blocks(merged(vectors, d, axes), axes.value, tile, threshold), "tiles")
     return stage(compare(paired(tiles), d, axes, threshold), "tile-links")
 
